@@ -2,11 +2,12 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .consensus_queries import CONSENSUS
 from .selection_queries import SELECTION, summary
 from .adapters import Tables
 from .text_queries import TEXT
 
-ALL = [TEXT, SELECTION]
+ALL = [TEXT, SELECTION, CONSENSUS]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
