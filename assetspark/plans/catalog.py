@@ -3,11 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .consensus_queries import CONSENSUS
+from .graph_queries import GRAPH
 from .selection_queries import SELECTION, summary
 from .adapters import Tables
 from .text_queries import TEXT
 
-ALL = [TEXT, SELECTION, CONSENSUS]
+ALL = [TEXT, SELECTION, CONSENSUS, GRAPH]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
