@@ -10,7 +10,9 @@ from ..functions.color import (
     blend_normals,
     decode_normal,
     linear_to_srgb,
+    pack_axis,
     pack_normal,
+    packed_length,
     srgb_to_linear,
     unpack_axis,
 )
@@ -147,17 +149,35 @@ def derive_normal(base: DataFrame, alpha: DataFrame, height: float, polarity: in
     slopes = wrapped_gradient(blurred).withColumns({"gx": F.round("gx", 12), "gy": F.round("gy", 12)})
     rows = base.join(slopes.select(*KEY, "gx", "gy"), KEY)
     effect = (F.abs("gx") > 1e-8) | (F.abs("gy") > 1e-8)
-    length = F.greatest(F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2 + 1.0), F.lit(1e-8))
-    detail = {"x": -F.col("gx") / length, "y": F.col("gy") / length, "z": 1.0 / length}
-    mixed = blend_normals(decode_normal(F.col("g"), F.col("a")), detail)
-    px, py = pack_normal(mixed["x"], mixed["y"])
+    # each step is its own projection, so no expression is repeated in the next
+    length = F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2 + 1.0)
+    rows = rows.withColumns({"effect": effect, "ln": length, **_named("n", decode_normal(F.col("g"), F.col("a")))})
+    detail = {"x": -F.col("gx") / F.col("ln"), "y": F.col("gy") / F.col("ln"), "z": 1.0 / F.col("ln")}
+    rows = rows.withColumns(_named("d", detail))
+    rows = rows.withColumns(_named("m", blend_normals(_vector("n"), _vector("d"))))
+    rows = rows.withColumns({"px": pack_axis(F.col("mx")), "py": pack_axis(F.col("my"))})
+    rows = rows.withColumn("plen", packed_length(F.col("px"), F.col("py")))
+
+    def corrected(c: str) -> Column:
+        pulled = pack_axis(unpack_axis(F.col(c)) / F.col("plen") * 0.99)
+        return F.when(F.col("plen") > 1.0, pulled).otherwise(F.col(c))
+
     return rows.select(
         *KEY, "r",
-        F.when(effect, py).otherwise(F.col("g")).alias("g"), "b", F.when(effect, px).otherwise(F.col("a")).alias("a"),
-        effect.alias("effect"), F.when(effect, F.round(mixed["z"], 6)).alias("z"),
+        F.when(F.col("effect"), corrected("py")).otherwise(F.col("g")).alias("g"), "b",
+        F.when(F.col("effect"), corrected("px")).otherwise(F.col("a")).alias("a"),
+        "effect", F.when(F.col("effect"), F.round("mz", 6)).alias("z"),
     )
 
 
+def _named(prefix: str, vector: dict[str, Column]) -> dict[str, Column]:
+    return {f"{prefix}{k}": v for k, v in vector.items()}
+
+
+def _vector(prefix: str) -> dict[str, Column]:
+    return {k: F.col(f"{prefix}{k}") for k in "xyz"}
+
+
 def derive_gloss(base: DataFrame, alpha: DataFrame, deltas: dict[str, float]) -> DataFrame:
     """Channel += delta * alpha with half-up rounding inside the alpha support."""
     if not any(deltas.values()) or any(c not in RGBA for c in deltas):

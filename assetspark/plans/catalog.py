@@ -4,13 +4,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .consensus_queries import CONSENSUS
 from .derive_queries import DERIVE
+from .gate_queries import GATES
 from .graph_queries import GRAPH
 from .selection_queries import SELECTION, summary
 from .adapters import Tables
 from .texel_queries import TEXELS
 from .text_queries import TEXT
 
-ALL = [TEXT, SELECTION, CONSENSUS, GRAPH, TEXELS, DERIVE]
+ALL = [TEXT, SELECTION, CONSENSUS, GRAPH, TEXELS, DERIVE, GATES]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,10 +253,6 @@ def reading_store(t):
     return consensus.reading_store(rows, ["region_id", "model_signature", "variant", "text"])
 
 
-_MATCH = f"""{_LINES}, {_EXPECTED}, hits AS (SELECT DISTINCT a.region_id, a.engine FROM tk a JOIN tk b ON a.call_id=b.call_id AND b.ordinal=a.ordinal+1 AND b.line=a.line
-      JOIN x ON x.region_id=a.region_id AND a.text||' '||b.text=expected_text
-      UNION SELECT tk.region_id, tk.engine FROM tk JOIN x ON x.region_id=tk.region_id AND tk.text=expected_text)"""
-
 
 @CONSENSUS.query(
     "a12_region_match",
