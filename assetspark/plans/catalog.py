@@ -8,10 +8,11 @@ from .gate_queries import GATES
 from .graph_queries import GRAPH
 from .selection_queries import SELECTION, summary
 from .adapters import Tables
+from .source_queries import SOURCES
 from .texel_queries import TEXELS
 from .text_queries import TEXT
 
-ALL = [TEXT, SELECTION, CONSENSUS, GRAPH, TEXELS, DERIVE, GATES]
+ALL = [TEXT, SELECTION, CONSENSUS, GRAPH, TEXELS, DERIVE, GATES, SOURCES]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
