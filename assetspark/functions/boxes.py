@@ -20,6 +20,11 @@ def intersection(a, b) -> Column:
     return F.greatest(width, F.lit(0)) * F.greatest(height, F.lit(0))
 
 
+def meets(a, b) -> Column:
+    """Boxes share some area; cheap, so it is tested before the ratios."""
+    return (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
+
+
 def iou(a, b) -> Column:
     inter = intersection(a, b)
     return inter / F.greatest(F.lit(1), area(a) + area(b) - inter)
@@ -37,7 +42,7 @@ def same_text_region(a, b) -> Column:
     """
     contained = F.contains(a["key"], b["key"]) | F.contains(b["key"], a["key"])
     named = (a["key"] != "") & (b["key"] != "")
-    return (iou(a, b) >= 0.55) | (named & contained & (over_smaller(a, b) >= 0.85))
+    return meets(a, b) & ((iou(a, b) >= 0.55) | (named & contained & (over_smaller(a, b) >= 0.85)))
 
 
 def named(prefix: str) -> dict[str, Column]:

@@ -90,8 +90,12 @@ def literal_text(text: Column) -> Column:
     return nfc(F.regexp_replace(text, "\r\n?", "\n"))
 
 
-def _letters(text: Column, script_word: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{letter_class(script_word)}]", ""))
+def _beyond_ascii(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\x00-\x7F]+", "")
+
+
+def _letters(rest: Column, script_word: str) -> Column:
+    return F.length(F.regexp_replace(rest, f"[^{letter_class(script_word)}]+", ""))
 
 
 def is_ascii(text: Column) -> Column:
@@ -100,12 +104,14 @@ def is_ascii(text: Column) -> Column:
 
 def script_letters(text: Column) -> Column:
     """struct<latin, cyrillic> letter counts of the NFC text."""
+    # ASCII letters are counted apart: the wide classes only see what is left
+    ascii_latin = F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
+    rest = _beyond_ascii(nfc(text))
     plain = is_ascii(text)
-    ascii_latin = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
-    composed = nfc(text)
+    composed = F.length(F.regexp_replace(nfc(text), "[^A-Za-z]+", ""))
     return F.struct(
-        F.when(plain, ascii_latin).otherwise(_letters(composed, "LATIN")).alias("latin"),
-        F.when(plain, F.lit(0)).otherwise(_letters(composed, "CYRILLIC")).alias("cyrillic"),
+        F.when(plain, ascii_latin).otherwise(composed + _letters(rest, "LATIN")).alias("latin"),
+        F.when(plain, F.lit(0)).otherwise(_letters(rest, "CYRILLIC")).alias("cyrillic"),
     )
 
 

@@ -159,6 +159,11 @@ def greedy_clusters(readings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFr
     return out if huge is None else out.unionByName(_spread_clusters(huge))
 
 
+def cluster_readings(readings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """Readings with their cluster, stored once because the votes read it often."""
+    return cut_lineage(readings.join(greedy_clusters(readings, fold_limit), ["image_id", "seq"]))
+
+
 # ---- votes ----------------------------------------------------------------
 
 
@@ -320,7 +325,7 @@ def visual_regions(readings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFra
     order = [-boxes.area({c: F.col(c) for c in boxes.SIDES}), -F.col("confidence")]
 
     def covers(kept, box):
-        return (boxes.over_smaller(box, kept) >= 0.78) & (kept["confidence"] >= box["confidence"] * 0.7)
+        return boxes.meets(box, kept) & (boxes.over_smaller(box, kept) >= 0.78) & (kept["confidence"] >= box["confidence"] * 0.7)
 
     return _suppress(distinct, order, covers, fold_limit)
 
@@ -335,7 +340,7 @@ def reference_regions(readings: DataFrame, script: str = "korean", fold_limit: i
     order = [-boxes.area({c: F.col(c) for c in boxes.SIDES}), -F.length("text"), -F.col("confidence")]
 
     def covers(kept, box):
-        return (boxes.over_smaller(box, kept) >= 0.8) & F.contains(kept["text"], box["text"])
+        return boxes.meets(box, kept) & (boxes.over_smaller(box, kept) >= 0.8) & F.contains(kept["text"], box["text"])
 
     return _suppress(distinct, order, covers, fold_limit)
 

@@ -34,15 +34,29 @@ def merge_ranges(ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return labelled.groupBy("grp", F.col("island").alias("start")).agg(F.max("end").alias("end"))
 
 
-def outside_ranges(rows: DataFrame, merged: DataFrame, cell: int = 1 << 16) -> DataFrame:
-    """Rows (grp, pos, ...) that lie in no half-open merged range."""
-    spread = merged.filter("end > start").withColumn(
-        "c", F.explode(F.sequence(div(F.col("start"), cell), div(F.col("end") - 1, cell)))
+def outside_ranges(rows: DataFrame, merged: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Rows (grp, pos, ...) that lie in no half-open merged range.
+
+    Merged ranges are disjoint, so only the last range that starts at or before
+    a position can hold it. Positions and starts are walked together in buckets
+    of ``bucket`` positions; the last range of earlier buckets is carried over.
+    """
+    extra = [c for c in rows.columns if c not in ("grp", "pos")]
+    marks = rows.select("grp", "pos", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("end"), *extra).unionByName(
+        merged.select("grp", F.col("start").alias("pos"), F.lit(0).alias("kind"), "end"), allowMissingColumns=True
+    ).withColumn("b", div(F.col("pos"), bucket))
+    last = merged.withColumn("b", div(F.col("start"), bucket)).groupBy("grp", "b").agg(F.max("end").alias("end"))
+    slots = marks.select("grp", "b").distinct().join(last, ["grp", "b"], "left")
+    past = Window.partitionBy("grp").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.select("grp", "b", F.max("end").over(past).alias("carried"))
+    walk = Window.partitionBy("grp", "b").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.greatest(F.max("end").over(walk), F.col("carried"))
+    return (
+        marks.join(carried, ["grp", "b"])
+        .withColumn("reach", reach)
+        .filter((F.col("kind") == 1) & (F.col("reach").isNull() | (F.col("pos") >= F.col("reach"))))
+        .select("grp", "pos", *extra)
     )
-    celled = rows.withColumn("c", div(F.col("pos"), cell))
-    hit = [celled[k] == spread[k] for k in ("grp", "c")]
-    covered = hit + [celled["pos"] >= spread["start"], celled["pos"] < spread["end"]]
-    return celled.join(spread, covered, "left_anti").drop("c")
 
 
 def differences_outside(before: DataFrame, after: DataFrame, merged: DataFrame) -> DataFrame:

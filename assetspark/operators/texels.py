@@ -167,7 +167,7 @@ def pad_outside(texels: DataFrame, channels: list[str] = RGBA) -> DataFrame:
 
     ``texels`` has a boolean ``covered``. The nearest covered texel of each
     pixel row is found with two windows; the column step then adds the row
-    distance inside one texture column, whose length is bounded. Ties: smaller
+    distance inside blocks of texture columns, whose size is bounded. Ties: smaller
     squared distance, then smaller y, then smaller x.
     """
     row = Window.partitionBy("texture_id", "y").orderBy("x")
@@ -180,30 +180,33 @@ def pad_outside(texels: DataFrame, channels: list[str] = RGBA) -> DataFrame:
     rows = texels.select(*KEY, near.alias("row_x"))
 
     def column_step(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("y", ignore_index=True)
-        y, x = frame["y"].to_numpy(np.int64), int(frame["x"].iloc[0])
-        has = frame["row_x"].notna().to_numpy()
-        row_x = frame["row_x"].fillna(0).to_numpy(np.int64)
-        best = np.full(len(y), np.iinfo(np.int64).max)
-        if has.any():
-            # packed key: squared distance, then y, then x (14 bits each)
-            source_y, source_x = y[has], row_x[has]
-            flat = (source_x - x) ** 2
-            span = int(y.max() - y.min())
-            for step in range(span + 1):
-                if step and (step * step) << 28 > int(best.max()):
-                    break
-                for delta in {step, -step}:
-                    at = np.searchsorted(y, source_y + delta)
-                    ok = (at < len(y)) & (y[np.minimum(at, len(y) - 1)] == source_y + delta)
-                    key = ((flat + step * step) << 28) | (source_y << 14) | source_x
-                    np.minimum.at(best, at[ok], key[ok])
-        found = best != np.iinfo(np.int64).max
-        frame["source_y"] = np.where(found, (best >> 14) & 0x3FFF, -1)
-        frame["source_x"] = np.where(found, best & 0x3FFF, -1)
+        y, x = frame["y"].to_numpy(np.int64), frame["x"].to_numpy(np.int64)
+        top, left = y.min(), x.min()
+        shape = (y.max() - top + 1, x.max() - left + 1)
+        row_x = np.full(shape, -1, dtype=np.int64)
+        row_x[y - top, x - left] = frame["row_x"].fillna(-1).to_numpy(np.int64)
+        ys = np.arange(shape[0])[:, None] + top
+        xs = np.arange(shape[1])[None, :] + left
+        # packed key: squared distance, then y, then x (14 bits each)
+        none = np.iinfo(np.int64).max
+        tail = (ys << 14) | row_x
+        flat = (row_x - xs) ** 2
+        best = np.full(shape, none)
+        for step in range(shape[0]):
+            if step and (step * step) << 28 > best.max():
+                break
+            key = np.where(row_x >= 0, ((flat + step * step) << 28) | tail, none)
+            best[step:] = np.minimum(best[step:], key[: shape[0] - step])
+            if step:
+                best[:-step] = np.minimum(best[:-step], key[step:])
+        found = best[y - top, x - left]
+        hit = found != none
+        frame["source_y"] = np.where(hit, (found >> 14) & 0x3FFF, -1)
+        frame["source_x"] = np.where(hit, found & 0x3FFF, -1)
         return frame[["texture_id", "x", "y", "source_x", "source_y"]]
 
-    nearest = rows.groupBy("texture_id", "x").applyInPandas(
+    # 64 columns of one texture per group: bounded by 64 times the texture height
+    nearest = rows.groupBy("texture_id", div(F.col("x"), 64).alias("columns")).applyInPandas(
         column_step, "texture_id long, x long, y long, source_x long, source_y long"
     )
     colors = texels.select(

@@ -53,7 +53,7 @@ _ALTS = f"""{_CONSENSUS},
 
 
 def _clustered(t):
-    return t.readings.join(consensus.greedy_clusters(t.readings), ["image_id", "seq"])
+    return consensus.cluster_readings(t.readings)
 
 
 @CONSENSUS.query(

@@ -29,23 +29,22 @@ def manifest_records(documents: DataFrame, column: str) -> DataFrame:
     come back with an ``error``.
     """
     text = F.col(column)
-    whole = F.from_json(text, T.ArrayType(RECORD))
-    wrapped = F.from_json(
-        text, T.StructType([T.StructField(k, T.ArrayType(RECORD)) for k in ("assets", "entries", "records")])
-    )
-    one = F.from_json(text, RECORD)
+    wrapper = T.StructType([T.StructField(k, T.ArrayType(RECORD)) for k in ("assets", "entries", "records")])
     is_list, is_object = text.rlike(r"^\s*\["), text.rlike(r"^\s*\{")
-    inner = F.coalesce(wrapped["assets"], wrapped["entries"], wrapped["records"])
-    records = F.when(is_list, whole).when(is_object & inner.isNotNull(), inner).when(is_object, F.array(one))
-    valid = F.try_parse_json(text).isNotNull() & (is_list | is_object)
-    rows = documents.select("source", F.when(valid, records).alias("records"), (~valid | records.isNull()).alias("_bad"))
-    good = rows.filter(~F.col("_bad")).select("source", F.explode("records").alias("record")).select(
-        "source", "record", F.when(F.col("record").isNull(), "not_an_object").alias("error")
+    # each text is parsed by the readers its first character allows
+    parsed = documents.select(
+        "source",
+        F.when(is_list, F.from_json(text, T.ArrayType(RECORD))).alias("many"),
+        F.when(is_object, F.from_json(text, wrapper)).alias("wrapped"),
+        F.when(is_object, F.from_json(text, RECORD)).alias("one"),
     )
-    bad = rows.filter(F.col("_bad")).select(
-        "source", F.lit(None).cast(RECORD).alias("record"), F.lit("unsupported_manifest").alias("error")
+    inner = F.coalesce("wrapped.assets", "wrapped.entries", "wrapped.records")
+    records = F.coalesce("many", inner, F.when(F.col("one").isNotNull(), F.array("one")))
+    rows = parsed.select("source", records.alias("records"))
+    return rows.select("source", "records", F.explode_outer("records").alias("record")).select(
+        "source", "record",
+        F.when(F.col("records").isNull(), "unsupported_manifest").when(F.col("record").isNull(), "not_an_object").alias("error"),
     )
-    return good.unionByName(bad)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
