@@ -93,10 +93,18 @@ def multiset_digest(row_hash: Column) -> Column:
     combines map-side and never gathers a group in one place; repeated rows
     count. Sums of up to 1e19 rows fit in decimal(38,0).
     """
-    parts = [F.count(row_hash).cast("string")]
-    for start in (1, 16, 31, 46):
-        chunk = F.conv(F.substring(row_hash, start, 15), 16, 10).cast("decimal(38,0)")
-        parts.append(F.sum(chunk).cast("string"))
+    return digest_of_sums(F.count(row_hash), [F.sum(c) for c in hash_chunks(row_hash)])
+
+
+def hash_chunks(row_hash: Column) -> list[Column]:
+    """The four 60-bit numbers of a row hash; their sums can be summed again."""
+    return [
+        F.conv(F.substring(row_hash, start, 15), 16, 10).cast("decimal(38,0)") for start in (1, 16, 31, 46)
+    ]
+
+
+def digest_of_sums(count: Column, sums: list[Column]) -> Column:
+    parts = [count.cast("string")] + [s.cast("decimal(38,0)").cast("string") for s in sums]
     return sha256_hex(F.concat_ws(":", *parts))
 
 

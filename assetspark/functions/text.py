@@ -66,7 +66,8 @@ def _agreement_udf(text: pd.Series) -> pd.Series:
 
 def _unicode_path(text: Column, pattern: str, udf, plain: Column) -> Column:
     """Send only the rows that match ``pattern`` through the Arrow UDF."""
-    hard = text.rlike(pattern)
+    # ASCII texts are told apart by their byte length, before any pattern runs
+    hard = ~is_ascii(text) & text.rlike(pattern)
     return F.when(hard, udf(F.when(hard, text))).otherwise(plain)
 
 
@@ -102,15 +103,14 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
-def script_letters(text: Column) -> Column:
-    """struct<latin, cyrillic> letter counts of the NFC text."""
+def script_letters(composed: Column) -> Column:
+    """struct<latin, cyrillic> letter counts of an NFC text column."""
     # ASCII letters are counted apart: the wide classes only see what is left
-    ascii_latin = F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
-    rest = _beyond_ascii(nfc(text))
-    plain = is_ascii(text)
-    composed = F.length(F.regexp_replace(nfc(text), "[^A-Za-z]+", ""))
+    plain = is_ascii(composed)
+    ascii_latin = F.length(F.regexp_replace(composed, "[^A-Za-z]+", ""))
+    rest = _beyond_ascii(composed)
     return F.struct(
-        F.when(plain, ascii_latin).otherwise(composed + _letters(rest, "LATIN")).alias("latin"),
+        F.when(plain, ascii_latin).otherwise(ascii_latin + _letters(rest, "LATIN")).alias("latin"),
         F.when(plain, F.lit(0)).otherwise(_letters(rest, "CYRILLIC")).alias("cyrillic"),
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arithmetic import count_where
-from ..functions.ids import multiset_digest, sha256_hex
+from ..functions.ids import digest_of_sums, hash_chunks, multiset_digest, sha256_hex
 
 # Shader property names by role.
 DIFFUSE = ["_MainTex", "_BaseMap", "_BaseColorMap"]
@@ -259,11 +259,14 @@ def slot_hash() -> Column:
 
 def graph_digests(slots: DataFrame) -> DataFrame:
     """Order-independent digest, material count and slot count per bundle."""
+    chunks = hash_chunks(F.col("h"))
+    # chunk sums per material are summed again per bundle: one pass over the hashes
     per_material = slots.withColumn("h", slot_hash()).groupBy(*MATERIAL).agg(
-        multiset_digest(F.col("h")).alias("m"), F.count("*").alias("n")
+        *[F.sum(c).alias(f"s{i}") for i, c in enumerate(chunks)], F.count("*").alias("n")
     )
+    sums = [F.sum(f"s{i}") for i in range(len(chunks))]
     return per_material.groupBy("bundle_key").agg(
-        multiset_digest(F.col("m")).alias("graph_sha256"),
+        digest_of_sums(F.sum("n"), sums).alias("graph_sha256"),
         F.count("*").alias("material_count"),
         F.sum("n").alias("texture_slot_count"),
     )

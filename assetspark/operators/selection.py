@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.arithmetic import count_where
 from ..functions.ids import asset_id, sha256_hex
 from ..functions.text import agreement_text, casefold, nfc, script_letters, similarity
+from ..session import cut_lineage
 
 # Token lists of the name filter.
 COLOR_TOKENS = ["d", "diff", "diffuse", "albedo", "basecolor", "base", "color", "colour"]
@@ -234,11 +235,13 @@ def plan_counts(sources: DataFrame) -> DataFrame:
 
 
 def with_letters(detections: DataFrame) -> DataFrame:
-    """Script letter counts, evaluated once per distinct text column value."""
-    letters = script_letters(F.col("text"))
-    return detections.withColumn("_s", letters).withColumns(
-        {"latin": F.col("_s.latin"), "cyrillic": F.col("_s.cyrillic")}
-    ).withColumn("letters", F.col("latin") + F.col("cyrillic")).drop("_s")
+    """Adds latin, cyrillic and letters; each step is its own projection."""
+    staged = detections.withColumn("_nfc", nfc(F.col("text"))).withColumn("_s", script_letters(F.col("_nfc")))
+    return (
+        staged.withColumns({"latin": F.col("_s.latin"), "cyrillic": F.col("_s.cyrillic")})
+        .withColumn("letters", F.col("latin") + F.col("cyrillic"))
+        .drop("_s", "_nfc")
+    )
 
 
 def _prefix_tokens(text: Column, threshold: float) -> Column:
@@ -272,13 +275,14 @@ def agreeing_assets(detections: DataFrame, t: Thresholds = Thresholds()) -> Data
     Needs asset_id, seq, engine, text, confidence, letters.
     """
     key = agreement_text(F.col("text"))
-    eligible = (
-        detections.filter((F.col("letters") > 0) & (F.col("engine") != ""))
-        .filter(F.col("confidence") >= t.agreement_score)
-        .withColumn("key", key)
-        .filter("key <> ''")
-        .groupBy("asset_id", "engine", "key")
-        .agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    # stored once: far smaller than the detections and read by every step below
+    # (a text with target letters never has an empty key)
+    seq = F.when(F.col("letters") > 0, F.col("seq"))
+    eligible = cut_lineage(
+        detections.filter((F.col("engine") != "") & (F.col("confidence") >= t.agreement_score))
+        .groupBy("asset_id", "engine", key.alias("key"))
+        .agg(F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"))
+        .filter("first_seq is not null")
     )
     equal = (
         eligible.groupBy("asset_id", "key").agg(F.count("*").alias("engines")).filter("engines > 1")
@@ -291,7 +295,7 @@ def agreeing_assets(detections: DataFrame, t: Thresholds = Thresholds()) -> Data
     left = tokens.select("asset_id", "token", *[F.col(c).alias(f"l_{c}") for c in ("engine", "key", "first_seq")])
     right = tokens.select("asset_id", "token", *[F.col(c).alias(f"r_{c}") for c in ("engine", "key", "last_seq")])
     llen, rlen = F.length("l_key"), F.length("r_key")
-    pairs = (
+    pairs = cut_lineage(
         left.join(right, ["asset_id", "token"])
         .filter((F.col("l_engine") != F.col("r_engine")) & (F.col("l_key") != F.col("r_key")))
         .filter(F.col("l_first_seq") < F.col("r_last_seq"))
@@ -585,7 +589,3 @@ def current_reviews(log: DataFrame) -> DataFrame:
     return latest_by(allowed, ["asset_id"], "reviewed_at", ["decision", "reviewer"]).filter(
         "decision <> 'clear'"
     )
-
-
-def normalized(text: Column) -> Column:
-    return nfc(text)

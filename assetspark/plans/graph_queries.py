@@ -264,9 +264,8 @@ def conflicting(t):
 _SLOT_HASH = """sha256(concat_ws('|', material_path_id, property, texture_bundle_key, path_id, round(scale_u,6)::DECIMAL(20,6)::VARCHAR,
     round(scale_v,6)::DECIMAL(20,6)::VARCHAR, round(offset_u,6)::DECIMAL(20,6)::VARCHAR, round(offset_v,6)::DECIMAL(20,6)::VARCHAR))"""
 
-_DIGEST = f"""gm AS (SELECT bundle_key, material_path_id, {multiset_digest_sql('h')} AS m, count(*) AS n FROM
-      (SELECT *, {_SLOT_HASH} AS h FROM slots) GROUP BY 1,2),
-    gd AS (SELECT bundle_key, {multiset_digest_sql('m')} AS graph_sha256, count(*) AS material_count, sum(n)::BIGINT AS texture_slot_count FROM gm GROUP BY 1)"""
+_DIGEST = f"""gd AS (SELECT bundle_key, {multiset_digest_sql('h')} AS graph_sha256, count(DISTINCT material_path_id) AS material_count, count(*) AS texture_slot_count FROM
+      (SELECT *, {_SLOT_HASH} AS h FROM slots) GROUP BY 1)"""
 
 
 @GRAPH.query("a45_graph_digest", f"WITH {_DIGEST} SELECT * FROM gd", "slots")

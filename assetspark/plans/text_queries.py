@@ -37,7 +37,8 @@ def clamp(t):
     f"SELECT doc_id, {letters_sql('text', 'LATIN')} AS latin, {letters_sql('text', 'CYRILLIC')} AS cyrillic FROM documents",
 )
 def script_letters(t):
-    return t.documents.select("doc_id", text.script_letters(F.col("text")).alias("s")).select(
+    composed = t.documents.select("doc_id", text.nfc(F.col("text")).alias("nfc"))
+    return composed.select("doc_id", text.script_letters(F.col("nfc")).alias("s")).select(
         "doc_id", "s.latin", "s.cyrillic"
     )
 
