@@ -93,17 +93,16 @@ def _fold_clusters(rows: DataFrame) -> DataFrame:
 
     def place(done: Column, it: Column) -> Column:
         hits = F.filter(done, lambda d: boxes.same_text_region(d, it))
-        label = F.coalesce(F.array_min(F.transform(hits, lambda d: d["label"])), F.size(done).cast("long"))
-        return F.array_append(
-            done,
-            F.struct(it["seq"].alias("seq"), *[it[c].alias(c) for c in boxes.SIDES], it["key"].alias("key"), label.alias("label")),
-        )
+        fresh = F.struct(F.size(done).cast("long").alias("at"), it["seq"].alias("founder"))
+        home = F.coalesce(F.array_min(F.transform(hits, lambda d: d["home"])), fresh)
+        entry = [it["seq"].alias("seq"), *[it[c].alias(c) for c in boxes.SIDES], it["key"].alias("key")]
+        return F.array_append(done, F.struct(*entry, home.alias("home")))
 
-    empty = F.array().cast("array<struct<seq:bigint,x0:bigint,y0:bigint,x1:bigint,y1:bigint,key:string,label:bigint>>")
+    empty = F.array().cast(
+        "array<struct<seq:bigint,x0:bigint,y0:bigint,x1:bigint,y1:bigint,key:string,home:struct<at:bigint,founder:bigint>>>"
+    )
     folded = lists.select("image_id", F.explode(F.aggregate("items", empty, place)).alias("d"))
-    by_label = folded.select("image_id", F.col("d.seq").alias("seq"), F.col("d.label").alias("_label"))
-    founders = F.get(F.col("items"), F.col("_label").cast("int"))["seq"]
-    return by_label.join(lists, "image_id").select("image_id", "seq", founders.alias("cluster_id"))
+    return folded.select("image_id", F.col("d.seq").alias("seq"), F.col("d.home.founder").alias("cluster_id"))
 
 
 def _spread_clusters(rows: DataFrame) -> DataFrame:

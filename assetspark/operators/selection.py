@@ -198,15 +198,18 @@ def limit_groups(candidates: DataFrame, limit: int) -> DataFrame:
     last = firsts.orderBy("_first").limit(limit).agg(
         F.max("_first").alias("_last"), F.count("*").alias("_n")
     )
-    cut = keyed.crossJoin(F.broadcast(last)).agg(  # one-row side
+    # both right sides are one-row aggregates, joined on a constant key
+    one = F.lit(1).alias("_one")
+    keyed = keyed.withColumn("_one", F.lit(1))
+    cut = keyed.join(F.broadcast(last.select("*", one)), "_one").agg(
         F.min(
             F.when((F.col("_n") == limit) & (F.col("_order") > F.col("_last")), F.col("_order"))
         ).alias("_cut")
     )
     return (
-        keyed.crossJoin(F.broadcast(cut))  # one-row side
+        keyed.join(F.broadcast(cut.select("*", one)), "_one")
         .filter(F.col("_cut").isNull() | (F.col("_order") < F.col("_cut")))
-        .drop("_order", "_cut")
+        .drop("_order", "_cut", "_one")
     )
 
 

@@ -278,11 +278,12 @@ def polygon_texels(texels: DataFrame, edges: DataFrame) -> DataFrame:
     return texels.select(*KEY).join(spans, ["texture_id", "y"]).filter(inside).select("polygon", *KEY)
 
 
-def box_mask_ratios(boxes: DataFrame, mask: DataFrame, width: int, height: int, cell: int = 64) -> DataFrame:
+def box_mask_ratios(boxes: DataFrame, mask: DataFrame, width: int, height: int, cell: int = 16) -> DataFrame:
     """Share of each clipped box that is set in the mask.
 
-    ``boxes``: texture_id, box_id, x0, y0, x1, y1. Mask texels meet boxes in
-    grid cells, not texture-wide.
+    ``boxes``: texture_id, box_id, x0, y0, x1, y1. The mask is counted per grid
+    cell first: cells wholly inside a box add their count as one row, and only
+    the cells on a box's border are compared texel by texel.
     """
     clipped = boxes.select(
         "texture_id", "box_id",
@@ -293,13 +294,20 @@ def box_mask_ratios(boxes: DataFrame, mask: DataFrame, width: int, height: int,
     spread = real.withColumn("cx", F.explode(F.sequence(div(F.col("x0"), cell), div(F.col("x1") - 1, cell)))).withColumn(
         "cy", F.explode(F.sequence(div(F.col("y0"), cell), div(F.col("y1") - 1, cell)))
     )
+    inside = (
+        (F.col("cx") * cell >= F.col("x0")) & ((F.col("cx") + 1) * cell <= F.col("x1"))
+        & (F.col("cy") * cell >= F.col("y0")) & ((F.col("cy") + 1) * cell <= F.col("y1"))
+    )
+    keys = ["texture_id", "cx", "cy"]
     celled = mask.select(*KEY, div(F.col("x"), cell).alias("cx"), div(F.col("y"), cell).alias("cy"))
-    hits = (
-        spread.join(celled, ["texture_id", "cx", "cy"])
+    counts = celled.groupBy(*keys).agg(F.count("*").alias("n"))
+    whole = spread.filter(inside).join(counts, keys).select("texture_id", "box_id", "n")
+    border = (
+        spread.filter(~inside).join(celled, keys)
         .filter("x >= x0 and x < x1 and y >= y0 and y < y1")
-        .groupBy("texture_id", "box_id")
-        .agg(F.count("*").alias("hits"))
+        .groupBy("texture_id", "box_id").agg(F.count("*").alias("n"))
     )
+    hits = whole.unionByName(border).groupBy("texture_id", "box_id").agg(F.sum("n").alias("hits"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     ratio = F.when(area > 0, F.coalesce("hits", F.lit(0)) / area).otherwise(0.0)
     return clipped.join(hits, ["texture_id", "box_id"], "left").select("texture_id", "box_id", ratio.alias("ratio"))
@@ -575,22 +583,28 @@ def context_crop(boxes: DataFrame, padding: int, width: int, height: int) -> Dat
 def foreign_triage(detections: DataFrame, ratios: DataFrame, expected: DataFrame, preserved: DataFrame) -> DataFrame:
     """Classify foreign readings in the editable area.
 
-    ``detections``: box_id, key, foreign; ``ratios``: box_id, editable,
-    old_text, new_text; ``expected``/``preserved``: key. Readings are reduced
-    to distinct keys before they meet the expected texts.
+    ``detections``: texture_id, box_id, key, foreign; ``ratios``: box_id,
+    editable, old_text, new_text; ``expected``/``preserved``: texture_id, key.
+    Readings are reduced to the distinct keys of a texture before they meet the
+    few texts expected on it.
     """
     inside = detections.filter("foreign").join(ratios, "box_id").filter("editable > 0.05")
-    keys = inside.select("key").filter("key <> ''").distinct()
-    named = keys.join(preserved.select("key").distinct(), "key", "left_semi")
-    wanted = expected.select(F.col("key").alias("want")).distinct()
-    contained = keys.join(wanted, F.contains("want", "key") | F.contains("key", "want"), "left_semi")
+    pair = ["texture_id", "key"]
+    keys = inside.select(*pair).filter("key <> ''").distinct()
+    named = keys.join(preserved.select(*pair).distinct(), pair, "left_semi")
+    wanted = expected.select("texture_id", F.col("key").alias("want")).distinct()
+    contained = (
+        keys.join(wanted, "texture_id")
+        .filter(F.contains("want", "key") | F.contains("key", "want"))
+        .select(*pair)
+    )
     allowed = named.unionByName(contained).distinct().withColumn("_ok", F.lit(True))
     verdict = (
         F.when(F.col("_ok"), "allowed")
         .when((F.col("new_text") > 0.05) | (F.col("old_text") > 0.05), "ambiguous")
         .otherwise("foreign")
     )
-    return inside.join(allowed, "key", "left").withColumn("verdict", verdict).drop("_ok")
+    return inside.join(allowed, pair, "left").withColumn("verdict", verdict).drop("_ok")
 
 
 def half_up_mean(total: Column, area: int) -> Column:

@@ -6,6 +6,7 @@ from ..functions import color
 from ..functions.arithmetic import div
 from ..functions.ids import multiset_digest_sql
 from ..operators import mips, texels
+from .adapters import pick
 from .registry import Registry
 
 TEXELS = Registry()
@@ -444,9 +445,11 @@ _POLY = [(2, 1), (13, 4), (9, 9), (14, 14), (3, 12)]
     "texels",
 )
 def polygon_selection(t):
-    edges = list(zip(_POLY, _POLY[1:] + _POLY[:1]))
-    shape = t.spark.createDataFrame([(1, *a, *b) for a, b in edges], "polygon int, x0 long, y0 long, x1 long, y1 long")
-    placed = t.texels.select("texture_id").distinct().crossJoin(F.broadcast(shape))  # five polygon edges
+    edges = zip(_POLY, _POLY[1:] + _POLY[:1])
+    sides = F.array(*[
+        F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (*a, *b))]) for a, b in edges
+    ])
+    placed = t.texels.select("texture_id").distinct().select("texture_id", F.lit(1).alias("polygon"), F.inline(sides))
     return texels.polygon_texels(t.texels, placed)
 
 
@@ -477,23 +480,24 @@ _WORDS = ["beer", "stop", "warning", "facts", "zz", "ab", ""]
 
 @TEXELS.query(
     "j25_foreign_triage",
-    f"""WITH {_BOXES}, w AS (SELECT box_id, ({_WORDS!r})[k%7+1] AS key FROM bx WHERE k%3<>0),
+    f"""WITH {_BOXES}, w AS (SELECT texture_id, box_id, ({_WORDS!r})[k%7+1] AS key FROM bx WHERE k%3<>0),
     r AS (SELECT e.box_id, e.ratio AS editable, o.ratio AS old_text, n.ratio AS new_text FROM {_ratio('editable')} e JOIN {_ratio('old_text')} o USING (box_id) JOIN {_ratio('new_text')} n USING (box_id))
-    SELECT box_id, key, CASE WHEN key='stop' OR (key<>'' AND (contains('beerfacts', key) OR contains(key,'beerfacts'))) THEN 'allowed'
+    SELECT box_id, key, CASE WHEN (key='stop' AND texture_id%2=0) OR (key<>'' AND (contains('beerfacts', key) OR contains(key,'beerfacts'))) THEN 'allowed'
       WHEN new_text>0.05 OR old_text>0.05 THEN 'ambiguous' ELSE 'foreign' END AS verdict FROM w JOIN r USING (box_id) WHERE editable>0.05""",
     "events_k mask_texels",
 )
 def foreign_triage(t):
-    from .adapters import pick
-
     boxes = _boxes(t)
     ratios = None
     for flag in ("editable", "old_text", "new_text"):
         part = texels.box_mask_ratios(boxes, t.mask(flag), *SIZE).select("box_id", F.col("ratio").alias(flag))
         ratios = part if ratios is None else ratios.join(part, "box_id")
-    detections = boxes.select("box_id", pick(_WORDS, F.col("k") % 7).alias("key"), (F.col("k") % 3 != 0).alias("foreign"))
-    expected = t.spark.createDataFrame([("beerfacts",)], "key string")
-    preserved = t.spark.createDataFrame([("stop",)], "key string")
+    detections = boxes.select(
+        "texture_id", "box_id", pick(_WORDS, F.col("k") % 7).alias("key"), (F.col("k") % 3 != 0).alias("foreign")
+    )
+    ids = t.texels.select("texture_id").distinct()
+    expected = ids.withColumn("key", F.lit("beerfacts"))
+    preserved = ids.filter("texture_id % 2 = 0").withColumn("key", F.lit("stop"))
     return texels.foreign_triage(detections, ratios, expected, preserved).select("box_id", "key", "verdict")
 
 
