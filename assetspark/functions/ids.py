@@ -89,29 +89,30 @@ def sanitize_component(name: Column, stable_id: Column, max_length: int = 120) -
 def multiset_digest(row_hash: Column) -> Column:
     """Order-independent digest of a group of SHA-256 row hashes.
 
-    The hash is cut in four 60-bit numbers that are summed, so the aggregate
-    combines map-side and never gathers a group in one place; repeated rows
-    count. Sums of up to 1e19 rows fit in decimal(38,0).
+    Five 24-bit numbers of the hash are summed, so the aggregate combines
+    map-side and never gathers a group in one place; repeated rows count. A
+    group may have 5e11 rows before a sum leaves the 64-bit range, which fails
+    loudly.
     """
     return digest_of_sums(F.count(row_hash), [F.sum(c) for c in hash_chunks(row_hash)])
 
 
+_CHUNK_STARTS = (1, 7, 13, 19, 25)
+
+
 def hash_chunks(row_hash: Column) -> list[Column]:
-    """The four 60-bit numbers of a row hash; their sums can be summed again."""
-    return [
-        F.conv(F.substring(row_hash, start, 15), 16, 10).cast("decimal(38,0)") for start in (1, 16, 31, 46)
-    ]
+    """The five 24-bit numbers of a row hash; their sums can be summed again."""
+    return [F.conv(F.substring(row_hash, start, 6), 16, 10).cast("bigint") for start in _CHUNK_STARTS]
 
 
 def digest_of_sums(count: Column, sums: list[Column]) -> Column:
-    parts = [count.cast("string")] + [s.cast("decimal(38,0)").cast("string") for s in sums]
-    return sha256_hex(F.concat_ws(":", *parts))
+    return sha256_hex(F.concat_ws(":", *[v.cast("string") for v in (count, *sums)]))
 
 
 def multiset_digest_sql(row_hash: str) -> str:
     """The same digest as a DuckDB aggregate expression."""
     parts = [f"count({row_hash})::VARCHAR"] + [
-        f"sum(('0x'||substr({row_hash},{start},15))::BIGINT)::VARCHAR" for start in (1, 16, 31, 46)
+        f"sum(('0x'||substr({row_hash},{start},6))::BIGINT)::VARCHAR" for start in _CHUNK_STARTS
     ]
     return f"sha256(concat_ws(':', {', '.join(parts)}))"
 

@@ -249,10 +249,10 @@ def conflicting_identities(target_sets: DataFrame, identity: list[str], source:
 
 
 def slot_hash() -> Column:
-    """Hash of one slot: names are left out, transforms are canonical."""
+    """Hash of one slot: names are left out, transforms count in billionths."""
     body = F.concat_ws(
         "|", "material_path_id", "property", "texture_bundle_key", "path_id",
-        *[canonical_zero(F.round(c, 6)).cast("decimal(20,6)").cast("string") for c in TRANSFORM],
+        *[F.round(F.col(c) * 1e9).cast("bigint") for c in TRANSFORM],
     )
     return sha256_hex(body)
 

@@ -261,8 +261,8 @@ def conflicting(t):
     return graph.conflicting_identities(both, graph.MATERIAL, "source")
 
 
-_SLOT_HASH = """sha256(concat_ws('|', material_path_id, property, texture_bundle_key, path_id, round(scale_u,6)::DECIMAL(20,6)::VARCHAR,
-    round(scale_v,6)::DECIMAL(20,6)::VARCHAR, round(offset_u,6)::DECIMAL(20,6)::VARCHAR, round(offset_v,6)::DECIMAL(20,6)::VARCHAR))"""
+_SLOT_HASH = """sha256(concat_ws('|', material_path_id, property, texture_bundle_key, path_id, round(scale_u*1e9)::BIGINT,
+    round(scale_v*1e9)::BIGINT, round(offset_u*1e9)::BIGINT, round(offset_v*1e9)::BIGINT))"""
 
 _DIGEST = f"""gd AS (SELECT bundle_key, {multiset_digest_sql('h')} AS graph_sha256, count(DISTINCT material_path_id) AS material_count, count(*) AS texture_slot_count FROM
       (SELECT *, {_SLOT_HASH} AS h FROM slots) GROUP BY 1)"""
