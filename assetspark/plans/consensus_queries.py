@@ -280,8 +280,8 @@ def top_readings(t):
 
 
 _COUNTS = """WITH cap AS (SELECT * FROM (VALUES ('Facts', true), ('Beer', true), ('12', false)) v(text, capable)),
-    s AS (SELECT text, sum(occurrences) AS expected, sum(CASE WHEN ocr_required IS NOT NULL THEN occurrences ELSE 0 END) AS ex,
-      sum(CASE WHEN ocr_required THEN occurrences ELSE 0 END) AS er FROM regions GROUP BY text)
+    s AS (SELECT text, sum(occurrences)::BIGINT AS expected, sum(CASE WHEN ocr_required IS NOT NULL THEN occurrences ELSE 0 END)::BIGINT AS ex,
+      sum(CASE WHEN ocr_required THEN occurrences ELSE 0 END)::BIGINT AS er FROM regions GROUP BY text)
     SELECT s.text, expected, er + CASE WHEN coalesce(capable,false) THEN expected-ex ELSE 0 END AS required FROM s LEFT JOIN cap USING (text)"""
 
 
@@ -293,7 +293,7 @@ def occurrences(t):
 
 @CONSENSUS.query(
     "a14_count_comparison",
-    """WITH e AS (SELECT text, sum(occurrences) AS expected FROM regions WHERE text<>'12' GROUP BY 1),
+    """WITH e AS (SELECT text, sum(occurrences)::BIGINT AS expected FROM regions WHERE text<>'12' GROUP BY 1),
     a AS (SELECT text, count(*) AS actual FROM regions WHERE text<>'Stop' GROUP BY 1)
     SELECT text, coalesce(expected,0) AS expected, coalesce(actual,0) AS actual, expected IS NOT DISTINCT FROM actual AS equal,
     expected IS NOT NULL AND coalesce(actual,0)>coalesce(expected,0) AS duplicate FROM e FULL JOIN a USING (text)""",
@@ -421,7 +421,7 @@ def inverse_rotation(t):
 @CONSENSUS.query(
     "f15_polygon_box",
     """SELECT seq, greatest(0, floor(x0-0.5::DOUBLE))::BIGINT AS x0, greatest(0, floor(y0-0.5::DOUBLE))::BIGINT AS y0, least(420, ceil(x1+0.25::DOUBLE))::BIGINT AS x1,
-    least(420, ceil(y1+0.25::DOUBLE))::BIGINT AS y1, (x0-0.5+x1+0.25)/2 AS cx, (y0-0.5+y1+0.25)/2 AS cy, x1-x0+0.75 AS width, y1-y0+0.75 AS height FROM readings""",
+    least(420, ceil(y1+0.25::DOUBLE))::BIGINT AS y1, (x0-0.5+x1+0.25)/2 AS cx, (y0-0.5+y1+0.25)/2 AS cy, (x1-x0+0.75)::DOUBLE AS width, (y1-y0+0.75)::DOUBLE AS height FROM readings""",
     "readings",
 )
 def polygon_box(t):

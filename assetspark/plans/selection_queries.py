@@ -265,7 +265,7 @@ def report_order(t):
     "a06_run_summary",
     f"""WITH {_RESULTS}, r AS (SELECT *, asset_id%3+1 AS refs FROM res)
     SELECT 'total' AS counter, 'unique_textures' AS name, count(*) AS n FROM r
-    UNION ALL SELECT 'total','source_references', sum(refs) FROM r
+    UNION ALL SELECT 'total','source_references', sum(refs)::BIGINT FROM r
     UNION ALL SELECT 'total','candidate_textures', count(*) FILTER (effective_tier IN ('confirmed','probable','needs_review')) FROM r
     UNION ALL SELECT 'tier', effective_tier, count(*) FROM r GROUP BY 2
     UNION ALL SELECT 'processing', status, count(*) FROM r GROUP BY 2""",

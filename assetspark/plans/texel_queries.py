@@ -293,7 +293,7 @@ def otsu(t):
     return texels.otsu_threshold(t.texels, "r")
 
 
-@TEXELS.query("w01_running_histogram", f"{_OTSU} SELECT texture_id, bin, cw AS weight, cs AS weighted_sum FROM c", "texels")
+@TEXELS.query("w01_running_histogram", f"{_OTSU} SELECT texture_id, bin, cw::BIGINT AS weight, cs::BIGINT AS weighted_sum FROM c", "texels")
 def running_histogram(t):
     return texels.running_histogram(t.texels, "r")
 
