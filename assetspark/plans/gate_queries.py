@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import multiset_digest_sql
 from ..operators import gates, graph, texels
-from .graph_queries import _AUX, _CLOSE, _DIFF, _MT, _PLANS, _ROLE, _aux_plans, _aux_textures
+from .graph_queries import _AUX, _CLOSE, _MT, _PLANS, _ROLE, _aux_plans, _aux_textures
 from .registry import Registry
 from .texel_queries import _NEED, _PAIRS, _pairs
 
