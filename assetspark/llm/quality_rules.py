@@ -90,19 +90,19 @@ def cascade(rules: list[Rule]) -> Column:
     return verdict
 
 
-def run_cascade(
-    docs: DataFrame, rules: list[Rule], open_rows: Column | None = None, sample_rows: int = 2000, fraction: float = 0.05, seed: int = 5
-) -> DataFrame:
-    """Adds ``rejected_by``; ``docs`` has what the rules read, ``open_rows`` says which rows are judged.
-
-    The order comes from a bounded sample (about ``fraction`` of the rows, ``sample_rows`` at
-    most) and only changes the cost: a row is kept if no rule rejects it, in any order. An empty
-    sample leaves the rules by name.
+def run_cascade(docs: DataFrame, rules: list[Rule], sample: DataFrame, open_rows: Column | None = None) -> DataFrame:
+    """Adds ``rejected_by``; ``docs`` and ``sample`` have what the rules read, ``open_rows`` says which rows are judged.
+
+    The order comes from the sample and only changes the cost: a row is kept if no rule rejects
+    it, in any order. An empty sample orders the rules by name.
     """
-    open_rows = F.lit(True) if open_rows is None else open_rows
-    sample = cut_lineage(docs.sample(fraction=fraction, seed=seed).limit(sample_rows))
-    ordered = order_rules(measure(sample, rules))
-    return docs.withColumn("rejected_by", F.when(open_rows, cascade(ordered)))
+    ordered = order_rules(measure(cut_lineage(sample), rules))
+    return docs.withColumn("rejected_by", F.when(F.lit(True) if open_rows is None else open_rows, cascade(ordered)))
+
+
+def sample_of(docs: DataFrame, rows: int = 2000, seed: int = 5) -> DataFrame:
+    """About ``rows`` rows, drawn before anything is computed from them."""
+    return docs.sample(fraction=min(1.0, rows / max(1, docs.count())), seed=seed)
 
 
 def production_rules() -> list[Rule]:
@@ -130,9 +130,10 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", min_words: int = 5
     Repeated rows and null ids get a row each; extra columns are not read; an empty table gives no
     rows. Everything is computed inside the row, so no key gathers rows.
     """
-    rows = base_features(with_words(docs.select(F.col(id_col).alias("_id"), F.col("text"))))
+    source = docs.select(F.col(id_col).alias("_id"), F.col("text"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    judged = run_cascade(rows.withColumn("base_failed", failed), production_rules(), ~F.col("base_failed"))
+    rows = base_features(with_words(source)).withColumn("base_failed", failed)
+    judged = run_cascade(rows, production_rules(), base_features(with_words(sample_of(source))), ~F.col("base_failed"))
     return judged.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"),
