@@ -16,8 +16,10 @@ from .common import BYTE_CODE, LOWER, longs, mix, prefix_sums, signed, span_hash
 #: bands of 4 with a probability of 5e-8.
 COORDINATES = 128
 BAND = 4
-#: Rounds of pivots before the remaining members of unsettled buckets are joined by prefixes.
-PIVOT_ROUNDS = 3
+#: Rounds of pivots before the remaining members of unsettled buckets are joined by prefixes, and
+#: pivots that the buckets of one group get in a later round.
+PIVOT_ROUNDS = 2
+PIVOTS = 4
 
 _LOW_CODE = BYTE_CODE[LOWER]
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -183,8 +185,10 @@ def _prefix_pairs(open_members: DataFrame, sets: DataFrame, percent: int) -> Dat
     """All pairs of different components among the given members that can be similar enough.
 
     Two sets of that similarity share one of their rarest shingles: of n shingles, the n -
-    ceil(n * percent / 100) + 1 rarest. Joining on those only makes pairs that share a rare one,
-    also where thousands of texts share a common passage.
+    ceil(n * percent / 100) + 1 rarest. The first shared one, at places i and j of the two orders,
+    leaves at most min(n - i, m - j) shared shingles, which must be enough for the sizes n and m.
+    Joining under that condition makes few pairs, also where thousands of texts share a passage
+    or are edited copies of one text just below the similarity.
     """
     nodes = open_members.select(F.col("rep").alias("_id"), "component").distinct()
     rows = sets.join(nodes, "_id").select("_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
@@ -194,14 +198,14 @@ def _prefix_pairs(open_members: DataFrame, sets: DataFrame, percent: int) -> Dat
     prefixes = (
         ranked.groupBy("_id", "component", "n")
         .agg(F.sort_array(F.collect_list(F.struct("_f", "s"))).alias("_all"))  # the shingles of one document
-        .select("_id", "component", "n", F.explode(F.slice("_all", F.lit(1), keep.cast("int"))).alias("_p"))
+        .select("_id", "component", "n", F.posexplode(F.slice("_all", F.lit(1), keep.cast("int"))).alias("i", "_p"))
         .filter("_p._f > 1")
-        .select("_id", "component", "n", F.col("_p.s").alias("s"))
+        .select("_id", "component", F.col("_p.s").alias("s"), "n", (F.col("n") - F.col("i")).alias("after"))
     )
     left, right = prefixes.alias("x"), prefixes.alias("y")
+    enough = (100 + percent) * F.least("x.after", "y.after") >= percent * (F.col("x.n") + F.col("y.n"))
     return (
-        left.join(right, F.expr("x.s = y.s and x.component < y.component"))
-        .filter(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        left.join(right, F.expr("x.s = y.s and x.component < y.component") & enough)
         .select(F.col("x._id").alias("a"), F.col("y._id").alias("b"))
         .distinct()
     )
@@ -237,7 +241,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         source.join(candidates, "_id", "left_semi").mapInArrow(_full_sets(width), "_id long, shingles array<long>").distinct()
     )
 
-    # copies link to the smallest id of their class, so a class is never taken apart
+    # Round 0 takes the smallest id of a bucket as its pivot, later rounds one of a few by hash, so
+    # that the many buckets of one group compare its members with several pivots.
     links = None
     labels = members.sparkSession.createDataFrame([], "id long, component long")
     for number in range(PIVOT_ROUNDS + 1):
@@ -247,7 +252,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         if number == PIVOT_ROUNDS:
             pairs = _prefix_pairs(open_members, sets, percent)
         else:
-            order = F.col("rep") if number == 0 else F.xxhash64("rep", F.lit(number))
+            order = F.col("rep") if number == 0 else F.xxhash64("rep", F.pmod("bucket", F.lit(PIVOTS)), F.lit(number))
             pivots = open_members.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), order).alias("_p"))
             pairs = (
                 open_members.join(pivots, "bucket")
@@ -256,10 +261,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
                 .distinct()
             )
         found = cut_lineage(links_of(pairs, sets, percent))
-        links = found if links is None else links.union(found)
-        if found.isEmpty() and number:
-            continue
-        labels = components(links)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links)
 
     named = classes.select(F.col("n"), "d1", "d2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "n", "d1", "d2", F.coalesce("component", "rep").alias("_component")
