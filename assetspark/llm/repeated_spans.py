@@ -117,6 +117,8 @@ def _sample(length: int, q: int):
             key = mix(deep[low] * _C1 + deep[high] * _C2 + shape.astype(np.uint64))
             bucket = first[anchor]
             order = np.lexsort((place, ids, key, bucket))
+            # a repeated row of one document has the same places: they count once
+            order = order[_first_of([bucket[order], key[order], ids[order], place[order]])]
             bucket, key, ids, place, shape = bucket[order], key[order], ids[order], place[order], shape[order]
             new = _first_of([bucket, key])
             spot = mix(ids.view(np.uint64) * _C1 + place.astype(np.uint64))
@@ -236,6 +238,7 @@ def _strings(length: int, q: int):
             string = mix(deep[at] * _C1 + first[offsets[row] + anchor] * _C2 + (anchor - place).astype(np.uint64))
             ids = longs(batch.column("_id"), np.iinfo(np.int64).max)[row]
             order = np.lexsort((place, ids, string))
+            order = order[_first_of([string[order], ids[order], place[order]])]
             string, ids, place = string[order], ids[order], place[order]
             new = _first_of([string])
             spot = mix(ids.view(np.uint64) * _C3 + place.astype(np.uint64))
