@@ -12,7 +12,7 @@ import numpy as np
 from .common import LOWER, prefix_sums, span_hash, spread
 
 #: Entries after which a table starts anew, so that its memory has a bound.
-TABLE_ENTRIES = 1 << 21
+TABLE_ENTRIES = 1 << 20
 
 
 def process_cache(name: str, make: Callable[[], object]) -> object:
