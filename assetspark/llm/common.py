@@ -14,7 +14,7 @@ SPACES = " \t\n\u000b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Text bytes that one step of a vectorised function holds at a time (a longer document is a step of its own).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
