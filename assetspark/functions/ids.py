@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .text import BLANKS, nfc
+
 # Schema versions that take part in the cache key.
 RESULT_SCHEMA = 1
 PREPROCESS_SCHEMA = 1
@@ -68,14 +70,14 @@ def png_name(key: Column, texture: Column) -> Column:
 
 def sanitize_component(name: Column, stable_id: Column, max_length: int = 120) -> Column:
     """File-system safe component; any change appends a short hash of the id."""
-    trimmed = F.regexp_replace(name, r"[ .\x00-\x1f]+$", "")
+    trimmed = F.regexp_replace(nfc(name), r"[ .\x00-\x1f]+$", "")
     # last dot that is not the first character starts the suffix
     candidate = F.regexp_extract(trimmed, r"(?s)^.*[^./\\][^/\\]*?(\.[^./\\]+)$", 1)
     suffix = F.when(
         (F.length(candidate) <= 16) & ~candidate.rlike(_FORBIDDEN), candidate
     ).otherwise(F.lit(""))
     raw_stem = F.substring(trimmed, F.lit(1), F.length(trimmed) - F.length(suffix))
-    spaced = F.regexp_replace(F.regexp_replace(raw_stem, _FORBIDDEN, "_"), r"\s+", " ")
+    spaced = F.regexp_replace(F.regexp_replace(raw_stem, _FORBIDDEN, "_"), f"[{BLANKS}]+", " ")
     stem = F.btrim(spaced, F.lit(" ."))
     stem = F.when(stem == "", F.lit("asset")).otherwise(stem)
     stem = F.when(F.upper(stem).isin(RESERVED_STEMS), F.concat(F.lit("_"), stem)).otherwise(stem)

@@ -37,6 +37,11 @@ def letter_class(script_word: str) -> str:
     return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
 
 
+# The code points that count as white space, as the body of a regex class.
+BLANKS = (
+    r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+
 # Below U+0300 every string is already NFC, and only these five letters have a
 # full casefold that differs from lower-casing.
 _BEYOND_SIMPLE = "[\\x{300}-\\x{10FFFF}]"
@@ -71,6 +76,11 @@ def _unicode_path(text: Column, pattern: str, udf, plain: Column) -> Column:
     return F.when(hard, udf(F.when(hard, text))).otherwise(plain)
 
 
+def is_blank(text: Column) -> Column:
+    """True for an empty text and one of white space only, null for null."""
+    return ~text.rlike(f"[^{BLANKS}]")
+
+
 def nfc(text: Column) -> Column:
     return _unicode_path(text, _BEYOND_SIMPLE, _nfc_udf, text)
 
@@ -135,7 +145,7 @@ def clamp_confidence(value: Column) -> Column:
 
 
 def short_text(text: Column, limit: int = 220) -> Column:
-    compact = F.trim(F.regexp_replace(text, r"\s+", " "))
+    compact = F.trim(F.regexp_replace(text, f"[{BLANKS}]+", " "))
     return F.when(F.length(compact) <= limit, compact).otherwise(
         F.concat(F.substring(compact, 1, limit - 1), F.lit("…"))
     )

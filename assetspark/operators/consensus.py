@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..functions.arithmetic import count_where, div
-from ..functions.text import agreement_text, literal_text
+from ..functions.text import agreement_text, is_blank, literal_text
 from ..session import cut_lineage
 from .skew import number_by_rows, running_min_before
 
@@ -246,12 +246,12 @@ def visual_candidate() -> Column:
 
 def korean_candidate(script: str = "korean") -> Column:
     return (
-        F.contains("script", F.lit(script)) & (F.col("confidence") >= 0.75) & ~F.col("text").rlike(r"^\s*$")
+        F.contains("script", F.lit(script)) & (F.col("confidence") >= 0.75) & ~is_blank(F.col("text"))
     )
 
 
 def valid_reading(minimum: Column | float) -> Column:
-    return (F.col("confidence") >= minimum) & ~literal_text(F.col("text")).rlike(r"^\s*$")
+    return (F.col("confidence") >= minimum) & ~is_blank(literal_text(F.col("text")))
 
 
 def _suppress(rows: DataFrame, order: list[Column], covers, fold_limit: int) -> DataFrame:

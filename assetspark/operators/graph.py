@@ -249,12 +249,15 @@ def conflicting_identities(target_sets: DataFrame, identity: list[str], source:
 
 
 def slot_hash() -> Column:
-    """Hash of one slot: names are left out, transforms count in billionths."""
-    body = F.concat_ws(
-        "|", "material_path_id", "property", "texture_bundle_key", "path_id",
-        *[F.round(F.col(c) * 1e9).cast("bigint") for c in TRANSFORM],
-    )
-    return sha256_hex(body)
+    """Hash of one slot: names are left out, transforms enter exactly.
+
+    Every field is written as its length and value, or ``-`` for null, so no two slots
+    share a body.
+    """
+    fields = [F.col(c) for c in ("material_path_id", "property", "texture_bundle_key", "path_id")]
+    fields += [canonical_zero(F.col(c)) for c in TRANSFORM]
+    texts = [c.cast("string") for c in fields]
+    return sha256_hex(F.concat(*[F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("-")) for v in texts]))
 
 
 def graph_digests(slots: DataFrame) -> DataFrame:
@@ -377,22 +380,24 @@ def apply_overrides(records: DataFrame, overrides: DataFrame) -> DataFrame:
 
     ``records``: bundle_key, target_id, source, source_sha256, graph_sha256;
     ``overrides``: bundle_key, target_id, source, sha256, graph_sha256. An
-    override applies only if it matches exactly one record and one graph.
+    override applies only if it is the only one of its target and matches exactly one record
+    and one graph; otherwise the record stays as it is and ``origin`` says why.
     """
     counted = records.groupBy("bundle_key", "target_id").agg(F.count("*").alias("matches"))
-    over = overrides.select(
-        "bundle_key", "target_id", F.col("source").alias("o_source"), F.col("sha256").alias("o_sha"),
-        F.col("graph_sha256").alias("o_graph"),
+    over = overrides.groupBy("bundle_key", "target_id").agg(
+        F.count("*").alias("overrides"), F.min("source").alias("o_source"), F.min("sha256").alias("o_sha"),
+        F.min("graph_sha256").alias("o_graph"),
     )
     joined = records.join(over.join(counted, ["bundle_key", "target_id"]), ["bundle_key", "target_id"], "left")
-    valid = (F.col("matches") == 1) & F.col("o_graph").eqNullSafe(F.col("graph_sha256"))
+    single = (F.col("matches") == 1) & (F.col("overrides") == 1)
+    valid = single & F.col("o_graph").eqNullSafe(F.col("graph_sha256"))
     return joined.select(
         "bundle_key", "target_id",
         F.when(valid, F.col("o_source")).otherwise(F.col("source")).alias("source"),
         F.when(valid, F.col("o_sha")).otherwise(F.col("source_sha256")).alias("source_sha256"),
-        F.when(F.col("o_source").isNull(), "original")
+        F.when(F.col("overrides").isNull(), "original")
         .when(valid, "verified_override")
-        .when(F.col("matches") != 1, "ambiguous_override")
+        .when(~single, "ambiguous_override")
         .otherwise("graph_changed")
         .alias("origin"),
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +28,21 @@ def combined_signature(primary: str, fallback: str | None) -> str:
     return primary if fallback is None else f"{primary}|{fallback}"
 
 
+def target_letters(text: str) -> int:
+    """Latin and Cyrillic letters of a text, counted after NFC."""
+    names = (unicodedata.name(c, "") for c in unicodedata.normalize("NFC", text) if c.isalpha())
+    return sum("LATIN" in n or "CYRILLIC" in n for n in names)
+
+
 def run_engine(
-    assets: DataFrame, engine: str, recognize: Recognizer, variants: list[str], stop_score: float | None, first_call: int = 0
+    assets: DataFrame, engine: str, recognize: Recognizer, variants: list[str], stop_score: float | None, first_call: int = 0,
+    stop_letters: int = Thresholds.confirmed_letters,
 ) -> DataFrame:
     """Calls of one engine over distinct assets (asset_id, payload).
 
     An asset is one row, so its variants are tried in order inside one task and
-    the walk stops at a reading with at least ``stop_score`` and three letters.
+    the walk stops at a reading with at least ``stop_score`` and ``stop_letters`` Latin or
+    Cyrillic letters.
     An exception becomes an error row and ends that asset's calls.
     """
 
@@ -52,7 +62,7 @@ def run_engine(
                         for i, d in enumerate(found)
                     ]
                     if stop_score is not None and any(
-                        d["confidence"] >= stop_score and sum(map(str.isalpha, d["text"])) >= 3 for d in found
+                        d["confidence"] >= stop_score and target_letters(d["text"]) >= stop_letters for d in found
                     ):
                         break
             names = ["asset_id", "call_no", "item", "engine", "variant", "text", "confidence", "ok", "error"]
@@ -77,12 +87,12 @@ def scan_assets(
 ) -> DataFrame:
     """Tier and processing status of each asset after both stages."""
     # recognition is the costly step: its calls are stored before they are read again
-    first = cut_lineage(run_engine(assets, primary[0], primary[1], variants, thresholds.confirmed_score))
+    first = cut_lineage(run_engine(assets, primary[0], primary[1], variants, thresholds.confirmed_score, stop_letters=thresholds.confirmed_letters))
     calls = first
     if fallback is not None:
         sure = classify(detections_of(first), thresholds).filter("tier = 'confirmed'").select("asset_id")
         left = assets.join(sure, "asset_id", "left_anti")
-        second = run_engine(left, fallback[0], fallback[1], variants, thresholds.confirmed_score, len(variants))
+        second = run_engine(left, fallback[0], fallback[1], variants, thresholds.confirmed_score, len(variants), thresholds.confirmed_letters)
         calls = first.unionByName(cut_lineage(second))
     status = processing_status(calls.filter("ok is not null"))
     tiers = classify(detections_of(calls), thresholds)

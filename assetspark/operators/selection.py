@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arithmetic import count_where
 from ..functions.ids import asset_id, sha256_hex
-from ..functions.text import agreement_text, casefold, nfc, script_letters, similarity
+from ..functions.text import agreement_text, casefold, is_blank, nfc, script_letters, similarity
 from ..session import cut_lineage
 
 # Token lists of the name filter.
@@ -50,7 +50,7 @@ def _filled(value: Column) -> Column:
 
 def first_non_blank(*candidates: Column) -> Column:
     """First field that holds more than white space."""
-    return F.coalesce(*[F.when(~c.rlike(r"^\s*$"), c) for c in candidates])
+    return F.coalesce(*[F.when(~is_blank(c), c) for c in candidates])
 
 
 def item_key(key: Column) -> Column:
@@ -77,7 +77,7 @@ def bundle_asset_type(explicit: Column, key: Column) -> Column:
 
 def groups(explicit: Column, map_name: Column, category: Column) -> Column:
     """Explicit groups first, then map and category unless already present."""
-    given = F.filter(F.coalesce(explicit, F.array().cast("array<string>")), lambda g: ~g.rlike(r"^\s*$"))
+    given = F.filter(F.coalesce(explicit, F.array().cast("array<string>")), lambda g: ~is_blank(g))
     extra = F.array_distinct(
         F.array_compact(F.array(F.when(_filled(map_name), map_name), F.when(_filled(category), category)))
     )
@@ -321,7 +321,7 @@ def asset_evidence(detections: DataFrame, t: Thresholds = Thresholds()) -> DataF
     """One pass over the detections: everything a tier needs but agreement."""
     target = F.col("letters") > 0
     engine = F.nullif(F.col("engine"), F.lit(""))
-    blank = F.col("text").rlike(r"^\s*$")
+    blank = is_blank(F.col("text"))
     rank = F.struct("confidence", "letters", "text", (-F.col("seq")).alias("back"))
     # the set of engines is the small fixed list of configured recognizers
     return detections.groupBy("asset_id").agg(
@@ -491,7 +491,7 @@ def catalog_destinations(references: DataFrame) -> DataFrame:
     Known types give one row each; an asset without a known type goes to the
     unknown root. Only counts and minima are kept per asset.
     """
-    named = F.when(~F.col("group").rlike(r"^\s*$"), F.col("group"))
+    named = F.when(~is_blank(F.col("group")), F.col("group"))
     known = F.col("asset_type").isin("map", "item")
     per_type = references.withColumn("named", named).groupBy("asset_id", "asset_type").agg(
         F.min("named").alias("lo"), F.max("named").alias("hi")

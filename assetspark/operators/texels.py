@@ -168,7 +168,8 @@ def pad_outside(texels: DataFrame, channels: list[str] = RGBA) -> DataFrame:
     ``texels`` has a boolean ``covered``. The nearest covered texel of each
     pixel row is found with two windows; the column step then adds the row
     distance inside blocks of texture columns, whose size is bounded. Ties: smaller
-    squared distance, then smaller y, then smaller x.
+    squared distance, then smaller y, then smaller x. The texels of a texture without any
+    covered one have null sources and channels and the error ``no_coverage``.
     """
     row = Window.partitionBy("texture_id", "y").orderBy("x")
     here = F.when(F.col("covered"), F.col("x"))
@@ -187,22 +188,29 @@ def pad_outside(texels: DataFrame, channels: list[str] = RGBA) -> DataFrame:
         row_x[y - top, x - left] = frame["row_x"].fillna(-1).to_numpy(np.int64)
         ys = np.arange(shape[0])[:, None] + top
         xs = np.arange(shape[1])[None, :] + left
-        # packed key: squared distance, then y, then x (14 bits each)
+        # two keys: squared distance, then y and x of the source (31 bits each)
         none = np.iinfo(np.int64).max
-        tail = (ys << 14) | row_x
+        tail = (ys << 31) | row_x
         flat = (row_x - xs) ** 2
-        best = np.full(shape, none)
+        best, place = np.full(shape, none), np.full(shape, none)
+
+        def nearer(into: slice, take: slice, step: int) -> None:
+            far = np.where(row_x[take] >= 0, flat[take] + step * step, none)
+            better = (far < best[into]) | ((far == best[into]) & (tail[take] < place[into]) & (far != none))
+            np.copyto(best[into], far, where=better)
+            np.copyto(place[into], tail[take], where=better)
+
         for step in range(shape[0]):
-            if step and (step * step) << 28 > best.max():
+            if step and step * step > best.max():
                 break
-            key = np.where(row_x >= 0, ((flat + step * step) << 28) | tail, none)
-            best[step:] = np.minimum(best[step:], key[: shape[0] - step])
+            nearer(slice(step, None), slice(0, shape[0] - step), step)
             if step:
-                best[:-step] = np.minimum(best[:-step], key[step:])
-        found = best[y - top, x - left]
+                nearer(slice(0, -step), slice(step, None), step)
+        found = place[y - top, x - left]
         hit = found != none
-        frame["source_y"] = np.where(hit, (found >> 14) & 0x3FFF, -1)
-        frame["source_x"] = np.where(hit, found & 0x3FFF, -1)
+        frame["source_y"] = pd.array(found >> 31, "Int64")
+        frame["source_x"] = pd.array(found & 0x7FFFFFFF, "Int64")
+        frame.loc[~hit, ["source_y", "source_x"]] = pd.NA
         return frame[["texture_id", "x", "y", "source_x", "source_y"]]
 
     # 64 columns of one texture per group: bounded by 64 times the texture height
@@ -212,7 +220,8 @@ def pad_outside(texels: DataFrame, channels: list[str] = RGBA) -> DataFrame:
     colors = texels.select(
         "texture_id", F.col("x").alias("source_x"), F.col("y").alias("source_y"), *channels
     )
-    return nearest.join(colors, ["texture_id", "source_x", "source_y"])
+    error = F.when(F.col("source_x").isNull(), "no_coverage")
+    return nearest.join(colors, ["texture_id", "source_x", "source_y"], "left").withColumn("error", error)
 
 
 # ---- selections -----------------------------------------------------------

@@ -261,8 +261,11 @@ def conflicting(t):
     return graph.conflicting_identities(both, graph.MATERIAL, "source")
 
 
-_SLOT_HASH = """sha256(concat_ws('|', material_path_id, property, texture_bundle_key, path_id, round(scale_u*1e9)::BIGINT,
-    round(scale_v*1e9)::BIGINT, round(offset_u*1e9)::BIGINT, round(offset_v*1e9)::BIGINT))"""
+_SLOT_HASH = "sha256(" + "||".join(
+    f"coalesce(length({v})||':'||{v},'-')"
+    for v in [f"({c})::VARCHAR" for c in ("material_path_id", "property", "texture_bundle_key", "path_id")]
+    + [f"({c}+0.0::DOUBLE)::VARCHAR" for c in ("scale_u", "scale_v", "offset_u", "offset_v")]
+) + ")"
 
 _DIGEST = f"""gd AS (SELECT bundle_key, {multiset_digest_sql('h')} AS graph_sha256, count(DISTINCT material_path_id) AS material_count, count(*) AS texture_slot_count FROM
       (SELECT *, {_SLOT_HASH} AS h FROM slots) GROUP BY 1)"""
@@ -525,7 +528,7 @@ def uv_projection(t):
 def safe_keys(t):
     p = F.col("page_id") % 4
     key = (
-        F.when(p == 0, F.substring("url", 8, 100000))
+        F.when(p == 0, F.substring("url", F.lit(8), F.length("url")))
         .when(p == 1, F.concat(F.lit("/"), "url"))
         .when(p == 2, F.replace("url", F.lit("example"), F.lit("..")))
         .otherwise(F.concat(F.lit("a/../"), "page_id"))

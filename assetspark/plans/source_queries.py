@@ -42,8 +42,9 @@ def texel_roundtrip(t):
 
 @SOURCES.query(
     "s05_manifest_records",
-    """SELECT o_orderkey AS source, CASE o_orderkey%5 WHEN 4 THEN NULL ELSE 'img/'||o_orderkey END AS image, CASE o_orderkey%5 WHEN 4 THEN 'unsupported_manifest' END AS error FROM orders
-    UNION ALL SELECT o_orderkey, 'img/'||o_custkey, NULL FROM orders WHERE o_orderkey%5 IN (0,1)""",
+    """SELECT o_orderkey AS source, CASE WHEN o_orderkey%5<>4 THEN 'img/'||o_orderkey END AS image, CASE WHEN o_orderkey%5=4 THEN 'unsupported_manifest' END AS error FROM orders WHERE o_orderkey%5 NOT IN (2,3)
+    UNION ALL SELECT o_orderkey, 'img/'||o_custkey, NULL FROM orders WHERE o_orderkey%5 IN (0,1)
+    UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey%5 IN (2,3) THEN 'img/'||o_orderkey END, CASE WHEN o_orderkey%5 NOT IN (2,3) THEN 'unsupported_manifest' END FROM orders WHERE o_orderkey%5 IN (0,2,3)""",
 )
 def manifest_records(t):
     k = F.col("o_orderkey")
@@ -56,7 +57,10 @@ def manifest_records(t):
         .otherwise(one)
     )
     docs = t.orders.select(k.alias("source"), text.alias("value"))
-    return manifests.manifest_records(docs, "value").select("source", F.col("record")["image"].alias("image"), "error")
+    # single objects are rows of a JSONL file, lists and wrapped lists whole files; the rest is wrong as either
+    files = manifests.manifest_records(docs.filter("source % 5 not in (2, 3)"), "value")
+    rows = manifests.manifest_records(docs.filter("source % 5 in (0, 2, 3)"), "value", lines=True)
+    return files.unionByName(rows).select("source", F.col("record")["image"].alias("image"), "error")
 
 
 @SOURCES.query("s08_catalog_dependencies", "SELECT bundle_key, depends_on FROM deps", "deps")

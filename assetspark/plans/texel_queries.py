@@ -154,7 +154,7 @@ def combined_coverage(t):
     arg_min(c.x, ((c.x-t.x)*(c.x-t.x)+(c.y-t.y)*(c.y-t.y))*100000+c.y*100+c.x) AS source_x,
     arg_min(c.y, ((c.x-t.x)*(c.x-t.x)+(c.y-t.y)*(c.y-t.y))*100000+c.y*100+c.x) AS source_y,
     arg_min(c.r, ((c.x-t.x)*(c.x-t.x)+(c.y-t.y)*(c.y-t.y))*100000+c.y*100+c.x) AS r
-    FROM flagged_texels t JOIN c USING (texture_id) GROUP BY 1,2,3""",
+    FROM flagged_texels t LEFT JOIN c USING (texture_id) GROUP BY 1,2,3""",
     "flagged_texels",
 )
 def nearest_fill(t):

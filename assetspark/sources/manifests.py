@@ -21,12 +21,13 @@ RESULT = T.StructType(
 )
 
 
-def manifest_records(documents: DataFrame, column: str) -> DataFrame:
-    """Manifest records of JSON texts: an array, a wrapped array or one object per line.
+def manifest_records(documents: DataFrame, column: str, lines: bool = False) -> DataFrame:
+    """Manifest records of JSON texts, by file kind.
 
-    ``documents`` has ``source`` and a JSON text per row. Wrapped arrays live in
-    assets, entries or records, tried in this order. Rows that are not records
-    come back with an ``error``.
+    ``documents`` has ``source`` and a JSON text per row. A whole file is an array, or an
+    object whose array lives in assets, entries or records, tried in this order. With
+    ``lines`` each text is one JSONL row and must be an object; its own fields are kept,
+    whatever their names. Anything else comes back with an ``error``.
     """
     text = F.col(column)
     wrapper = T.StructType([T.StructField(k, T.ArrayType(RECORD)) for k in ("assets", "entries", "records")])
@@ -39,7 +40,7 @@ def manifest_records(documents: DataFrame, column: str) -> DataFrame:
         F.when(is_object, F.from_json(text, RECORD)).alias("one"),
     )
     inner = F.coalesce("wrapped.assets", "wrapped.entries", "wrapped.records")
-    records = F.coalesce("many", inner, F.when(F.col("one").isNotNull(), F.array("one")))
+    records = F.when(F.col("one").isNotNull(), F.array("one")) if lines else F.coalesce("many", inner)
     rows = parsed.select("source", records.alias("records"))
     return rows.select("source", "records", F.explode_outer("records").alias("record")).select(
         "source", "record",
@@ -49,8 +50,9 @@ def manifest_records(documents: DataFrame, column: str) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifest file: JSONL is split by line, other JSON is read whole."""
-    lines = spark.read.text(path, wholetext=not path.lower().endswith(".jsonl"))
-    return manifest_records(lines.filter(F.trim("value") != "").withColumn("source", F.lit(path)), "value")
+    lines = path.lower().endswith(".jsonl")
+    texts = spark.read.text(path, wholetext=not lines)
+    return manifest_records(texts.filter(F.trim("value") != "").withColumn("source", F.lit(path)), "value", lines)
 
 
 CATALOG = T.MapType(T.StringType(), T.StructType([T.StructField("Dependencies", T.ArrayType(T.StringType()))]))
