@@ -8,26 +8,22 @@ from .texel_queries import _gloss_sql, _packed
 
 DERIVE = Registry()
 
-_FULL = "ft AS (SELECT * FROM texels WHERE texture_id IN (SELECT texture_id FROM texels GROUP BY 1 HAVING count(*)=256))"
+# textures are 16 wide; h is the number of rows, at which y wraps
+_HEIGHTS = "(SELECT texture_id, count(DISTINCT y) AS h FROM texels GROUP BY 1)"
+_FULL = f"ft AS (SELECT t.*, h FROM texels t JOIN {_HEIGHTS} USING (texture_id))"
 
 
-def _full(t):
-    """Textures whose sixteen rows are all there."""
-    whole = t.texels.groupBy("texture_id").agg(F.count("*").alias("n")).filter("n = 256")
-    return t.texels.join(whole, "texture_id", "left_semi")
-
-
-_BLUR_X = """SELECT t.texture_id, t.x, t.y, sum(CASE abs(d) WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 1 END/16.0::DOUBLE*s.v) AS v
-    FROM {src} t, range(-2,3) k(d), {src} s WHERE s.texture_id=t.texture_id AND s.y=t.y AND s.x=(t.x+d+16)%16 GROUP BY 1,2,3"""
-_BLUR_Y = _BLUR_X.replace("s.y=t.y AND s.x=(t.x+d+16)%16", "s.x=t.x AND s.y=(t.y+d+16)%16")
-_HEIGHT = f"{_FULL}, al AS (SELECT texture_id, x, y, a/255.0::DOUBLE AS v FROM ft), bx AS ({_BLUR_X.format(src='al')}), bl AS ({_BLUR_Y.format(src='bx')})"
+_BLUR_X = """SELECT t.texture_id, t.x, t.y, t.h, sum(CASE abs(d) WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 1 END/16.0::DOUBLE*s.v) AS v
+    FROM {src} t, range(-2,3) k(d), {src} s WHERE s.texture_id=t.texture_id AND s.y=t.y AND s.x=(t.x+d+16)%16 GROUP BY 1,2,3,4"""
+_BLUR_Y = _BLUR_X.replace("s.y=t.y AND s.x=(t.x+d+16)%16", "s.x=t.x AND s.y=(t.y+d+2*t.h)%t.h")
+_HEIGHT = f"{_FULL}, al AS (SELECT texture_id, x, y, h, a/255.0::DOUBLE AS v FROM ft), bx AS ({_BLUR_X.format(src='al')}), bl AS ({_BLUR_Y.format(src='bx')})"
 _GRAD = """gr AS (SELECT b.texture_id, b.x, b.y, b.v, (e.v-w.v)*0.5 AS gx, (s.v-n.v)*0.5 AS gy FROM bl b
     JOIN bl e ON e.texture_id=b.texture_id AND e.y=b.y AND e.x=(b.x+1)%16 JOIN bl w ON w.texture_id=b.texture_id AND w.y=b.y AND w.x=(b.x+15)%16
-    JOIN bl s ON s.texture_id=b.texture_id AND s.x=b.x AND s.y=(b.y+1)%16 JOIN bl n ON n.texture_id=b.texture_id AND n.x=b.x AND n.y=(b.y+15)%16)"""
+    JOIN bl s ON s.texture_id=b.texture_id AND s.x=b.x AND s.y=(b.y+1)%b.h JOIN bl n ON n.texture_id=b.texture_id AND n.x=b.x AND n.y=(b.y+b.h-1)%b.h)"""
 
 
 def _heights(t):
-    return _full(t).select(*texels.KEY, (F.col("a") / 255.0).alias("v"))
+    return t.texels.select(*texels.KEY, (F.col("a") / 255.0).alias("v"))
 
 
 @DERIVE.query("w08_binomial_blur", f"WITH {_HEIGHT} SELECT texture_id, x, y, round(v,9) AS v FROM bl", "texels")
@@ -54,8 +50,7 @@ _NORMAL = f"""{_HEIGHT}, {_GRAD}, g2 AS (SELECT texture_id, x, y, round(gx*2.0,1
 
 
 def _derived_normal(t):
-    full = _full(t)
-    return mips.derive_normal(full, full, 2.0, 1, 1)
+    return mips.derive_normal(t.texels, t.texels, 2.0, 1, 1)
 
 
 @DERIVE.query("f18_derive_normal", f"WITH {_NORMAL} SELECT * FROM dn", "texels")
@@ -71,11 +66,10 @@ def derive_normal(t):
 def normal_blend(t):
     from ..functions.color import blend_normals, decode_normal
 
-    full = _full(t)
     slopes = mips.wrapped_gradient(mips.binomial_blur(_heights(t), 1)).select(
         *texels.KEY, (F.col("gx") * 2).alias("gx"), (F.col("gy") * 2).alias("gy")
     )
-    rows = full.join(slopes, texels.KEY)
+    rows = t.texels.join(slopes, texels.KEY)
     ln = F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2 + 1.0)
     n = blend_normals(
         decode_normal(F.col("g"), F.col("a")), {"x": -F.col("gx") / ln, "y": F.col("gy") / ln, "z": 1.0 / ln}
@@ -112,14 +106,12 @@ def gloss_metrics(t):
 
 @DERIVE.query(
     "a56_output_gate",
-    f"""WITH {_GM} SELECT texture_id, CASE WHEN texture_id%5=2 THEN 16 ELSE 0 END AS texel_mismatches, effect_pixels,
-    texture_id%5<>2 AND texture_id%3<>0 AS passed FROM gm WHERE texture_id IN (SELECT texture_id FROM texels GROUP BY 1 HAVING count(*)=256)""",
+    f"""WITH {_GM} SELECT texture_id, CASE WHEN texture_id%5=2 THEN h ELSE 0 END AS texel_mismatches, effect_pixels,
+    texture_id%5<>2 AND texture_id%3<>0 AS passed FROM gm JOIN {_HEIGHTS} USING (texture_id)""",
     "texels",
 )
 def output_gate(t):
-    whole = _full(t).select("texture_id").distinct()
-    derived = _derived_gloss(t).join(whole, "texture_id", "left_semi")
-    base = t.texels.join(whole, "texture_id", "left_semi")
+    derived, base = _derived_gloss(t), t.texels
     expected = derived.withColumn(
         "b", F.when((F.col("texture_id") % 5 == 2) & (F.col("x") == 3), F.col("b") + 1).otherwise(F.col("b"))
     )

@@ -453,7 +453,7 @@ def polygon_selection(t):
     return texels.polygon_texels(t.texels, placed)
 
 
-_BOXES = """bx AS (SELECT user_id%32 AS texture_id, event_id AS box_id, event_id%14-1 AS x0, event_id*7%13-1 AS y0, event_id%14+k%9 AS x1, event_id*7%13+k%7 AS y1, k FROM events_k WHERE user_id%32<31)"""
+_BOXES = """bx AS (SELECT user_id%32 AS texture_id, event_id AS box_id, event_id%14-1 AS x0, event_id*7%13-1 AS y0, event_id%14+k%9 AS x1, event_id*7%13+k%7 AS y1, k FROM events_k)"""
 
 
 def _ratio(flag):
@@ -464,7 +464,7 @@ def _ratio(flag):
 
 def _boxes(t):
     e, k = F.col("event_id"), F.col("k")
-    return t.events_k.filter("user_id % 32 < 31").select(
+    return t.events_k.select(
         (F.col("user_id") % 32).alias("texture_id"), e.alias("box_id"), (e % 14 - 1).alias("x0"), (e * 7 % 13 - 1).alias("y0"),
         (e % 14 + k % 9).alias("x1"), (e * 7 % 13 + k % 7).alias("y1"), "k",
     )
