@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +49,15 @@ def word_count(text: Column) -> Column:
 # ---------------------------------------------------------------- Arrow chunks
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks and serve later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # a call of glibc
+        trim(0)
+
+
 def text_chunks(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -66,6 +77,8 @@ def text_chunks(
             last = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, "right")) - 1)
             yield batch.slice(row, last - row), data[ends[row] : ends[last]], ends[row : last + 1] - ends[row]
             row = last
+        del text, ends, held, data
+        release_memory()
 
 
 def longs(column: pa.Array, null: int) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import longs, text_chunks
+from .common import longs, release_memory, text_chunks
 from .tokens import TokenTable, process_cache
 
 #: Pieces that one ranking window holds on average.
@@ -47,6 +47,9 @@ def _pieces(tokenizer_json, capacity: int, end_id: int, with_ids: bool):
                 columns.append(pa.array([bytes(p) for p in parts], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        # the worker goes on to other stages: it keeps the tokenizer, not the units of this task
+        table.clear()
+        release_memory()
 
     return run
 

@@ -55,7 +55,7 @@ class LongMap:
         if 2 * self.count > 1 << self.bits:
             held = self.values >= 0
             keys, values = np.concatenate([self.keys[held], keys]), np.concatenate([self.values[held], values])
-            self._make(max(self.bits + 1, (2 * self.count).bit_length() + 1))
+            self._make(max(self.bits + 1, (2 * self.count).bit_length()))
         slot = self._slot(keys)
         todo = np.arange(len(keys))
         while len(todo):
@@ -126,9 +126,10 @@ class TokenTable:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forget all units; the tokenizer stays."""
         self.map = LongMap()
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int32)
@@ -162,7 +163,7 @@ class TokenTable:
         at = self.map.get(hashes)
         if (at < 0).any():
             if self.used > TABLE_ENTRIES:
-                self._clear()
+                self.clear()
                 at[:] = -1
             missing = np.flatnonzero(at < 0)
             new, pick = np.unique(hashes[missing], return_index=True)
