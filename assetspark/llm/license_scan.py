@@ -12,38 +12,38 @@ from .common import lower_ascii
 #: Characters that are not part of a word, before and after lower-casing A-Z.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: One of these stands in every text that any rule can match.
-GATE = ["licen", "copyright", "copyleft", "public domain", "rights reserved", "spdx", "warranty", "cc by", "cc0"]
+GATE = ["licen", "copyright", "copyleft", "public domain", "rights reserved", "spdx", "warranty", "gpl", "creative commons", "cc by", "cc0"]
 
 #: (phrase, label) of the base; fixed values of the contract.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-#: label: (keyword, names as patterns over normalised words). Written by hand.
+#: label: (keyword, name as a pattern over normalised words); the keyword is a literal part of every match of the name. Written by hand.
 FAMILIES = {
-    "afl": ("academic free", ["academic free licen[cs]e(?: v(?:ersion)?)?(?: [0-9]( [0-9])?)?"]),
-    "agpl": ("affero", ["(?:gnu )?affero general public licen[cs]e(?: v(?:ersion)? ?[0-9](?: [0-9])?)?"]),
-    "apache-1.1": ("apache", ["apache (?:software )?licen[cs]e v(?:ersion)? ?1 1"]),
-    "apache-2.0": ("apache", ["apache (?:software )?licen[cs]e v(?:ersion)? ?2(?: 0)?", "apache 2 0 licen[cs]e", "apache licen[cs]e 2(?: 0)?"]),
-    "artistic": ("artistic", ["(?:perl )?artistic licen[cs]e(?: v(?:ersion)? ?[12](?: 0)?)?"]),
-    "boost": ("boost", ["boost software licen[cs]e(?: v(?:ersion)? ?1(?: 0)?)?"]),
-    "bsd": ("bsd", ["(?:(?:2|3|4|two|three|four) clause )?bsd(?: style)? licen[cs]e", "(?:new|modified|simplified|revised) bsd licen[cs]e"]),
-    "cc-by": ("by", ["(?:cc|creative commons) by(?: [1-4](?: [0-9])?)?(?! (?:nc|nd|sa))", "creative commons attribution(?: [1-4](?: [0-9])?)?(?! (?:non|no|share))"]),
-    "cc-by-nc": ("nc", ["(?:cc|creative commons) by nc(?: (?:sa|nd))?(?: [1-4](?: [0-9])?)?"]),
-    "cc-by-nd": ("nd", ["(?:cc|creative commons) by nd(?: [1-4](?: [0-9])?)?"]),
-    "cc-by-sa": ("sa", ["(?:cc|creative commons) by sa(?: [1-4](?: [0-9])?)?", "creative commons attribution share ?alike(?: [1-4](?: [0-9])?)?"]),
-    "cc0": ("cc0", ["cc0(?: 1 0)?(?: universal)?", "creative commons (?:cc0|zero)"]),
-    "cddl": ("development and distribution", ["common development and distribution licen[cs]e(?: v(?:ersion)? ?1(?: [01])?)?"]),
-    "epl": ("eclipse", ["eclipse public licen[cs]e(?: v(?:ersion)? ?[12](?: 0)?)?"]),
-    "eupl": ("european union", ["european union public licen[cs]e(?: v(?:ersion)? ?1(?: [0-2])?)?"]),
-    "gfdl": ("free documentation", ["gnu free documentation licen[cs]e(?: v(?:ersion)? ?1(?: [1-3])?)?"]),
-    "gpl-2.0": ("general public", ["(?:gnu )?general public licen[cs]e v(?:ersion)? ?2(?: 0)?", "gpl ?v ?2"]),
-    "gpl-3.0": ("general public", ["(?:gnu )?general public licen[cs]e v(?:ersion)? ?3(?: 0)?"]),
-    "isc": ("isc", ["isc licen[cs]e"]),
-    "lgpl": ("general public", ["(?:gnu )?(?:lesser|library) general public licen[cs]e(?: v(?:ersion)? ?[23](?: [01])?)?"]),
-    "mit-license": ("mit", ["(?:expat|x11)? ?mit licen[cs]e", "mit x11 licen[cs]e"]),
-    "mpl": ("mozilla", ["mozilla public licen[cs]e(?: v(?:ersion)? ?[12](?: [01])?)?"]),
-    "ofl": ("font", ["(?:sil )?open font licen[cs]e(?: v(?:ersion)? ?1(?: 1)?)?"]),
-    "unlicense": ("unlicense", ["(?:the )?unlicense"]),
-    "zlib": ("zlib", ["zlib(?: libpng)? licen[cs]e"]),
+    "afl": [("academic free", "academic free licen[cs]e(?: v(?:ersion)?)?(?: [0-9]( [0-9])?)?")],
+    "agpl": [("affero", "(?:gnu )?affero general public licen[cs]e(?: v(?:ersion)? ?[0-9](?: [0-9])?)?")],
+    "apache-1.1": [("apache", "apache (?:software )?licen[cs]e v(?:ersion)? ?1 1")],
+    "apache-2.0": [("apache", "apache (?:software )?licen[cs]e v(?:ersion)? ?2(?: 0)?"), ("apache 2 0 licen", "apache 2 0 licen[cs]e"), ("apache licen", "apache licen[cs]e 2(?: 0)?")],
+    "artistic": [("artistic", "(?:perl )?artistic licen[cs]e(?: v(?:ersion)? ?[12](?: 0)?)?")],
+    "boost": [("boost", "boost software licen[cs]e(?: v(?:ersion)? ?1(?: 0)?)?")],
+    "bsd": [("bsd", "(?:(?:2|3|4|two|three|four) clause )?bsd(?: style)? licen[cs]e"), (" bsd licen", "(?:new|modified|simplified|revised) bsd licen[cs]e")],
+    "cc-by": [(" by", "(?:cc|creative commons) by(?: [1-4](?: [0-9])?)?(?! (?:nc|nd|sa))"), ("creative commons attribution", "creative commons attribution(?: [1-4](?: [0-9])?)?(?! (?:non|no|share))")],
+    "cc-by-nc": [(" by nc", "(?:cc|creative commons) by nc(?: (?:sa|nd))?(?: [1-4](?: [0-9])?)?")],
+    "cc-by-nd": [(" by nd", "(?:cc|creative commons) by nd(?: [1-4](?: [0-9])?)?")],
+    "cc-by-sa": [(" by sa", "(?:cc|creative commons) by sa(?: [1-4](?: [0-9])?)?"), ("creative commons attribution share", "creative commons attribution share ?alike(?: [1-4](?: [0-9])?)?")],
+    "cc0": [("cc0", "cc0(?: 1 0)?(?: universal)?"), ("creative commons", "creative commons (?:cc0|zero)")],
+    "cddl": [("development and distribution", "common development and distribution licen[cs]e(?: v(?:ersion)? ?1(?: [01])?)?")],
+    "epl": [("eclipse", "eclipse public licen[cs]e(?: v(?:ersion)? ?[12](?: 0)?)?")],
+    "eupl": [("european union", "european union public licen[cs]e(?: v(?:ersion)? ?1(?: [0-2])?)?")],
+    "gfdl": [("free documentation", "gnu free documentation licen[cs]e(?: v(?:ersion)? ?1(?: [1-3])?)?")],
+    "gpl-2.0": [("general public", "(?:gnu )?general public licen[cs]e v(?:ersion)? ?2(?: 0)?"), ("gpl", "gpl ?v ?2")],
+    "gpl-3.0": [("general public", "(?:gnu )?general public licen[cs]e v(?:ersion)? ?3(?: 0)?")],
+    "isc": [("isc", "isc licen[cs]e")],
+    "lgpl": [("general public", "(?:gnu )?(?:lesser|library) general public licen[cs]e(?: v(?:ersion)? ?[23](?: [01])?)?")],
+    "mit-license": [("mit licen", "(?:expat|x11)? ?mit licen[cs]e"), ("mit x11 licen", "mit x11 licen[cs]e")],
+    "mpl": [("mozilla", "mozilla public licen[cs]e(?: v(?:ersion)? ?[12](?: [01])?)?")],
+    "ofl": [("font", "(?:sil )?open font licen[cs]e(?: v(?:ersion)? ?1(?: 1)?)?")],
+    "unlicense": [("unlicense", "(?:the )?unlicense")],
+    "zlib": [("zlib", "zlib(?: libpng)? licen[cs]e")],
 }
 #: (kind, priority, confidence, pattern around a name). A whole notice outranks a mention.
 FRAMES = [
@@ -84,8 +84,8 @@ def signatures() -> list[Signature]:
     """All rules in their order: families by label, names, frames; then the single rules."""
     made = [
         Signature(label, kind, keyword, priority, confidence, frame.format(name=f"(?:{name})"))
-        for label, (keyword, names) in sorted(FAMILIES.items())
-        for name in names
+        for label, names in sorted(FAMILIES.items())
+        for keyword, name in names
         for kind, priority, confidence, frame in FRAMES
     ]
     made += [Signature(*rule) for rule in SINGLE]

@@ -275,6 +275,41 @@ def test_license_labels(docs, empty):
     assert license_scan.license_labels(empty).count() == 0
 
 
+def one_match(pattern, rng):
+    """A text that the name matches: options and alternatives drawn."""
+    pattern = pattern[3:-1].split("(?!")[0]
+    while m := re.search(r"\((?:\?:)?([^()]*)\)(\??)", pattern):
+        pattern = pattern[: m.start()] + ("" if m[2] and rng.rand() < 0.5 else rng.choice(m[1].split("|"))) + pattern[m.end() :]
+    pattern = re.sub(r"\[([^]]*)\]", lambda m: rng.choice(list(m[1].replace("0-9", "0123456789").replace("1-", "12").replace("0-", "01"))), pattern)
+    return re.sub(r"(.)\?", lambda m: m[1] * rng.randint(0, 2), pattern)
+
+
+def test_license_gate_and_keywords_skip_no_match(spark):
+    rng = np.random.RandomState(6)
+    rules = license_scan.signatures()
+    texts = [
+        "released under GPL v2", "Licensed under GPL v2.", "gplv2", "available under Creative Commons Attribution 4.0",
+        "Creative Commons BY-SA 4.0", "Creative Commons Zero", "creative commons attribution sharealike 3.0", "gpl", "commons",
+    ]
+    texts += [f"it is {one_match(r.pattern, rng)} today" for r in rules if r.kind == "mention" and r.pattern[:3] == "(?:" for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_labels(df).collect()}
+    for i, text in enumerate(texts):
+        joined, found = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))) + " ", []
+        for r in rules:
+            for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", joined):
+                start = joined[: m.start()].count(" ") - 1
+                found.append((start, start + m[0].count(" "), r.priority, r.label, r.confidence))
+        assert found or text in ("gpl", "commons"), text
+        alive = [
+            a for a in found
+            if not any(b[0] <= a[0] and a[1] <= b[1] and (b[2] > a[2] or (b[2] == a[2] and b[:2] != a[:2])) for b in found)
+        ]
+        labels = {a[3] for a in alive} | {label for phrase, label in license_scan.BASE if f" {phrase} " in joined}
+        assert got[i] == (",".join(sorted(labels)), max((a[4] for a in alive), default=0.0)), text
+    assert got[0][0] == got[1][0] == "gpl-2.0" and got[3][0] == "cc-by" and got[4][0] == "cc-by-sa"
+
+
 def test_quality_rules(docs, empty):
     rows = quality_rules.quality_verdicts(docs).collect()
     assert Counter((r.doc_id, r.n_words) for r in rows) == Counter((i, len(words(t))) for i, t, *_ in ROWS)
