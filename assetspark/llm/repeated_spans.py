@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -91,7 +91,19 @@ def _first_of(keys: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-_SUFFIX = "bucket long, deep long, id long, low long, shape int"
+_SUFFIX = "bucket long, deep long, id long, hash long, low long, shape int"
+
+
+def text_hash(doc_id: Column, text: Column) -> Column:
+    """Second part of a document's key and order, after its id: a hash of the text, negative under an id and not under a null one."""
+    top = F.lit(np.iinfo(np.int64).min)
+    hashed = F.xxhash64(F.coalesce(text, F.lit("")))
+    return F.when(doc_id.isNull(), hashed.bitwiseAND(F.lit(np.iinfo(np.int64).max))).otherwise(hashed.bitwiseOR(top))
+
+
+def _documents(batch: pa.RecordBatch, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, hash) of the rows' documents; a null id is the largest."""
+    return longs(batch.column("_id"), np.iinfo(np.int64).max)[row], longs(batch.column("_hash"), 0)[row]
 
 
 def _emit(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
@@ -111,20 +123,20 @@ def _sample(length: int, q: int):
             row, anchor, low, high, first, deep = anchors(data, offsets, length, q)
             if not len(row):
                 continue
-            ids = longs(batch.column("_id"), np.iinfo(np.int64).max)[row]
+            ids, hashes = _documents(batch, row)
             place = low - offsets[row]
             shape = ((high - low) << 10 | (anchor - low)).astype(np.int64)
             key = mix(deep[low] * _C1 + deep[high] * _C2 + shape.astype(np.uint64))
             bucket = first[anchor]
-            order = np.lexsort((place, ids, key, bucket))
+            order = np.lexsort((place, hashes, ids, key, bucket))
             # a repeated row of one document has the same places: they count once
-            order = order[_first_of([bucket[order], key[order], ids[order], place[order]])]
-            bucket, key, ids, place, shape = bucket[order], key[order], ids[order], place[order], shape[order]
+            order = order[_first_of([bucket[order], key[order], ids[order], hashes[order], place[order]])]
+            bucket, key, ids, hashes, place, shape = (x[order] for x in (bucket, key, ids, hashes, place, shape))
             new = _first_of([bucket, key])
-            spot = mix(ids.view(np.uint64) * _C1 + place.astype(np.uint64))
+            spot = mix(ids.view(np.uint64) * _C1 + hashes.view(np.uint64) + place.astype(np.uint64))
             yield _emit(
-                ["bucket", "deep", "id", "low", "shape"],
-                signed(np.where(new, bucket, spot)), signed(np.where(new, key, spot)), ids, place,
+                ["bucket", "deep", "id", "hash", "low", "shape"],
+                signed(np.where(new, bucket, spot)), signed(np.where(new, key, spot)), ids, hashes, place,
                 np.where(new, shape, -1 - (shape >> 10)).astype(np.int32),
             )
 
@@ -132,26 +144,25 @@ def _sample(length: int, q: int):
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes to (id, low, high, anchor): repeats (anchor -1) and open representatives.
+    """Sorted suffixes to (id, hash, low, high, anchor): repeats (anchor -1) and open representatives.
 
     Inside a bucket the rows come by refined identifier and place. All but the first row of an
     identifier repeat it. The first rows of a bucket with several identifiers stay open: their
     contexts differ somewhere, but some of their strings may still be equal. Only one row is kept
     from batch to batch, however large the bucket.
     """
-    held = None  # (bucket, deep, id, low, shape, open) of the last representative
-    names = ["id", "low", "high", "anchor", "bucket"]
+    held = None  # (bucket, deep, id, hash, low, shape, open) of the last representative
+    names = ["id", "hash", "low", "high", "anchor", "bucket"]
     for batch in batches:
         if not batch.num_rows:
             continue
-        bucket, deep, ids, low = (longs(batch.column(i), 0) for i in range(4))
-        shape = longs(batch.column(4), 0)
+        bucket, deep, ids, hashes, low, shape = (longs(batch.column(i), 0) for i in range(6))
         opened = np.zeros(len(bucket), bool)
         if held is not None:
-            bucket, deep, ids, low, shape = (
-                np.concatenate([[h], x]) for h, x in zip(held[:5], (bucket, deep, ids, low, shape), strict=True)
+            bucket, deep, ids, hashes, low, shape = (
+                np.concatenate([[h], x]) for h, x in zip(held[:6], (bucket, deep, ids, hashes, low, shape), strict=True)
             )
-            opened = np.concatenate([[held[5]], opened])
+            opened = np.concatenate([[held[6]], opened])
         settled = shape < 0
         new = _first_of([bucket, deep]) & ~settled
         if held is not None:
@@ -160,9 +171,10 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.flatnonzero(new)
         # one row's sampled starts seen twice (a repeated document row) are the same place
         owner = np.searchsorted(lead, np.arange(len(new)), "right") - 1
-        own = repeat & ~settled & (ids == ids[lead[np.maximum(owner, 0)]] if len(lead) else repeat) & (
-            low == low[lead[np.maximum(owner, 0)]] if len(lead) else repeat
-        )
+        own = repeat & ~settled
+        if len(lead):
+            head = lead[np.maximum(owner, 0)]
+            own &= (ids == ids[head]) & (hashes == hashes[head]) & (low == low[head])
         with_next = np.zeros(len(lead), bool)
         with_next[:-1] = bucket[lead[1:]] == bucket[lead[:-1]]
         is_open = opened[lead] | with_next
@@ -170,16 +182,16 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.flatnonzero(repeat & ~own)
         if len(lead):
             at = lead[-1]
-            held = (bucket[at], deep[at], ids[at], low[at], shape[at], bool(is_open[-1]))
+            held = (bucket[at], deep[at], ids[at], hashes[at], low[at], shape[at], bool(is_open[-1]))
         else:
             held = None
         extent = np.where(settled, -1 - shape, shape >> 10)
-        yield _emit(names, ids[out], low[out], low[out] + extent[out], np.full(len(out), -1), bucket[out])
+        yield _emit(names, ids[out], hashes[out], low[out], low[out] + extent[out], np.full(len(out), -1), bucket[out])
         ready = lead[:-1][is_open[:-1]]
-        yield _emit(names, ids[ready], low[ready], low[ready] + extent[ready], low[ready] + (shape[ready] & 1023), bucket[ready])
-    if held is not None and held[5]:
-        extent = held[4] >> 10
-        yield _emit(names, *(np.array([x]) for x in (held[2], held[3], held[3] + extent, held[3] + (held[4] & 1023), held[0])))
+        yield _emit(names, ids[ready], hashes[ready], low[ready], low[ready] + extent[ready], low[ready] + (shape[ready] & 1023), bucket[ready])
+    if held is not None and held[6]:
+        extent = held[5] >> 10
+        yield _emit(names, *(np.array([x]) for x in (held[2], held[3], held[4], held[4] + extent, held[4] + (held[5] & 1023), held[0])))
 
 
 def _open_spans(batch: pa.RecordBatch, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -216,14 +228,13 @@ def _nodes(length: int, q: int):
             bucket = mix(first[base + anchor] * _C1 + core[base + anchor - NODE * k] * _C2 + k.astype(np.uint64))
             shape = (high - low) << 10 | (anchor - low)
             key = mix(deep[base + low] * _C1 + deep[base + high] * _C2 + shape.astype(np.uint64))
-            ids = longs(batch.column("_id"), np.iinfo(np.int64).max)[row]
-            yield _emit(["bucket", "deep", "id", "low", "shape"], signed(bucket), signed(key), ids, low, shape.astype(np.int32))
+            yield _emit(["bucket", "deep", "id", "hash", "low", "shape"], signed(bucket), signed(key), *_documents(batch, row), low, shape.astype(np.int32))
 
     return run
 
 
 def _strings(length: int, q: int):
-    """The single strings of open nodes: (string, id, low), settled inside a chunk."""
+    """The single strings of open nodes: (string, id, hash, low), settled inside a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_chunks(batches):
@@ -236,26 +247,26 @@ def _strings(length: int, q: int):
             row, anchor = np.repeat(row, runs), np.repeat(anchor, runs)
             at = offsets[row] + place
             string = mix(deep[at] * _C1 + first[offsets[row] + anchor] * _C2 + (anchor - place).astype(np.uint64))
-            ids = longs(batch.column("_id"), np.iinfo(np.int64).max)[row]
-            order = np.lexsort((place, ids, string))
-            order = order[_first_of([string[order], ids[order], place[order]])]
-            string, ids, place = string[order], ids[order], place[order]
+            ids, hashes = _documents(batch, row)
+            order = np.lexsort((place, hashes, ids, string))
+            order = order[_first_of([string[order], ids[order], hashes[order], place[order]])]
+            string, ids, hashes, place = string[order], ids[order], hashes[order], place[order]
             new = _first_of([string])
-            spot = mix(ids.view(np.uint64) * _C3 + place.astype(np.uint64))
-            yield _emit(["string", "id", "low"], signed(np.where(new, string, spot)), ids, np.where(new, place, -1 - place))
+            spot = mix(ids.view(np.uint64) * _C3 + hashes.view(np.uint64) + place.astype(np.uint64))
+            yield _emit(["string", "id", "hash", "low"], signed(np.where(new, string, spot)), ids, hashes, np.where(new, place, -1 - place))
 
     return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted strings to the places that repeat an earlier one: (id, low)."""
+    """Sorted strings to the places that repeat an earlier one: (id, hash, low)."""
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        string, ids, low = (longs(batch.column(i), 0) for i in range(3))
+        string, ids, hashes, low = (longs(batch.column(i), 0) for i in range(4))
         if held is not None:
-            string, ids, low = (np.concatenate([[h], x]) for h, x in zip(held, (string, ids, low), strict=True))
+            string, ids, hashes, low = (np.concatenate([[h], x]) for h, x in zip(held, (string, ids, hashes, low), strict=True))
         settled = low < 0
         new = _first_of([string]) & ~settled
         if held is not None:
@@ -264,10 +275,10 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeat = ~new
         if len(lead):
             owner = lead[np.maximum(np.searchsorted(lead, np.arange(len(new)), "right") - 1, 0)]
-            repeat &= settled | (ids != ids[owner]) | (low != low[owner])
-            held = (string[lead[-1]], ids[lead[-1]], low[lead[-1]])
+            repeat &= settled | (ids != ids[owner]) | (hashes != hashes[owner]) | (low != low[owner])
+            held = (string[lead[-1]], ids[lead[-1]], hashes[lead[-1]], low[lead[-1]])
         out = np.flatnonzero(repeat)
-        yield _emit(["id", "low"], ids[out], np.where(low[out] < 0, -1 - low[out], low[out]))
+        yield _emit(["id", "hash", "low"], ids[out], hashes[out], np.where(low[out] < 0, -1 - low[out], low[out]))
 
 
 def _cut(length: int, with_text: bool):
@@ -311,8 +322,8 @@ def _cut(length: int, with_text: bool):
 def cut_repeats(docs: DataFrame, length: int = 100, q: int = Q, id_col: str = "doc_id", with_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text).
 
-    Every byte covered by a string of ``length`` bytes that also starts earlier (smaller id, or
-    earlier in the same document) is removed; strings never cross documents.
+    Every byte covered by a string of ``length`` bytes that also starts earlier (in a document
+    before it, or earlier in the same one) is removed; strings never cross documents.
 
     Suffixes are sampled so that all starts of a string hang on one offset, and sorted into
     buckets by their q-gram. Buckets with one member are done. The others are refined by the
@@ -320,40 +331,41 @@ def cut_repeats(docs: DataFrame, length: int = 100, q: int = Q, id_col: str = "d
     settles copies in one step, then for nodes of a few starts, then for the single strings where
     nodes differ. A sorted stream keeps one row in memory, whatever the size of a bucket.
 
-    Null text is empty; a null id comes after all others; rows of one id are one document and are
-    cut alike; a text shorter than ``length`` stays whole; an empty table gives no rows; extra
+    Documents are ordered by id, null ids last, and then by ``text_hash``. Rows of the same id (null
+    too) and the same text are one document and are cut alike; other rows of one id are documents of
+    their own. Null text is empty; a text shorter than ``length`` stays whole; an empty table gives no rows; extra
     columns are not read. ``kept_text`` replaces a character that was cut in its middle.
     """
     if not NODE <= q <= length - NODE or length > 1000:
         raise ValueError(f"{NODE} <= q <= length - {NODE} and length <= 1000 are asked")
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), "text")
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), "text").withColumn("_hash", text_hash(F.col("_id"), F.col("text")))
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    refined_kind = "id long, low long, high long, anchor long, bucket long"
+    refined_kind = "id long, hash long, low long, high long, anchor long, bucket long"
 
     def refined_of(rows: DataFrame) -> DataFrame:
-        return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "deep", "id", "low").mapInArrow(_refine, refined_kind)
+        return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "deep", "id", "hash", "low").mapInArrow(_refine, refined_kind)
 
     def opened(refined: DataFrame) -> DataFrame:
         spans = F.collect_list(F.struct("low", "high", "anchor")).alias("_spans")  # those of one document
-        of_documents = refined.filter("anchor >= 0").groupBy(F.col("id").alias("_key")).agg(spans)
-        return dealt.join(of_documents, "_key").select("_id", "text", "_spans")
+        of_documents = refined.filter("anchor >= 0").groupBy(F.col("id").alias("_key"), F.col("hash").alias("_hash")).agg(spans)
+        return dealt.join(of_documents, ["_key", "_hash"]).select("_id", "text", "_hash", "_spans")
 
-    # the documents are dealt by id once; all later passes over the texts read the same exchange
-    dealt = source.withColumn("_key", F.coalesce("_id", F.lit(np.iinfo(np.int64).max))).repartition(parts, "_key")
+    # the documents are dealt by id and text once; all later passes over the texts read the same exchange
+    dealt = source.withColumn("_key", F.coalesce("_id", F.lit(np.iinfo(np.int64).max))).repartition(parts, "_key", "_hash")
     contexts = cut_lineage(refined_of(source.filter(F.octet_length("text") >= length).mapInArrow(_sample(length, q), _SUFFIX)))
     nodes = refined_of(opened(contexts).mapInArrow(_nodes(length, q), _SUFFIX))
     strings = (
-        opened(nodes).mapInArrow(_strings(length, q), "string long, id long, low long")
-        .repartition(parts, "string").sortWithinPartitions("string", "id", "low").mapInArrow(_later, "id long, low long")
+        opened(nodes).mapInArrow(_strings(length, q), "string long, id long, hash long, low long")
+        .repartition(parts, "string").sortWithinPartitions("string", "id", "hash", "low").mapInArrow(_later, "id long, hash long, low long")
     )
     marks = (
-        contexts.filter("anchor < 0").select("id", "low", "high")
-        .union(nodes.filter("anchor < 0").select("id", "low", "high"))
-        .union(strings.select("id", "low", F.col("low").alias("high")))
-        .groupBy(F.col("id").alias("_key"))
+        contexts.filter("anchor < 0").select("id", "hash", "low", "high")
+        .union(nodes.filter("anchor < 0").select("id", "hash", "low", "high"))
+        .union(strings.select("id", "hash", "low", F.col("low").alias("high")))
+        .groupBy(F.col("id").alias("_key"), F.col("hash").alias("_hash"))
         .agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
     )
     none = F.array().cast("array<struct<low:bigint,high:bigint>>")
     kind = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    cut = dealt.join(marks, "_key", "left").select("_id", "text", F.coalesce("_spans", none).alias("_spans")).mapInArrow(_cut(length, with_text), kind)
+    cut = dealt.join(marks, ["_key", "_hash"], "left").select("_id", "text", F.coalesce("_spans", none).alias("_spans")).mapInArrow(_cut(length, with_text), kind)
     return cut.withColumnRenamed("_id", id_col)

@@ -171,6 +171,28 @@ def test_cut_repeats(spark, docs, empty, length, q):
     assert repeated_spans.cut_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("length,q", [(100, 36), (24, 9)])
+def test_cut_repeats_keeps_rows_of_one_id_apart(spark, length, q):
+    rng = np.random.RandomState(2)
+    fresh = lambda n: "".join(rng.choice(list("abcdé \n"), n))
+    passage = fresh(150)
+    largest = np.iinfo(np.int64).max
+    texts = [
+        (None, fresh(300) + passage + fresh(50) + passage),  # repeats inside one null id
+        (None, fresh(900)), (None, fresh(900)), (None, "short"), (None, None),  # clean ones
+        (None, passage + fresh(80)), (None, passage + fresh(90)),  # the same place in two
+        (5, passage + fresh(40)), (5, passage + fresh(60)), (5, fresh(500)), (largest, passage + "x"), (None, passage + "x"),
+    ]
+    texts += texts[5:9]  # repeated rows
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    keyed = {(r.doc_id, r.text): r.h for r in df.select("*", repeated_spans.text_hash(F.col("doc_id"), F.col("text")).alias("h")).collect()}
+    order = sorted(keyed, key=lambda k: (k[0] is None, k[0] or 0, keyed[k]))
+    want = brute_cut([(n, text) for n, (_, text) in enumerate(order)], length)
+    expected = Counter((k[0], *want[order.index(k)]) for k in texts)
+    got = Counter(tuple(r) for r in repeated_spans.cut_repeats(df, length, q).collect())
+    assert got == expected
+
+
 def test_pack(docs, empty):
     path = queries.tokenizer_path()
     from tokenizers import Tokenizer
