@@ -12,14 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import lower_ascii
-from .tokens import process_cache
 
-#: Words of the segmentation model, and buckets of the token counts: the bounds of both models.
-LEXICON = 20_000
+#: Buckets of the token counts: the bound of the naive Bayes model.
 BUCKETS = 1 << 14
-#: Longest word that segmentation looks for.
-LONGEST = 24
+#: Pages that are segmented together, with the candidate words of their names only.
+CHUNK = 1024
 _CLASSES = ("allow", "block")
 
 
@@ -46,10 +45,11 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column,
 class Segmenter:
     """Splits concatenated names into words by the most likely unigram path (Viterbi)."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
+        """``counts`` needs no words but those inside the names; ``total`` is the sum over all words."""
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {word: math.log(total / n) for word, n in counts.items()}
-        self.longest = min(LONGEST, max(map(len, counts), default=1))
+        self.longest = max(map(len, counts), default=1)
         #: an unknown stretch costs more than any word, and more for each character
         self.unknown = math.log(total) + 2.0
 
@@ -70,11 +70,16 @@ class Segmenter:
         return words[::-1]
 
 
+def names_of(text: str) -> list[str]:
+    """Runs of letters and of digits."""
+    return re.findall(r"[^\W\d_]+|\d+", text.lower())
+
+
 def tokens_of(host: str, path: str, segmenter: Segmenter) -> list[str]:
     """Tokens of a URL: words of the host's names and the path's; numbers by their length."""
     out = []
     for where, text in (("h", host), ("p", path)):
-        for name in re.findall(r"[^\W\d_]+|\d+", text.lower()):
+        for name in names_of(text):
             words = [f"#{len(name)}"] if name.isdigit() else segmenter.split(name)
             out += [f"{where}:{word}" for word in words]
     return out
@@ -84,74 +89,88 @@ def _bucket(token: str) -> int:
     return zlib.crc32(token.encode()) % BUCKETS
 
 
-class _Reader:
-    """Segmented tokens of URLs as buckets, with the hosts and path names seen so far."""
+def _parts(lengths: list[int]):
+    """The distinct substrings of the names of a chunk that are as long as some word: (chunk, word)."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        self.segmenter = Segmenter(counts)
-        self.known: dict[tuple[str, str], list[int]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk, host, path = (batch.column(i).to_pylist() for i in range(3))
+            by_chunk: dict[int, set[str]] = {}
+            for c, h, p in zip(chunk, host, path, strict=True):
+                by_chunk.setdefault(c, set()).update(names_of(h), names_of(p))
+            for c, names in by_chunk.items():
+                found: set[str] = set()
+                for name in names:
+                    if not name.isdigit():
+                        found.update(name[k : k + size] for size in lengths if size <= len(name) for k in range(len(name) - size + 1))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(found), pa.int64()), pa.array(list(found), pa.string())], names=["_chunk", "word"])
 
-    def _side(self, where: str, text: str) -> list[int]:
-        found = self.known.get((where, text))
-        if found is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            host, path = (text, "") if where == "h" else ("", text)
-            found = self.known[where, text] = [_bucket(t) for t in tokens_of(host, path, self.segmenter)]
-        return found
+    return run
 
-    def read(self, host: str, path: str) -> list[int]:
-        return self._side("h", host) + [b for part in path.split("/") if part for b in self._side("p", part)]
 
+_PAGE = "_id long, host string, path string, rule string, _verdict string"
 
-def _reader(words) -> _Reader:
-    name = f"urls_{zlib.crc32(repr(sorted(words.value.items())).encode())}"
-    return process_cache(name, lambda: _Reader(words.value))
 
+def _segment(total: int):
+    """The pages of a chunk with the buckets of their tokens, from the chunk's candidate words."""
 
-def _class_counts(words):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counts, pages = _reader(words), np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
-        for batch in batches:
-            for host, path, verdict in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                side = _CLASSES.index(verdict)
-                pages[side] += 1
-                for bucket in reader.read(host, path):
-                    counts[side, bucket] += 1
-        side, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(side, [0, 1])), pa.array(np.append(bucket, [-1, -1])), pa.array(np.append(counts[side, bucket], pages))],
-            names=["side", "bucket", "n"],
-        )
+    def run(pages: pa.Table, candidates: pa.Table) -> pa.Table:
+        counts = dict(zip(candidates.column("word").to_pylist(), candidates.column("n").to_pylist(), strict=True))
+        segmenter = Segmenter(counts, total)
+        known: dict[tuple[str, str], list[int]] = {}
+
+        def side(where: str, text: str) -> list[int]:
+            if (where, text) not in known:
+                known[where, text] = [_bucket(t) for t in tokens_of(*((text, "") if where == "h" else ("", text)), segmenter)]
+            return known[where, text]
+
+        host, path = pages.column("host").to_pylist(), pages.column("path").to_pylist()
+        buckets = [side("h", h) + [b for part in p.split("/") if part for b in side("p", part)] for h, p in zip(host, path, strict=True)]
+        return pages.drop_columns(["_chunk"]).append_column("buckets", pa.array(buckets, pa.list_(pa.int32())))
 
     return run
 
 
-def _judge(words, model):
+def _judge(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(words)
         prior, weight = model.value
         for batch in batches:
-            host, path = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            score = [prior + sum(weight[b] for b in reader.read(h, p)) for h, p in zip(host, path, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+            score = [prior + sum(weight[b] for b in buckets) for buckets in batch.column("buckets").to_pylist()]
+            kept = batch.drop_columns(["buckets"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(score, pa.float64())], names=[*kept.schema.names, "score"])
 
     return run
 
 
-def lexicon(pages: DataFrame, words: int = LEXICON) -> dict[str, int]:
-    """Counts of the most frequent words of the pages' titles, over all pages."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, n) of all words of the pages' titles; a table of any size."""
     title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
-    counted = (
-        pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-        .filter(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
-    )
-    return {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()}
+    return pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def page_buckets(split: DataFrame, words: DataFrame) -> DataFrame:
+    """Pages (of ``_PAGE``) with the buckets of their tokens, segmented by all ``words``.
+
+    Pages are stored in chunks. The substrings of a chunk's names are joined with the word counts,
+    so a frequent name or word comes once per chunk, and a chunk is segmented with its own
+    candidates: no task holds the lexicon.
+    """
+    by_length = words.groupBy(F.length("word").alias("size")).agg(F.sum("n").alias("n")).collect()  # one row per length
+    total, lengths = sum(r["n"] for r in by_length), sorted(r["size"] for r in by_length)
+    row = F.monotonically_increasing_id()
+    pages = cut_lineage(split.withColumn("_chunk", F.shiftright(row, 33) * (1 << 33) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / CHUNK)))
+    parts = pages.select("_chunk", "host", "path").mapInArrow(_parts(lengths), "_chunk long, word string").distinct()
+    candidates = parts.join(words, "word").select("_chunk", "word", "n")
+    segmented = pages.groupBy("_chunk").cogroup(candidates.groupBy("_chunk")).applyInArrow(_segment(total), f"{_PAGE}, buckets array<int>")
+    return cut_lineage(segmented)
 
 
-def fit_bayes(labelled: DataFrame, words) -> tuple[float, list[float]]:
+def fit_bayes(labelled: DataFrame) -> tuple[float, list[float]]:
     """Log odds of block against allow: of the prior and of every token bucket (add-one)."""
-    rows = labelled.mapInArrow(_class_counts(words), "side long, bucket long, n long").groupBy("side", "bucket").agg(F.sum("n").alias("n")).collect()
+    side = F.array_position(F.array(*map(F.lit, _CLASSES)), F.col("_verdict")).cast("long") - 1
+    one = F.concat(F.array(F.lit(-1)), "buckets")  # -1 counts the page
+    rows = labelled.select(side.alias("side"), F.explode(one).alias("bucket")).groupBy("side", "bucket").agg(F.count("*").alias("n")).collect()
     counts, pages = np.ones((2, BUCKETS)), np.ones(2)
     for r in rows:  # at most two rows per bucket
         if r["bucket"] < 0:
@@ -166,7 +185,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id")
     """One row per page: id, host, path, rule, verdict, score.
 
     The longest rule that fits decides. For other URLs a multinomial naive Bayes model does: its
-    tokens are the words that Viterbi segmentation finds in host and path names, its examples all
+    tokens are the words that Viterbi segmentation by all title words finds in host and path names, its examples all
     pages that a rule decides, its counts two numbers per hash bucket. ``score`` is the log odds of
     block; at 0 or below the page is allowed.
 
@@ -174,13 +193,12 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id")
     the prior. Null html adds no words. Repeated rows and null ids get a row each; extra columns
     are not read; an empty table gives no rows.
     """
-    context = pages.sparkSession.sparkContext
-    words = context.broadcast(lexicon(pages))
     host, path = url_parts(F.col("url"))
     split = pages.select(F.col(id_col).cast("long").alias("_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = split.withColumn("rule", rule).withColumn("_verdict", verdict)
-    model = context.broadcast(fit_bayes(ruled.filter("_verdict is not null").select("host", "path", "_verdict"), words))
-    judged = ruled.mapInArrow(_judge(words, model), "_id long, host string, path string, rule string, _verdict string, score double")
+    segmented = page_buckets(ruled, cut_lineage(word_counts(pages)))
+    model = pages.sparkSession.sparkContext.broadcast(fit_bayes(segmented.filter("_verdict is not null")))
+    judged = segmented.mapInArrow(_judge(model), f"{_PAGE}, score double")
     by_score = F.when(F.col("score") > 0, "block").otherwise("allow")
     return judged.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("_verdict", by_score).alias("verdict"), "score")

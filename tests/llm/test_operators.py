@@ -386,6 +386,23 @@ def test_url_filter(spark):
     assert segmenter.split("thecatsat") == ["the", "cat", "sat"] or segmenter.split("thecatsat") == ["thecat", "sat"]
 
 
+def test_url_words_have_no_cap(spark):
+    rng = np.random.RandomState(9)
+    rare = sorted({"".join(rng.choice(list("bcdfgz"), 7)) for _ in range(21_000)})
+    long = "donaudampfschifffahrtsgesellschaft"
+    title = "the the " + long + " " + " ".join(rare)
+    last = rare[-1]
+    pages = spark.createDataFrame([(1, f"http://a.org/{last}the/{long}the/7", f"<title>{title}</title>"), (2, f"http://b.net/the{last}", None)], "page_id long, url string, html string")
+    counts = {r.word: r.n for r in url_filter.word_counts(pages).collect()}
+    assert counts == {"the": 2, long: 1, **dict.fromkeys(rare, 1)}
+    split = spark.createDataFrame([(1, "a.org", f"/{last}the/{long}the/7", None, None), (2, "b.net", f"/the{last}", None, None)], url_filter._PAGE)
+    got = {r._id: r.buckets for r in url_filter.page_buckets(split, spark.createDataFrame(list(counts.items()), "word string, n long")).collect()}
+    whole = url_filter.Segmenter(counts)
+    assert whole.split(last + "the") == [last, "the"] and whole.split(long + "the") == [long, "the"]
+    for r in split.collect():
+        assert got[r._id] == [url_filter._bucket(t) for t in url_filter.tokens_of(r.host, r.path, whole)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
