@@ -76,7 +76,8 @@ def schedule(layout: DataFrame) -> DataFrame:
     Slot n stands at the fractional part of n times the golden ratio and goes to the source
     whose stretch of the cumulative weights holds that point, so any run of slots has the
     sources close to their shares. ``rank`` numbers the slots of a source from 0. A few more
-    slots are drawn than asked so that each source gets its number; the rest is left out.
+    slots are drawn than asked and the rest is left out; ranks that a source still misses follow
+    as slots after the last one, so each source gets exactly its number.
 
     The sequence is made in parts, dealt over the tasks; points meet stretches in cells of the
     cumulative weights, and ranks are counted inside a part after the parts before it.
@@ -98,10 +99,16 @@ def schedule(layout: DataFrame) -> DataFrame:
     )
     drawn_slots = points.join(cells, "_cell").filter("_at >= _from and _at < _to").select("slot", "_part", "nr", "slots")
     earlier = Window.partitionBy("nr").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    skips = (
-        drawn_slots.groupBy("nr", "_part")
-        .agg(F.count("*").alias("_n"))
-        .select("nr", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip"))
+    counts = drawn_slots.groupBy("nr", "_part").agg(F.count("*").alias("_n"))
+    skips = counts.select("nr", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip"))
+    got = layout.select("nr", "slots").join(counts.groupBy("nr").agg(F.sum("_n").alias("_got")), "nr", "left")
+    before = Window.orderBy("nr").rowsBetween(Window.unboundedPreceding, -1)  # one row per source
+    missing = (
+        got.withColumn("_got", F.coalesce("_got", F.lit(0))).filter("slots > _got")
+        .withColumn("_skip", F.coalesce(F.sum(F.col("slots") - F.col("_got")).over(before), F.lit(0)))
+        .crossJoin(drawn.select("_drawn"))
+        .withColumn("rank", F.explode(F.sequence(F.col("_got"), F.col("slots") - 1)))
+        .select((F.col("_drawn") + F.col("_skip") + F.col("rank") - F.col("_got")).alias("slot"), "nr", "rank")
     )
     inside = Window.partitionBy("nr", "_part").orderBy("slot")
     return (
@@ -110,6 +117,7 @@ def schedule(layout: DataFrame) -> DataFrame:
         .withColumn("rank", F.col("_skip") + F.col("_nr") - 1)
         .filter("rank < slots")
         .select("slot", "nr", "rank")
+        .unionByName(missing)
     )
 
 

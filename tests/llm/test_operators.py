@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from assetspark.llm import license_scan, near_dedup, packing, quality_model, quality_rules, queries, repeated_spans, token_counts, url_filter
 from assetspark.llm.common import lower_ascii
 from assetspark.llm.exact_dedup import drop_copies, exact_groups
-from assetspark.llm.mixing import mix_plan, mixed_documents
+from assetspark.llm.mixing import mix_plan, mixed_documents, schedule
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
@@ -372,6 +372,14 @@ def test_mix(docs, empty):
     assert mixed_documents(docs, [5, 2, 1]).columns == docs.columns
 
 
+def test_schedule_gives_every_source_its_slots(spark):
+    slots = [2] * 10 + [3_500_000] + [2] * 9
+    ends = np.cumsum(slots).tolist()
+    layout = spark.createDataFrame([(i + 1, n, end - n, end) for i, (n, end) in enumerate(zip(slots, ends))], "nr long, slots long, _from long, _to long")
+    per_source = schedule(layout).groupBy("nr").agg(F.count("*"), F.max("rank"), F.countDistinct("rank"), F.countDistinct("slot")).collect()
+    assert sorted(map(tuple, per_source)) == [(i + 1, n, n - 1, n, n) for i, n in enumerate(slots)]
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://a.COM/de/1?x#y", "x://EXAMPLE.org", "http://sub.example.org/es/2#t", "http://example.org/en/17", "https://badexample.org/es/", "http://a.net?q/de/"]
     df = spark.createDataFrame([(i, u, None if i % 2 else "<title>the tion</title>") for i, u in enumerate(urls)], "page_id long, url string, html string")
