@@ -7,6 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import Tokenizers, align_documents
+from .block_topk import exact_top_k
+from .centroids import cluster_vectors
 from .common import lower_ascii, table
 from .exact_dedup import exact_groups
 from .license_scan import license_labels
@@ -77,17 +80,73 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"), WEIGHTS).drop("source", "full_takes")
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, 64)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed="3:").digest()
+
+
+def alignment_tokenizers() -> Tokenizers:
+    """Both production tokenizers of the alignment."""
+    import public_tokenizers as public
+
+    return Tokenizers.read(public.path("byte_bpe_50k.json"), public.PATTERN, public.path("piece_bpe_32k.model"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), alignment_tokenizers())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_quality_rules, op3_license_scan, op4_quality_classifier, op5_token_counts,
         op6_minhash_near_dedup, op7_exact_dedup, op8_url_filter, op9_suffix_dedup, op10_source_mix,
+        op11_exact_topk, op12_centroid_clusters, op13_token_alignment,
     )
 }
 
 _SPACE = r"[\x09-\x0D ]"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _lloyd_sql(k: int, rounds: int, dim: int, scale: int, seed: str) -> str:
+    """The rounds of the clustering, one after the other."""
+    nearest = """
+d{i} AS (
+  SELECT v.r, c.cluster,
+         list_sum(list_transform(range(1, {dim} + 1), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))::BIGINT AS distance
+  FROM v, c{i} c),
+a{i} AS MATERIALIZED (
+  SELECT r, cluster, distance FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1)"""
+    mean = """
+s{i} AS (
+  SELECT a.cluster, p.j, sum(v.q[p.j])::BIGINT AS s, count(*) AS n
+  FROM a{i} a JOIN v USING (r), (SELECT unnest(range(1, {dim} + 1)) AS j) p GROUP BY ALL),
+m{i} AS (
+  SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS q FROM s{i} GROUP BY cluster),
+c{j} AS MATERIALIZED (SELECT c.cluster, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN m{i} m USING (cluster))"""
+    steps = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('{seed}' || vec_id::VARCHAR) NULLS LAST, q) - 1)::INTEGER AS cluster, q
+  FROM v QUALIFY cluster < {k})"""]
+    for i in range(rounds):
+        steps += [nearest.format(i=i, dim=dim), mean.format(i=i, j=i + 1, dim=dim)]
+    steps.append(nearest.format(i=rounds, dim=dim))
+    return ",".join(steps) + f"""
+SELECT v.vec_id, a.cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+       (sum(a.distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c USING (cluster)"""
+
+
 SQL = {
     "op2_quality_rules": rf"""
 WITH w AS (
@@ -161,4 +220,16 @@ SELECT doc_id, size, source_size, target,
        (least(size, greatest(0, round(target)::BIGINT - start))
         + greatest(0, least(size, round(target)::BIGINT - source_size - start)))::BIGINT AS taken
 FROM p""",
+    "op11_exact_topk": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS query_id, b.vec_id, b.r,
+         coalesce(list_sum(list_transform(range(1, least(len(a.q), len(b.q)) + 1), lambda i: a.q[i] * b.q[i])), 0)::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id NULLS LAST, r)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20""",
+    "op12_centroid_clusters": _lloyd_sql(k=8, rounds=10, dim=64, scale=1024, seed="3:"),
 }
