@@ -16,43 +16,134 @@ from ..functions.color import (
     srgb_to_linear,
     unpack_axis,
 )
-from .texels import KEY, RGBA, any_differs, paired
+from .texels import KEY, RGBA, any_differs, pad_outside, paired
 
 
-def _blocks(texels: DataFrame):
-    return texels.groupBy("texture_id", div(F.col("x"), 2).alias("x"), div(F.col("y"), 2).alias("y"))
+def picture_sizes(texels: DataFrame) -> DataFrame:
+    """Width and height of every picture, from its outermost texels."""
+    return texels.groupBy("texture_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
+def with_sizes(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    return rows.join(sizes.select("texture_id", "width", "height"), "texture_id")
+
+
+def _halved(size: Column) -> Column:
+    return F.greatest(F.lit(1), div(size, 2)).cast("long")
+
+
+def _shares(place: Column, size: Column) -> Column:
+    """Where a texel of an axis goes one level down, as (at, part) rows.
+
+    The axis is measured in units of 1 / (size * target size): a texel covers ``target size`` units, a target texel
+    ``size`` units, so a texel lies in one target or, at odd sizes, is split over two by its overlap.
+    """
+    units = _halved(size)
+    start = place * units
+    first = div(start, size)
+    part = F.least(units, (first + 1) * size - start)
+    here = F.struct(first.alias("at"), part.alias("part"))
+    split = F.array(here, F.struct((first + 1).alias("at"), (units - part).alias("part")))
+    return F.when(part == units, F.array(here)).otherwise(split)
+
+
+def shrunk_shares(rows: DataFrame) -> DataFrame:
+    """Rows with x, y, width and height moved to the next level; ``area`` is the share of the target's width * height units."""
+    others = [c for c in rows.columns if c not in ("x", "y", "width", "height")]
+    across = rows.withColumn("_x", F.explode(_shares(F.col("x"), F.col("width"))))
+    both = across.withColumn("_y", F.explode(_shares(F.col("y"), F.col("height"))))
+    return both.select(
+        *others, F.col("_x.at").alias("x"), F.col("_y.at").alias("y"), "width", "height",
+        (F.col("_x.part") * F.col("_y.part")).alias("area"),
+    )
+
+
+def _area_means(texels: DataFrame, **values: Column) -> DataFrame:
+    """Area-weighted means per target texel; one shuffle by target texel with map-side sums."""
+    rows = shrunk_shares(texels.select(*KEY, "width", "height", *[v.alias(k) for k, v in values.items()]))
+    area = F.sum("area")
+    means = rows.groupBy(*KEY, "width", "height").agg(*[(F.sum(F.col(k) * F.col("area")) / area).alias(k) for k in values])
+    return means.withColumns({"width": _halved(F.col("width")), "height": _halved(F.col("height"))})
 
 
 def _byte(value: Column) -> Column:
     return clip(half_even(value), 0, 255)
 
 
-def next_level(texels: DataFrame, role: str) -> DataFrame:
-    """One mip step: one shuffle by target texel with map-side sums."""
+def sized_level(texels: DataFrame, role: str) -> DataFrame:
+    """One mip step of texels that carry width and height; so does the result."""
+    rest = ["width", "height"]
     if role == "gloss":
-        return _blocks(texels).agg(*[_byte(F.avg(c)).alias(c) for c in RGBA])
+        means = _area_means(texels, **{c: F.col(c) for c in RGBA})
+        return means.select(*KEY, *[_byte(F.col(c)).alias(c) for c in RGBA], *rest)
     if role == "diffuse":
-        colors = [linear_to_srgb(F.avg(srgb_to_linear(F.col(c)))).alias(c) for c in "rgb"]
-        return _blocks(texels).agg(*colors, _byte(F.avg("a")).alias("a"))
+        means = _area_means(texels, **{c: srgb_to_linear(F.col(c)) for c in "rgb"}, a=F.col("a"))
+        return means.select(*KEY, *[linear_to_srgb(F.col(c)).alias(c) for c in "rgb"], _byte(F.col("a")).alias("a"), *rest)
     if role == "normal":
         x, y = unpack_axis(F.col("a")), unpack_axis(F.col("g"))
         z = F.sqrt(clip(1.0 - x * x - y * y, 0.0, 1.0))
-        means = _blocks(texels).agg(
-            F.avg(x).alias("nx"), F.avg(y).alias("ny"), F.avg(z).alias("nz"), F.avg("r").alias("mr"), F.avg("b").alias("mb")
-        )
+        means = _area_means(texels, nx=x, ny=y, nz=z, mr=F.col("r"), mb=F.col("b"))
         size = F.greatest(F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2), F.lit(1e-8))
         px, py = pack_normal(F.col("nx") / size, F.col("ny") / size)
-        return means.select(*KEY, _byte(F.col("mr")).alias("r"), py.alias("g"), _byte(F.col("mb")).alias("b"), px.alias("a"))
+        return means.select(*KEY, _byte(F.col("mr")).alias("r"), py.alias("g"), _byte(F.col("mb")).alias("b"), px.alias("a"), *rest)
     raise ValueError(f"unknown texture role: {role}")
 
 
-def mip_chain(texels: DataFrame, role: str, levels: int) -> DataFrame:
-    """All levels; each step reads the rounded level above it."""
+def next_level(texels: DataFrame, role: str, sizes: DataFrame | None = None) -> DataFrame:
+    """One mip step: every axis of n texels becomes max(1, n div 2), each texel counted by the area it shares.
+
+    ``sizes``: texture_id, width, height where they are known; else they are taken from the texels.
+    """
+    sized = with_sizes(texels, picture_sizes(texels) if sizes is None else sizes)
+    return sized_level(sized, role).select(*KEY, *RGBA)
+
+
+def mip_chain(texels: DataFrame, role: str, levels: int, sizes: DataFrame | None = None, coverage: DataFrame | None = None) -> DataFrame:
+    """All levels; each step reads the rounded level above it.
+
+    With ``coverage`` (texture_id, x, y of the covered texels) uncovered texels are filled from the nearest covered one
+    before and after every step, but level 0 is returned as it is. The coverage of a level is ``mask_chain``'s.
+    """
+    if levels < 1:
+        raise ValueError("a mip chain has one level at least")
+    if role not in ("gloss", "diffuse", "normal"):
+        raise ValueError(f"unknown texture role: {role}")
     current = texels.select(*KEY, *RGBA)
+    sizes = picture_sizes(current) if sizes is None else sizes
+    masks = None if coverage is None else mask_chain(coverage, levels, sizes)
+    out = current.withColumn("level", F.lit(0))
+    current = with_sizes(current, sizes)
+    for level in range(1, levels):
+        if masks is not None:
+            current = _filled(current, masks.filter(F.col("level") == level - 1), sizes)
+        current = sized_level(current, role)
+        sizes = sizes.select("texture_id", *[_halved(F.col(c)).alias(c) for c in ("width", "height")])
+        if masks is not None:
+            current = _filled(current, masks.filter(F.col("level") == level), sizes)
+        out = out.unionByName(current.select(*KEY, *RGBA).withColumn("level", F.lit(level)))
+    return out
+
+
+def _filled(texels: DataFrame, covered: DataFrame, sizes: DataFrame) -> DataFrame:
+    marked = texels.join(covered.select(*KEY, F.lit(True).alias("covered")), KEY, "left").fillna(False, ["covered"])
+    return with_sizes(pad_outside(marked, RGBA).select(*KEY, *RGBA), sizes)
+
+
+def mask_chain(mask: DataFrame, levels: int, sizes: DataFrame) -> DataFrame:
+    """All levels of a mask; each step reads the level above it.
+
+    A target texel is set if the set texels share more than 1/510 of its area, the smallest share that an eight-bit
+    average shows. At even sizes that is any texel of the block.
+    """
+    current = mask.select(*KEY).distinct()
     out = current.withColumn("level", F.lit(0))
+    current = with_sizes(current, sizes)
     for level in range(1, levels):
-        current = next_level(current, role)
-        out = out.unionByName(current.withColumn("level", F.lit(level)))
+        shares = shrunk_shares(current).groupBy(*KEY, "width", "height").agg(F.sum("area").alias("area"))
+        current = shares.filter(510 * F.col("area") > F.col("width") * F.col("height")).select(
+            *KEY, _halved(F.col("width")).alias("width"), _halved(F.col("height")).alias("height")
+        )
+        out = out.unionByName(current.select(*KEY).withColumn("level", F.lit(level)))
     return out
 
 

@@ -147,21 +147,6 @@ def shrink_mask(mask: DataFrame, factor: int) -> DataFrame:
     ).distinct()
 
 
-def mask_chain(mask: DataFrame, levels: int) -> DataFrame:
-    """All levels of a mask in one pass over the set texels."""
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
-    return (
-        mask.select(*KEY)
-        .withColumn("level", level)
-        .select(
-            "texture_id", "level",
-            F.call_function("shiftright", F.col("x"), F.col("level")).alias("x"),
-            F.call_function("shiftright", F.col("y"), F.col("level")).alias("y"),
-        )
-        .distinct()
-    )
-
-
 def pad_outside(texels: DataFrame, channels: list[str] = RGBA) -> DataFrame:
     """Fill uncovered texels with the nearest covered one.
 
@@ -200,7 +185,7 @@ def pad_outside(texels: DataFrame, channels: list[str] = RGBA) -> DataFrame:
             np.copyto(best[into], far, where=better)
             np.copyto(place[into], tail[take], where=better)
 
-        for step in range(shape[0]):
+        for step in range(shape[0] if (row_x >= 0).any() else 0):
             if step and step * step > best.max():
                 break
             nearer(slice(step, None), slice(0, shape[0] - step), step)

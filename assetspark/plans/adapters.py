@@ -24,7 +24,7 @@ REVIEW_DECISIONS = ["confirmed", "probable", "needs_review", "rejected", "clear"
 STAGE_STATUS = ["pass", "fail", "pending"]
 
 
-def pick(values: list[str], index: Column) -> Column:
+def pick(values: list, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index)
 
 
@@ -236,6 +236,18 @@ class Tables:
             *[channel(k).alias(c) for k, c in enumerate("rgba")],
         )
 
+    @cached_property
+    def odd_texels(self) -> DataFrame:
+        """The same texels, 105 of them a picture of 15x7, 5x21, 1x105 or 35x3."""
+        place = F.col("texture_id") * 256 + F.col("y") * 16 + F.col("x")
+        i = F.col("place") % 105
+        width = pick([15, 5, 1, 35], F.col("picture") % 4)
+        return (
+            self.texels.select(place.alias("place"), div(place, 105).alias("picture"), "r", "g", "b", "a")
+            .withColumn("width", width.cast("long"))
+            .select(F.col("picture").alias("texture_id"), (i % F.col("width")).alias("x"), div(i, F.col("width")).alias("y"), "r", "g", "b", "a")
+        )
+
     @cached_property
     def edited_texels(self) -> DataFrame:
         hit = (F.col("x") + F.col("y")) % 5 == 0

@@ -127,6 +127,12 @@ CTES: dict[str, tuple[list[str], str]] = {
         f"""SELECT vec_id//16 AS texture_id, x, vec_id%16 AS y, {channel(0)} AS r, {channel(1)} AS g,
         {channel(2)} AS b, {channel(3)} AS a FROM embeddings, range(16) t(x)""",
     ),
+    "odd_texels": (
+        ["texels"],
+        """SELECT picture AS texture_id, (place%105)%width AS x, (place%105)//width AS y, r, g, b, a FROM (
+        SELECT place, place//105 AS picture, [15,5,1,35][((place//105)%4)::BIGINT+1]::BIGINT AS width, r, g, b, a FROM (
+        SELECT texture_id*256+y*16+x AS place, r, g, b, a FROM texels))""",
+    ),
     "edited_texels": (
         ["texels"],
         "SELECT texture_id,x,y,CASE WHEN (x+y)%5=0 THEN (r+17)%256 ELSE r END AS r,g,b,a FROM texels",

@@ -169,7 +169,7 @@ def level_invariants(t):
 )
 def seam_metrics(t):
     before, after = _chains(t)
-    return mips.seam_metrics(before, after, texels.mask_chain(t.mask("seam_guard"), 3))
+    return mips.seam_metrics(before, after, mips.mask_chain(t.mask("seam_guard"), 3, mips.picture_sizes(t.mask_texels)))
 
 
 @DERIVE.query(

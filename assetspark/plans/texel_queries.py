@@ -135,7 +135,7 @@ def mask_projection(t):
     "mask_texels",
 )
 def mask_chain(t):
-    return texels.mask_chain(t.mask("new_text"), 5)
+    return mips.mask_chain(t.mask("new_text"), 5, mips.picture_sizes(t.mask_texels))
 
 
 @TEXELS.query(
@@ -233,6 +233,85 @@ def mip_chain(t):
     return mips.mip_chain(t.texels, "gloss", 5)
 
 
+# ---- mips of odd sizes: every target texel joined with all texels that overlap it
+
+
+def _overlap(src, cols):
+    """Area-weighted sums of ``cols`` (name, value) of a picture table with its sizes ``z``."""
+    part = lambda p, size, half: f"least(({p}+1)*{half}, (t{p}+1)*{size})-greatest({p}*{half}, t{p}*{size})"
+    means = ", ".join(f"sum(({v})*sx*sy)/sum(sx*sy) AS {k}" for k, v in cols)
+    return f"""SELECT texture_id, tx AS x, ty AS y, {means} FROM (
+      SELECT *, {part('x', 'w', 'hw')} AS sx, {part('y', 'h', 'hh')} AS sy FROM (
+        SELECT p.*, w, h, greatest(1, w//2) AS hw, greatest(1, h//2) AS hh FROM {src} p JOIN (
+          SELECT texture_id, max(x)+1 AS w, max(y)+1 AS h FROM {src} GROUP BY 1) USING (texture_id)),
+      unnest(range(greatest(1, w//2))) AS a(tx), unnest(range(greatest(1, h//2))) AS b(ty)
+      WHERE x*hw < (tx+1)*w AND tx*w < (x+1)*hw AND y*hh < (ty+1)*h AND ty*h < (y+1)*hh) GROUP BY 1,2,3"""
+
+
+def _odd_gloss(src):
+    return f"SELECT texture_id, x, y, {', '.join(f'{_RE.format(v=c)} AS {c}' for c in 'rgba')} FROM ({_overlap(src, [(c, c) for c in 'rgba'])})"
+
+
+def _odd_diffuse(src):
+    cols = [(f"l{c}", _lin(c)) for c in "rgb"] + [("ma", "a")]
+    rgb = ", ".join(f"{_srgb('l' + c)} AS {c}" for c in "rgb")
+    return f"SELECT texture_id, x, y, {rgb}, {_RE.format(v='ma')} AS a FROM ({_overlap(src, cols)})"
+
+
+def _odd_normal(src):
+    vx, vy = "(a/127.5::DOUBLE-1.0)", "(g/127.5::DOUBLE-1.0)"
+    cols = [("nx", vx), ("ny", vy), ("nz", f"sqrt(least(1.0,greatest(0.0,1.0-{vx}*{vx}-{vy}*{vy})))"), ("mr", "r"), ("mb", "b")]
+    return f"""SELECT texture_id, x, y, {_RE.format(v='mr')} AS r, {_NY} AS g, {_RE.format(v='mb')} AS b, {_NX} AS a
+      FROM (SELECT *, greatest(sqrt(nx*nx+ny*ny+nz*nz),1e-8) AS nl FROM ({_overlap(src, cols)}))"""
+
+
+_ODD_LEVELS = 8
+
+
+def _odd_chain(step):
+    levels = ", ".join(f"l{i} AS MATERIALIZED ({step('odd_texels' if i == 1 else f'l{i - 1}')})" for i in range(1, _ODD_LEVELS))
+    union = " UNION ALL BY NAME ".join(f"SELECT *, {i} AS level FROM {'odd_texels' if i == 0 else f'l{i}'}" for i in range(_ODD_LEVELS))
+    return f"WITH {levels} {union}"
+
+
+@TEXELS.query("a26_odd_gloss_chain", _odd_chain(_odd_gloss), "odd_texels")
+def odd_gloss_chain(t):
+    return mips.mip_chain(t.odd_texels, "gloss", _ODD_LEVELS)
+
+
+@TEXELS.query("a27_odd_diffuse_chain", _odd_chain(_odd_diffuse), "odd_texels")
+def odd_diffuse_chain(t):
+    return mips.mip_chain(t.odd_texels, "diffuse", _ODD_LEVELS)
+
+
+@TEXELS.query("a28_odd_normal_chain", _odd_chain(_odd_normal), "odd_texels")
+def odd_normal_chain(t):
+    return mips.mip_chain(t.odd_texels, "normal", _ODD_LEVELS)
+
+
+def _odd_mask(src):
+    return f"""SELECT texture_id, tx AS x, ty AS y FROM (SELECT *, least((x+1)*hw,(tx+1)*w)-greatest(x*hw,tx*w) AS sx, least((y+1)*hh,(ty+1)*h)-greatest(y*hh,ty*h) AS sy
+      FROM (SELECT p.*, greatest(1, w//2) AS hw, greatest(1, h//2) AS hh FROM {src} p), unnest(range(hw)) AS a(tx), unnest(range(hh)) AS b(ty)
+      WHERE x*hw < (tx+1)*w AND tx*w < (x+1)*hw AND y*hh < (ty+1)*h AND ty*h < (y+1)*hh)
+    GROUP BY texture_id, tx, ty, w, h HAVING 255*sum(sx*sy)::DOUBLE/(w*h) > 0.5"""
+
+
+def _odd_mask_chain():
+    size = lambda i: ", ".join(f"greatest(1, max({c})+1 >> {i}) AS {n}" for c, n in (("x", "w"), ("y", "h")))
+    steps = ["m0 AS (SELECT texture_id, x, y FROM odd_texels WHERE (r+g)%7=0)"]
+    for i in range(1, _ODD_LEVELS):
+        sizes = f"(SELECT texture_id, {size(i - 1)} FROM odd_texels GROUP BY 1)"
+        steps.append(f"m{i} AS MATERIALIZED ({_odd_mask(f'(SELECT * FROM m{i - 1} JOIN {sizes} USING (texture_id))')})")
+    union = " UNION ALL ".join(f"SELECT texture_id, x, y, {i} AS level FROM m{i}" for i in range(_ODD_LEVELS))
+    return f"WITH {', '.join(steps)} {union}"
+
+
+@TEXELS.query("a29_odd_mask_chain", _odd_mask_chain(), "odd_texels")
+def odd_mask_chain(t):
+    mask = t.odd_texels.filter((F.col("r") + F.col("g")) % 7 == 0)
+    return mips.mask_chain(mask, _ODD_LEVELS, mips.picture_sizes(t.odd_texels))
+
+
 @TEXELS.query(
     "a30_alpha_projection",
     "SELECT texture_id, x//4 AS x, y//4 AS y, (sum(a)::BIGINT+8)//16 AS a FROM texels GROUP BY 1,2,3",

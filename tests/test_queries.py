@@ -16,7 +16,7 @@ SAMPLE = [
     "a03_pixel_groups", "a04_tier_classification", "a06_run_summary", "k04_limit_on_pictures", "j18_box_overlap_pairs",
     "a07_consensus_reading", "a10_visual_suppression", "w05_expected_spans", "j06_external_materials",
     "j12_consumer_closure", "a45_graph_digest", "j20_snapshot_drift", "a20_change_measurement", "x05_nearest_fill",
-    "a28_normal_mip", "a38_effect_support", "f18_derive_normal", "a35_merged_boundary", "x10_triangle_coverage",
+    "a28_normal_mip", "a27_odd_diffuse_chain", "a29_odd_mask_chain", "a38_effect_support", "f18_derive_normal", "a35_merged_boundary", "x10_triangle_coverage",
     "w09_merge_ranges", "x09_differences_outside", "j19_plan_diff", "j37_preparation_request", "s03_pixel_fingerprint",
     "u0_batch_recognizer",
 ]

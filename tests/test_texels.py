@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from assetspark.operators import graph, mesh, mips, ranges, texels
@@ -72,3 +73,53 @@ def test_two_hop_discovery(spark):
 def test_payload_size(spark):
     row = spark.range(1).select(texels.payload_size(F.lit(4096).cast("long"), F.lit(4096).cast("long")).alias("n")).first()
     assert row.n == 22_369_648
+
+
+def area_matrix(n):
+    """Plain area weights of one axis: target rows, source columns, in double precision."""
+    m = max(1, n // 2)
+    scale = n / m
+    out = np.zeros((m, n))
+    for j in range(m):
+        for i in range(n):
+            out[j, i] = max(0.0, min(i + 1, (j + 1) * scale) - max(i, j * scale)) / scale
+    return out
+
+
+def shrink(values):
+    return np.einsum("ji,ik...,lk->jl...", area_matrix(values.shape[0]), values, area_matrix(values.shape[1]))
+
+
+@pytest.mark.parametrize("shape", [(5, 7), (1, 9), (9, 1), (6, 4), (3, 1), (1, 1)])
+def test_odd_mips_weight_by_area(spark, shape):
+    array = np.random.default_rng(3).integers(0, 256, (*shape, 4))
+    rows = mips.mip_chain(picture(spark, array), "gloss", 4).collect()
+    want = array.astype(float)
+    for level in range(4):
+        got = {(r.y, r.x): (r.r, r.g, r.b, r.a) for r in rows if r.level == level}
+        assert got == {(y, x): tuple(want[y, x].astype(int)) for y in range(want.shape[0]) for x in range(want.shape[1])}
+        want = np.round(np.round(shrink(want), 9))
+
+
+def test_odd_masks_keep_visible_shares(spark):
+    # 4097 texels become 2048: the last texel of a target's border shares less than 1/510 of it
+    mask = spark.createDataFrame([(1, 1, 0), (1, 4096, 0), (1, 2, 0)], "texture_id long, x long, y long")
+    sizes = spark.createDataFrame([(1, 4097, 1)], "texture_id long, width long, height long")
+    got = {r.x for r in mips.mask_chain(mask, 2, sizes).filter("level = 1").collect()}
+    assert got == {0, 1, 2047}
+    only = mask.filter("x = 2")  # 2048 units each, target 0 ends at 4097: one unit of texel 2 lies in it
+    assert {r.x for r in mips.mask_chain(only, 2, sizes).filter("level = 1").collect()} == {1}
+
+
+def test_chain_with_coverage_spreads_covered_colors(spark):
+    array = np.zeros((2, 4, 4), int)
+    array[..., 2:] = 255
+    array[:, 0, :3] = (255, 0, 0)
+    covered = spark.createDataFrame([(1, 0, 0), (1, 0, 1)], "texture_id long, x long, y long")
+    rows = mips.mip_chain(picture(spark, array), "diffuse", 3, coverage=covered).collect()
+    assert {(r.x, r.y, r.b) for r in rows if r.level == 0} == {(x, y, 0 if x == 0 else 255) for x in range(4) for y in range(2)}
+    assert {(r.level, r.r, r.g, r.b) for r in rows if r.level > 0} == {(1, 255, 0, 0), (2, 255, 0, 0)}
+    with pytest.raises(ValueError):
+        mips.mip_chain(picture(spark, array), "unknown", 2)
+    with pytest.raises(ValueError):
+        mips.mip_chain(picture(spark, array), "gloss", 0)
