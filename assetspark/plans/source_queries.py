@@ -6,6 +6,7 @@ from ..functions.arithmetic import div
 from ..functions.ids import rgba_pixel_hash
 from ..operators import recognizer, selection
 from ..sources import images, manifests, sinks
+from .adapters_sql import agreement_sql, letters_sql
 from .registry import Registry
 from .selection_queries import _CLASSIFY, _references
 
@@ -171,32 +172,59 @@ def summary_rows(t):
     return sinks.summary_rows(refs.select("asset_id").distinct(), texts, refs)
 
 
+def _words_at(payload: bytes, variant: str) -> tuple[str, int]:
+    """The first, middle or last word of the whole text."""
+    words, number = payload.decode().split(" "), int(variant[1:])
+    return words[(len(words) - 1) * number // 2], number
+
+
 def _primary(payload: bytes, variant: str) -> list[dict]:
-    """Stub recognizer: the payload is ``word:number``."""
-    word, number = payload.decode().split(":")
-    if int(number) % 13 == 0:
+    word, number = _words_at(payload, variant)
+    if len(word) % 13 == 0:
         raise ValueError("unreadable")
-    return [{"text": word, "confidence": int(number) % 100 / 100}]
+    return [{"text": word, "confidence": (len(word) * 17 + number * 29) % 100 / 100}]
 
 
 def _fallback(payload: bytes, variant: str) -> list[dict]:
-    word, number = payload.decode().split(":")
-    return [{"text": word, "confidence": (int(number) + 50) % 100 / 100}]
+    word, number = _words_at(payload, variant)
+    return [{"text": word[::-1] if number == 0 else word, "confidence": (len(word) * 23 + number * 7 + 41) % 100 / 100}]
+
+
+_BEST = "max(CASE WHEN {on} THEN {{'c': c, 'n': n, 'w': w}} END) OVER (PARTITION BY asset_id ORDER BY {by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_BEFORE = "coalesce(bool_or({on}) OVER (PARTITION BY asset_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)"
 
 
 @SOURCES.query(
     "u0_batch_recognizer",
-    """WITH d AS (SELECT doc_id AS asset_id, n_chars%13=0 AS bad, n_chars%100/100.0::DOUBLE AS p, (n_chars+50)%100/100.0::DOUBLE AS f FROM documents),
-    s AS (SELECT *, NOT bad AND p>=0.8 AS done FROM d),
-    c AS (SELECT asset_id, bad, done, CASE WHEN done THEN p WHEN bad THEN f ELSE greatest(p,f) END AS score, NOT bad AND NOT done AND p>=0.45 AND f>=0.45 AS agree FROM s)
-    SELECT asset_id, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN bad THEN 'one/v0: unreadable' END AS error, CASE WHEN done OR bad THEN 1 ELSE 2 END AS variant_calls,
-    CASE WHEN score>=0.8 THEN 'confirmed' WHEN agree THEN 'confirmed' WHEN score>=0.45 THEN 'probable' ELSE 'needs_review' END AS tier, score FROM c""",
+    f"""WITH t AS (SELECT doc_id AS asset_id, string_split(coalesce(text, ''), ' ') AS ws FROM documents),
+    r AS (SELECT asset_id, k, ws[((len(ws)-1)*k)//2+1] AS word FROM t, (SELECT unnest([0,1,2]) AS k)),
+    p0 AS (SELECT asset_id, k, word AS w, (length(word)*17+k*29)%100/100.0::DOUBLE AS c, length(word)%13=0 AS bad, {letters_sql('word', 'LATIN')}+{letters_sql('word', 'CYRILLIC')} AS n FROM r),
+    p1 AS (SELECT *, {_BEST.format(on='NOT bad AND n>0', by='k')} AS best FROM p0),
+    p2 AS (SELECT *, coalesce(best.c>=0.8 AND best.n>=3, false) AS sure FROM p1),
+    p AS (SELECT * FROM (SELECT *, {_BEFORE.format(on='bad OR sure')} AS over FROM p2) WHERE NOT over),
+    d AS (SELECT asset_id FROM p GROUP BY 1 HAVING bool_or(sure AND NOT bad)),
+    f0 AS (SELECT asset_id, k, CASE WHEN k=0 THEN reverse(word) ELSE word END AS w, (length(word)*23+k*7+41)%100/100.0::DOUBLE AS c,
+      {letters_sql('word', 'LATIN')}+{letters_sql('word', 'CYRILLIC')} AS n FROM r WHERE asset_id NOT IN (SELECT asset_id FROM d)),
+    f1 AS (SELECT *, n>0 AND c>=0.45 AND EXISTS (SELECT 1 FROM p WHERE p.asset_id=f0.asset_id AND NOT p.bad AND p.n>0 AND p.c>=0.45
+      AND {agreement_sql('p.w')}={agreement_sql('f0.w')}) AS same FROM f0),
+    b AS (SELECT asset_id, k-10 AS pos, w, c, n, false AS same FROM p WHERE NOT bad UNION ALL SELECT asset_id, k AS pos, w, c, n, same FROM f1),
+    b1 AS (SELECT *, {_BEST.format(on='n>0', by='pos')} AS best, bool_or(same) OVER (PARTITION BY asset_id ORDER BY pos) AS agreed FROM b),
+    f2 AS (SELECT *, pos AS k, coalesce(best.c>=0.8 AND best.n>=3, false) OR agreed AS sure FROM b1 WHERE pos>=0),
+    f AS (SELECT * FROM (SELECT *, {_BEFORE.format(on='sure')} AS over FROM f2) WHERE NOT over),
+    m AS (SELECT asset_id, k, 1 AS stage, w, c, n, bad, false AS same FROM p UNION ALL SELECT asset_id, k, 2, w, c, n, false, same FROM f),
+    g AS (SELECT asset_id, count(*) FILTER (NOT bad) AS variant_calls, max(CASE WHEN bad THEN 'one/v'||k||': ValueError: unreadable' END) AS error,
+      max(CASE WHEN NOT bad AND n>0 THEN {{'c': c, 'n': n, 'w': w}} END) AS best, bool_or(same) AS agreed,
+      bool_or(NOT bad AND NOT regexp_matches(w, '[^\s]') AND c>=0.15) AS blank, max(c) FILTER (NOT bad) AS top FROM m GROUP BY 1)
+    SELECT asset_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error, variant_calls,
+    CASE WHEN best IS NULL THEN CASE WHEN blank THEN 'needs_review' ELSE 'rejected' END WHEN best.c>=0.8 AND best.n>=3 OR agreed THEN 'confirmed'
+      WHEN best.c>=0.45 AND best.n>=2 THEN 'probable' ELSE 'needs_review' END AS tier,
+    CASE WHEN best IS NULL THEN CASE WHEN blank THEN top ELSE 0 END ELSE best.c END AS score FROM g""",
 )
 def batch_recognizer(t):
-    """Two-stage scan with deterministic stub recognizers."""
-    payload = F.concat(F.col("source"), F.lit(":"), F.col("n_chars")).cast("binary")
-    assets = t.documents.select(F.col("doc_id").alias("asset_id"), payload.alias("payload"))
-    return recognizer.scan_assets(assets, ("one", _primary), ("two", _fallback), ["v0"])
+    """Two-stage scan of the whole texts; the plugged-in readers take words of them, equal texts agree."""
+    assets = t.documents.select(F.col("doc_id").alias("asset_id"), F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+    exact = selection.Thresholds(agreement_similarity=1.0)
+    return recognizer.scan_assets(assets, ("one", _primary), ("two", _fallback), ["v0", "v1", "v2"], exact)
 
 
 @SOURCES.query(

@@ -85,7 +85,8 @@ def test_recognizer_errors_are_data_and_fallback_runs_last(spark):
     assets = spark.createDataFrame([("1", bytearray(b"STOP")), ("2", bytearray(b"BEER")), ("3", bytearray(b"bad"))], "asset_id string, payload binary")
     got = {r.asset_id: r for r in recognizer.scan_assets(assets, ("one", primary), ("two", fallback), ["v0", "v1"]).collect()}
     assert (got["1"].tier, got["1"].variant_calls) == ("confirmed", 1)
-    assert (got["2"].tier, got["2"].variant_calls) == ("confirmed", 4)
+    # two primary calls, then the fallback's first reading agrees
+    assert (got["2"].tier, got["2"].variant_calls) == ("confirmed", 3)
     assert got["3"].status == "error" and got["3"].error.startswith("one/v0")
 
 
