@@ -6,6 +6,10 @@ rotation_deg, x0, y0, x1, y1. ``seq`` is the input order and breaks every tie.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +17,8 @@ from ..functions import boxes
 from ..functions.arithmetic import count_where, div
 from ..functions.text import agreement_text, is_blank, literal_text
 from ..session import cut_lineage
-from .skew import number_by_rows, running_min_before
+from .skew import number_by_rows
 
-# Images with more readings than this take the distributed path.
-FOLD_LIMIT = 2000
 CELL = 256
 
 
@@ -70,97 +72,168 @@ def same_region_pairs(readings: DataFrame) -> DataFrame:
     )
 
 
-# ---- splitting groups by size ---------------------------------------------
+# ---- independent components -----------------------------------------------
 
+#: Columns that name a component of an image.
+COMPONENT = ["_c0", "_c1", "_c2"]
 
-def _split_by_size(rows: DataFrame, group: str, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups, and rows of huge groups (None if there are none)."""
-    huge = rows.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(group)
-    if huge.isEmpty():
-        return rows, None
-    return rows.join(huge, group, "left_anti"), rows.join(huge, group, "left_semi")
 
+def _sweep(rows: DataFrame, keys: list[str], low: str, high: str, out: str) -> DataFrame:
+    """Number the stretches of an axis that no box bridges, in each group of ``keys``.
 
-# ---- greedy clustering ----------------------------------------------------
+    The boxes are first reduced to one row per start, so the window of a group is bounded by the picture's side, not by
+    its boxes.
+    """
+    starts = rows.groupBy(*keys, low).agg(F.max(high).alias("_reach"))
+    along = Window.partitionBy(*keys).orderBy(low)
+    reached = F.max("_reach").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opened = starts.withColumn("_opens", F.when(reached > F.col(low), 0).otherwise(1))
+    numbered = opened.select(*keys, low, F.sum("_opens").over(along).cast("int").alias(out))
+    return rows.join(numbered, [*keys, low])
 
 
-def _fold_clusters(rows: DataFrame) -> DataFrame:
-    """Walk the readings of an image in order; join the first matching cluster."""
-    item = F.struct(
-        (-F.col("confidence")).alias("neg"), F.col("seq").alias("seq"), *boxes.SIDES, F.col("key").alias("key")
-    )
-    lists = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+def overlap_components(rows: DataFrame) -> DataFrame:
+    """Rows with the ``COMPONENT`` they belong to; boxes of different components of an image share no area.
 
-    def place(done: Column, it: Column) -> Column:
-        hits = F.filter(done, lambda d: boxes.same_text_region(d, it))
-        fresh = F.struct(F.size(done).cast("long").alias("at"), it["seq"].alias("founder"))
-        home = F.coalesce(F.array_min(F.transform(hits, lambda d: d["home"])), fresh)
-        entry = [it["seq"].alias("seq"), *[it[c].alias(c) for c in boxes.SIDES], it["key"].alias("key")]
-        return F.array_append(done, F.struct(*entry, home.alias("home")))
+    Three sweeps, along x, along y inside each stretch, and along x again. A component may hold boxes that do not
+    overlap, but never parts two that do.
+    """
+    out = _sweep(rows, ["image_id"], "x0", "x1", COMPONENT[0])
+    out = _sweep(out, ["image_id", COMPONENT[0]], "y0", "y1", COMPONENT[1])
+    return _sweep(out, ["image_id", *COMPONENT[:2]], "x0", "x1", COMPONENT[2])
+
+
+class _Boxes:
+    """Boxes of a component in growing arrays."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self.sides = np.zeros((64, 4), np.int64)
+        self.area = np.zeros(64, np.int64)
+        self.confidence = np.zeros(64)
+        self.texts: list[str] = []
+
+    def add(self, box: tuple[int, int, int, int], text: str, confidence: float) -> None:
+        if self.n == len(self.area):
+            for name in ("sides", "area", "confidence"):
+                held = getattr(self, name)
+                setattr(self, name, np.concatenate([held, np.zeros_like(held)]))
+        self.sides[self.n] = box
+        self.area[self.n] = (box[2] - box[0]) * (box[3] - box[1])
+        self.confidence[self.n] = confidence
+        self.texts.append(text)
+        self.n += 1
+
+    def shared(self, box: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the boxes that share area with ``box``, and the shared areas."""
+        s = self.sides[: self.n]
+        width = np.minimum(s[:, 2], box[2]) - np.maximum(s[:, 0], box[0])
+        height = np.minimum(s[:, 3], box[3]) - np.maximum(s[:, 1], box[1])
+        at = np.flatnonzero((width > 0) & (height > 0))
+        return at, width[at] * height[at]
+
+
+def _walk(
+    rows: DataFrame, order: list[Column], fields: list[str], start: Callable[[], object], step: Callable[[object, tuple], object], out: str
+) -> DataFrame:
+    """Walk every component in ``order``; ``step`` sees one row at a time and returns the row's result, or None for no row.
 
-    empty = F.array().cast(
-        "array<struct<seq:bigint,x0:bigint,y0:bigint,x1:bigint,y1:bigint,key:string,home:struct<at:bigint,founder:bigint>>>"
-    )
-    folded = lists.select("image_id", F.explode(F.aggregate("items", empty, place)).alias("d"))
-    return folded.select("image_id", F.col("d.seq").alias("seq"), F.col("d.home.founder").alias("cluster_id"))
+    Components lie sorted in their tasks and are read as a stream, so a task holds the state of one component only.
+    """
+    staged = overlap_components(rows).withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    keys = ["image_id", *COMPONENT]
+    sorted_rows = staged.select(*keys, "_order", "seq", *fields).repartition(*keys).sortWithinPartitions(*keys, "_order")
+    image, kind = rows.schema["image_id"].dataType.simpleString(), out
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*keys, "seq", *fields)]
+            taken, results = [], []
+            for i, row in enumerate(zip(*columns, strict=True)):
+                if row[: len(keys)] != now:
+                    now, state = row[: len(keys)], start()
+                result = step(state, row[len(keys) :])
+                if result is not None:
+                    taken.append(i)
+                    results.append(result)
+            picked = batch.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([picked.column("image_id"), picked.column("seq"), pa.array(results, pa.int64())], ["image_id", "seq", kind])
+
+    return sorted_rows.drop("_order").mapInArrow(walk, f"image_id {image}, seq long, {kind} long")
 
 
-def _spread_clusters(rows: DataFrame) -> DataFrame:
-    """The same clusters for images too large for one task.
+# ---- greedy clustering ----------------------------------------------------
+
+
+class _Clusters(_Boxes):
+    """Readings with equal box and text form a class, which is matched with the others once.
+
+    A reading joins the earliest cluster that holds a matching reading. ``joined`` is the earliest cluster with a reading of
+    a class, ``reach`` the earliest one with a reading of a matching class.
+    """
 
-    A reading's cluster is the earliest founder reachable over earlier matching
-    readings, so labels can be spread round by round. Readings with equal box
-    and text form one class; classes are matched once, and each round takes a
-    running minimum over the readings of matching classes.
+    def __init__(self) -> None:
+        super().__init__()
+        self.classes: dict[tuple, int] = {}
+        self.near: list[list[int]] = []
+        self.joined: list[int | None] = []
+        self.reach: list[int | None] = []
+        self.founders: list[int] = []
+
+    def class_of(self, box: tuple[int, int, int, int], key: str) -> int:
+        name = (*box, key)
+        at = self.classes.get(name)
+        if at is None:
+            at = self.classes[name] = self.n
+            area = (box[2] - box[0]) * (box[3] - box[1])
+            near, shared = self.shared(box)
+            same = shared / np.maximum(1, area + self.area[near] - shared) >= 0.55
+            inside = shared / np.maximum(1, np.minimum(area, self.area[near])) >= 0.85
+            self.add(box, key, 0.0)
+            others = [
+                j for j, s, i in zip(near.tolist(), same.tolist(), inside.tolist(), strict=True)
+                if s or (i and key and self.texts[j] and (key in self.texts[j] or self.texts[j] in key))
+            ]
+            # a box without area matches nothing, not even itself
+            self.near.append([*others, at] if box[0] < box[2] and box[1] < box[3] else others)
+            for j in others:
+                self.near[j].append(at)
+            known = [self.joined[j] for j in others if self.joined[j] is not None]
+            self.joined.append(None)
+            self.reach.append(min(known, default=None))
+        return at
+
+    def place(self, row: tuple) -> int:
+        seq, x0, y0, x1, y1, key = row
+        at = self.class_of((x0, y0, x1, y1), key)
+        home = self.reach[at]
+        if home is None:
+            home = len(self.founders)
+            self.founders.append(seq)
+        if self.joined[at] is None or home < self.joined[at]:
+            self.joined[at] = home
+            for j in self.near[at]:
+                if self.reach[j] is None or home < self.reach[j]:
+                    self.reach[j] = home
+        return self.founders[home]
+
+
+def greedy_clusters(readings: DataFrame) -> DataFrame:
+    """(image_id, seq, cluster_id): clusters by confidence order, named by founder.
+
+    Readings that share no area never meet, so an image is cut into components, which are walked apart.
     """
-    order = F.struct((-F.col("confidence")).alias("neg"), F.col("seq").alias("seq"))
-    keyed = rows.withColumn("ord", order)
-    classes = keyed.groupBy("image_id", *boxes.SIDES, "key").agg(F.min("seq").alias("cls"))
-    keyed = cut_lineage(keyed.join(classes, ["image_id", *boxes.SIDES, "key"]).select("image_id", "cls", "seq", "ord"))
-    shapes = classes.select("image_id", "cls", *boxes.SIDES, "key")
-    pairs = overlap_pairs(shapes, ["image_id", "cls"], ["key"]).filter(
-        boxes.same_text_region(boxes.named("l_"), boxes.named("r_"))
-    )
-    edges = cut_lineage(
-        pairs.select("image_id", F.col("l_cls").alias("cls"), F.col("r_cls").alias("to"))
-        .unionByName(pairs.select("image_id", F.col("r_cls").alias("cls"), F.col("l_cls").alias("to")))
-        .unionByName(shapes.select("image_id", "cls", F.col("cls").alias("to")))
-    )
-    labels = keyed.withColumn("label", F.col("ord"))
-    while True:
-        sources = labels.join(edges, ["image_id", "cls"]).select(
-            "image_id", F.col("to").alias("cls"), "ord", F.lit(1).alias("kind"), "seq", "label", F.lit(None).alias("old")
-        )
-        readers = labels.select(
-            "image_id", "cls", "ord", F.lit(0).alias("kind"), "seq",
-            F.lit(None).cast(labels.schema["label"].dataType).alias("label"), F.col("label").alias("old"),
-        )
-        merged = readers.unionByName(sources.withColumn("old", F.col("old").cast(labels.schema["label"].dataType)))
-        seen = running_min_before(merged, ["image_id", "cls"], ["ord", "kind"], "label", "reach")
-        step = seen.filter("kind = 0").select(
-            "image_id", "cls", "seq", "ord",
-            F.least("old", "reach").alias("label"),
-            (F.col("reach") < F.col("old")).alias("moved"),
-        )
-        step = cut_lineage(step)
-        labels = step.drop("moved")
-        if step.filter("moved").isEmpty():
-            return labels.select("image_id", "seq", F.col("label.seq").alias("cluster_id"))
-
-
-def greedy_clusters(readings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """(image_id, seq, cluster_id): clusters by confidence order, named by founder."""
     rows = readings.withColumn("key", agreement_text(F.col("text"))).select(
-        "image_id", "seq", "confidence", *[F.col(c).cast("long").alias(c) for c in boxes.SIDES], "key"
+        "image_id", F.col("seq").cast("long").alias("seq"), "confidence", *[F.col(c).cast("long").alias(c) for c in boxes.SIDES], "key"
     )
-    usual, huge = _split_by_size(rows, "image_id", fold_limit)
-    out = _fold_clusters(usual)
-    return out if huge is None else out.unionByName(_spread_clusters(huge))
+    order = [-F.col("confidence"), F.col("seq")]
+    return _walk(rows, order, [*boxes.SIDES, "key"], _Clusters, _Clusters.place, "cluster_id")
 
 
-def cluster_readings(readings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def cluster_readings(readings: DataFrame) -> DataFrame:
     """Readings with their cluster, stored once because the votes read it often."""
-    return cut_lineage(readings.join(greedy_clusters(readings, fold_limit), ["image_id", "seq"]))
+    return cut_lineage(readings.join(greedy_clusters(readings), ["image_id", "seq"]))
 
 
 # ---- votes ----------------------------------------------------------------
@@ -254,65 +327,49 @@ def valid_reading(minimum: Column | float) -> Column:
     return (F.col("confidence") >= minimum) & ~is_blank(literal_text(F.col("text")))
 
 
-def _suppress(rows: DataFrame, order: list[Column], covers, fold_limit: int) -> DataFrame:
-    """Keep each box unless an earlier kept box covers it.
+class _Kept(_Boxes):
+    """Boxes kept so far; a box goes if one of them covers it."""
+
+    smaller = 0.0
+
+    def covered(self, at: np.ndarray, text: str, confidence: float) -> bool:
+        raise NotImplementedError
+
+    def place(self, row: tuple) -> int | None:
+        seq, x0, y0, x1, y1, text, confidence = row
+        box = (x0, y0, x1, y1)
+        area = (x1 - x0) * (y1 - y0)
+        near, shared = self.shared(box)
+        most = near[shared / np.maximum(1, np.minimum(area, self.area[near])) >= self.smaller]
+        if len(most) and self.covered(most, text, confidence):
+            return None
+        self.add(box, text, confidence)
+        return seq
+
+
+class _Visual(_Kept):
+    smaller = 0.78
+
+    def covered(self, at: np.ndarray, text: str, confidence: float) -> bool:
+        return bool((self.confidence[at] >= confidence * 0.7).any())
 
-    ``covers(kept, box)`` compares two structs. Small images are folded in one
-    task; large ones decide boxes in rounds from their earlier covering boxes.
-    """
-    fields = ["seq", "confidence", *boxes.SIDES, "text"]
-    ranked = rows.withColumn("ord", F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.col("seq")])]))
-    usual, huge = _split_by_size(ranked, "image_id", fold_limit)
-
-    def fold(part: DataFrame) -> DataFrame:
-        items = F.array_sort(F.collect_list(F.struct("ord", *fields)))
-        shape = part.select(F.array(F.struct(*fields)).alias("a")).schema["a"].dataType
-        lists = part.groupBy("image_id").agg(items.alias("items"))
-
-        def keep(done: Column, it: Column) -> Column:
-            plain = F.struct(*[it[c].alias(c) for c in fields])
-            return F.when(F.exists(done, lambda d: covers(d, it)), done).otherwise(F.array_append(done, plain))
-
-        kept = F.aggregate("items", F.array().cast(shape), keep)
-        return lists.select("image_id", F.explode(kept).alias("k")).select("image_id", "k.seq")
-
-    def rounds(part: DataFrame) -> DataFrame:
-        part = cut_lineage(part)
-        pairs = overlap_pairs(part, ["image_id", "seq"], ["ord", "confidence", "text"])
-        names = [*fields, "ord"]
-        left = {c: F.col(f"l_{c}") for c in names}
-        right = {c: F.col(f"r_{c}") for c in names}
-        both = [
-            pairs.filter(a["ord"] < b["ord"]).filter(covers(a, b)).select(
-                "image_id", a["seq"].alias("by"), b["seq"].alias("seq")
-            )
-            for a, b in ((left, right), (right, left))
-        ]
-        edges = cut_lineage(both[0].unionByName(both[1]))
-        state = part.select("image_id", "seq", F.lit(None).cast("boolean").alias("kept"))
-        while True:
-            known = state.select("image_id", F.col("seq").alias("by"), F.col("kept").alias("by_kept"))
-            votes = edges.join(known, ["image_id", "by"]).groupBy("image_id", "seq").agg(
-                F.bool_or("by_kept").alias("covered"), count_where(F.col("by_kept").isNull()).alias("open")
-            )
-            decided = (
-                F.when(F.col("kept").isNotNull(), F.col("kept"))
-                .when(F.col("covered"), F.lit(False))
-                .when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
-            )
-            state = cut_lineage(
-                state.join(votes, ["image_id", "seq"], "left").select("image_id", "seq", decided.alias("kept"))
-            )
-            if state.filter("kept is null").isEmpty():
-                return state.filter("kept").select("image_id", "seq")
 
-    out = fold(usual)
-    if huge is not None:
-        out = out.unionByName(rounds(huge))
-    return rows.join(out, ["image_id", "seq"], "left_semi")
+class _Reference(_Kept):
+    smaller = 0.8
 
+    def covered(self, at: np.ndarray, text: str, confidence: float) -> bool:
+        return any(text in self.texts[j] for j in at.tolist())
 
-def visual_regions(readings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+
+def _suppress(rows: DataFrame, order: list[Column], kept: type[_Kept]) -> DataFrame:
+    """Rows whose box no earlier kept box covers; components of an image are walked apart."""
+    sides = [F.col(c).cast("long").alias(c) for c in boxes.SIDES]
+    plain = rows.select("image_id", F.col("seq").cast("long").alias("seq"), *sides, "text", F.col("confidence").cast("double").alias("confidence"))
+    left = _walk(plain, [*order, F.col("seq")], [*boxes.SIDES, "text", "confidence"], kept, kept.place, "_kept")
+    return rows.join(left.select("image_id", "seq"), ["image_id", "seq"], "left_semi")
+
+
+def visual_regions(readings: DataFrame) -> DataFrame:
     """Large boxes first; drop a box mostly inside a kept, confident one.
 
     Equal boxes collapse to their most confident reading beforehand: whatever
@@ -322,26 +379,23 @@ def visual_regions(readings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFra
     first = F.max_by(F.struct(*[c for c in rows.columns if c not in ("image_id", *boxes.SIDES)]), F.struct(F.col("confidence"), -F.col("seq")))
     distinct = rows.groupBy("image_id", *boxes.SIDES).agg(first.alias("f")).select("image_id", *boxes.SIDES, "f.*")
     order = [-boxes.area({c: F.col(c) for c in boxes.SIDES}), -F.col("confidence")]
+    return _suppress(distinct, order, _Visual)
 
-    def covers(kept, box):
-        return boxes.meets(box, kept) & (boxes.over_smaller(box, kept) >= 0.78) & (kept["confidence"] >= box["confidence"] * 0.7)
-
-    return _suppress(distinct, order, covers, fold_limit)
 
+def reference_regions(readings: DataFrame, script: str = "korean") -> DataFrame:
+    """Reference-layout texts: drop a text repeated inside a kept box.
 
-def reference_regions(readings: DataFrame, script: str = "korean", fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Reference-layout texts: drop a text repeated inside a kept box."""
+    Equal texts in equal boxes collapse beforehand; a box without area covers nothing, so each of those stays.
+    """
     rows = readings.filter(korean_candidate(script))
     first = F.max_by(F.struct(*[c for c in rows.columns if c not in ("image_id", *boxes.SIDES, "text")]), F.struct(F.col("confidence"), -F.col("seq")))
-    distinct = rows.groupBy("image_id", *boxes.SIDES, "text").agg(first.alias("f")).select(
+    flat = (F.col("x0") >= F.col("x1")) | (F.col("y0") >= F.col("y1"))
+    alone = F.when(flat, F.col("seq")).alias("_alone")
+    distinct = rows.groupBy("image_id", *boxes.SIDES, "text", alone).agg(first.alias("f")).select(
         "image_id", *boxes.SIDES, "text", "f.*"
     )
     order = [-boxes.area({c: F.col(c) for c in boxes.SIDES}), -F.length("text"), -F.col("confidence")]
-
-    def covers(kept, box):
-        return boxes.meets(box, kept) & (boxes.over_smaller(box, kept) >= 0.8) & F.contains(kept["text"], box["text"])
-
-    return _suppress(distinct, order, covers, fold_limit)
+    return _suppress(distinct, order, _Reference)
 
 
 # ---- region readings ------------------------------------------------------

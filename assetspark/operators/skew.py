@@ -1,47 +1,10 @@
-"""Ordered running values over groups of any size.
-
-A plain window puts a whole group in one task. Here the rows are range
-partitioned on (group, order), so one group may span many tasks; each slice is
-scanned locally and the slices are joined by their totals.
-"""
+"""Numbering of groups of any size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
-
-def running_min_before(
-    df: DataFrame, keys: list[str], order: list[str], value: str, out: str
-) -> DataFrame:
-    """Minimum of ``value`` over the rows strictly before each row of its group.
-
-    The slice number is written with the rows, so it stays the same when a lost
-    executor forces a recomputation.
-    """
-    sliced = cut_lineage(
-        df.repartitionByRange(*[F.col(c) for c in keys + order]).withColumn(
-            "_slice", F.spark_partition_id()
-        )
-    )
-    local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    totals = sliced.groupBy(*keys, "_slice").agg(F.min(value).alias("_min"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (group, slice); only groups cut by a slice border carry a value
-    carried = totals.withColumn("_carry", F.min("_min").over(earlier)).filter(
-        F.col("_carry").isNotNull()
-    )
-    return (
-        sliced.withColumn("_local", F.min(value).over(local))
-        .join(carried.select(*keys, "_slice", "_carry"), [*keys, "_slice"], "left")
-        .withColumn(out, F.least("_local", "_carry"))
-        .drop("_slice", "_local", "_carry")
-    )
-
 
 def number_by_rows(df: DataFrame, group: str, major: str, minor: list[str], out: str) -> DataFrame:
     """1-based position by (major, minor) inside each group, in two levels.

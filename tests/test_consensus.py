@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from assetspark.functions.boxes import SIDES
 from assetspark.operators import consensus
 
@@ -22,8 +24,8 @@ def random_readings(n, images, seed=3):
     return out
 
 
-def clusters(df, limit):
-    return {(r.image_id, r.seq): r.cluster_id for r in consensus.greedy_clusters(df, limit).collect()}
+def clusters(df):
+    return {(r.image_id, r.seq): r.cluster_id for r in consensus.greedy_clusters(df).collect()}
 
 
 def python_clusters(rows):
@@ -51,20 +53,87 @@ def python_clusters(rows):
     return out
 
 
-def test_clusters_follow_the_greedy_rule_on_both_paths(spark):
-    rows = random_readings(160, 3)
-    df = spark.createDataFrame(rows, READING)
-    want = python_clusters(rows)
-    assert clusters(df, 10_000) == want
-    assert clusters(df, 60) == want  # every image takes the distributed path
+def dense_readings(n, seed):
+    """One crowded spot: many equal and nearly equal boxes."""
+    rng = random.Random(seed)
+    return [
+        reading(i, rng.choice(["Facts", "Nutrition Facts", "Nut", ""]), rng.choice([0.5, 0.7, 0.9]), (rng.randrange(4), rng.randrange(4), 40 + rng.randrange(6), 30 + rng.randrange(6)), rng.choice("ab"))
+        for i in range(n)
+    ]
+
+
+def chain_readings(n, seed):
+    """Boxes that overlap their neighbours only, in a row across the whole picture, in any order of confidence."""
+    rng = random.Random(seed)
+    out = [reading(i, "Beer", round(rng.random(), 4), (i * 5, 10, i * 5 + 20, 30)) for i in range(n)]
+    return out + [reading(n, "Flat", 0.9, (50, 10, 50, 30)), reading(n + 1, "Flat", 0.8, (50, 10, 50, 30))]
+
+
+DRAWN = [random_readings(160, 3), dense_readings(150, 1), chain_readings(200, 2), [], [reading(1, None, 0.5, (0, 0, 9, 9))]]
+
+
+@pytest.mark.parametrize("rows", DRAWN[:4])
+def test_clusters_follow_the_greedy_rule(spark, rows):
+    assert clusters(spark.createDataFrame(rows, READING)) == python_clusters(rows)
 
 
-def test_suppression_is_the_same_on_both_paths(spark):
-    df = spark.createDataFrame(random_readings(200, 2, seed=9), READING)
-    for op in (consensus.visual_regions, lambda d, fold_limit: consensus.reference_regions(d, "latin", fold_limit)):
-        folded = {(r.image_id, r.seq) for r in op(df, fold_limit=10_000).collect()}
-        spread = {(r.image_id, r.seq) for r in op(df, fold_limit=5).collect()}
-        assert folded == spread and folded
+def test_components_part_only_what_never_overlaps(spark):
+    rows = random_readings(300, 4, seed=8) + chain_readings(60, 3)
+    rows = [(*r[:1], i, *r[2:]) for i, r in enumerate(rows)]
+    got = {r.seq: (r.image_id, r._c0, r._c1, r._c2) for r in consensus.overlap_components(spark.createDataFrame(rows, READING)).collect()}
+    assert len(got) == len(rows)
+    for p in rows:
+        for q in rows:
+            a, b = p[8:12], q[8:12]
+            if p[0] == q[0] and min(a[2], b[2]) > max(a[0], b[0]) and min(a[3], b[3]) > max(a[1], b[1]):
+                assert got[p[1]] == got[q[1]]
+    apart = [reading(1, "a", 0.5, (0, 0, 5, 5)), reading(2, "a", 0.5, (5, 0, 9, 5)), reading(3, "a", 0.5, (0, 6, 9, 9)), reading(4, "a", 0.5, (0, 5, 9, 6))]
+    assert len({tuple(r) for r in consensus.overlap_components(spark.createDataFrame(apart, READING)).select("_c0", "_c1", "_c2").collect()}) == 4
+
+
+def python_suppression(rows, candidate, order, covers):
+    """The greedy rule on every image: equal boxes (and texts, where they count) by their best reading."""
+    kept = set()
+    for image in {r[0] for r in rows}:
+        done = []
+        for r in sorted((r for r in rows if r[0] == image and candidate(r)), key=order):
+            if not any(covers(k, r) for k in done):
+                done.append(r)
+        kept |= {(image, r[1]) for r in done}
+    return kept
+
+
+def smaller(p, q):
+    a, b = p[8:12], q[8:12]
+    inter = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    return inter / max(1, min((s[2] - s[0]) * (s[3] - s[1]) for s in (a, b)))
+
+
+def box_area(r):
+    return (r[10] - r[8]) * (r[11] - r[9])
+
+
+@pytest.mark.parametrize("rows", DRAWN[:4])
+def test_suppression_follows_the_greedy_rule(spark, rows):
+    df = spark.createDataFrame(rows, READING)
+    wide = lambda r: r[10] - r[8] >= 4 and r[11] - r[9] >= 4 and r[4] >= 0.45
+    got = {(r.image_id, r.seq) for r in consensus.visual_regions(df).collect()}
+    assert got == python_suppression(rows, wide, lambda r: (-box_area(r), -r[4], r[1]), lambda k, r: smaller(k, r) >= 0.78 and k[4] >= r[4] * 0.7)
+    sure = lambda r: r[4] >= 0.75 and bool(r[2].strip())
+    got = {(r.image_id, r.seq) for r in consensus.reference_regions(df, "latin").collect()}
+    assert got == python_suppression(rows, sure, lambda r: (-box_area(r), -len(r[2]), -r[4], r[1]), lambda k, r: smaller(k, r) >= 0.8 and r[2] in k[2])
+
+
+def test_one_path_without_jobs_while_planning(spark):
+    df = spark.createDataFrame(DRAWN[0], READING)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "no job may run")
+    try:
+        consensus.greedy_clusters(df), consensus.visual_regions(df), consensus.reference_regions(df)
+        assert not tracker.getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert clusters(spark.createDataFrame(DRAWN[4], READING)) == {(1, 1): 1}
 
 
 def chosen(spark, rows):
