@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -88,35 +88,49 @@ def sanitize_component(name: Column, stable_id: Column, max_length: int = 120) -
     return F.when((clean != name) | (F.length(clean) > max_length), hashed).otherwise(clean)
 
 
-def multiset_digest(row_hash: Column) -> Column:
-    """Order-independent digest of a group of SHA-256 row hashes.
+#: Leading hex digits of a row hash that name its bucket in a hash tree: at most 65,536 buckets of a group.
+_BUCKET = 4
 
-    Five 24-bit numbers of the hash are summed, so the aggregate combines
-    map-side and never gathers a group in one place; repeated rows count. A
-    group may have 5e11 rows before a sum leaves the 64-bit range, which fails
-    loudly.
-    """
-    return digest_of_sums(F.count(row_hash), [F.sum(c) for c in hash_chunks(row_hash)])
-
-
-_CHUNK_STARTS = (1, 7, 13, 19, 25)
 
+def tree_digest(rows: DataFrame, keys: list[str], row_hash: Column, out: str = "digest", **counts: Column) -> DataFrame:
+    """Order-independent SHA-256 digest of every group's row hashes, ``n`` rows, and how many rows meet each condition.
 
-def hash_chunks(row_hash: Column) -> list[Column]:
-    """The five 24-bit numbers of a row hash; their sums can be summed again."""
-    return [F.conv(F.substring(row_hash, start, 6), 16, 10).cast("bigint") for start in _CHUNK_STARTS]
+    A tree of two levels: the hashes of a range of values are sorted and hashed together, then the ranges. A group spreads over its
+    ranges, so no task gathers a large one, and equal digests mean equal multisets of rows as far as SHA-256 goes. Rows
+    without a hash don't count. Without keys there is one row, also for an empty table.
+    """
+    marked = rows.select(*keys, row_hash.alias("_h"), *[c.alias(f"_c_{name}") for name, c in counts.items()]).filter("_h is not null")
+    leaves = marked.groupBy(*keys, F.substring("_h", 1, _BUCKET).alias("_bucket")).agg(
+        sha256_hex(F.array_join(F.array_sort(F.collect_list("_h")), ",")).alias("_leaf"),
+        F.count("*").alias("_n"),
+        *[F.count(F.when(F.col(f"_c_{name}"), 1)).alias(f"_c_{name}") for name in counts],
+    )
+    total = F.coalesce(F.sum("_n"), F.lit(0))
+    ordered = F.array_sort(F.collect_list(F.struct("_bucket", "_leaf")))
+    joined = F.array_join(F.transform(ordered, lambda leaf: leaf["_leaf"]), ",")
+    return leaves.groupBy(*keys).agg(
+        sha256_hex(F.concat_ws(":", total.cast("string"), joined)).alias(out),
+        total.alias("n"),
+        *[F.coalesce(F.sum(f"_c_{name}"), F.lit(0)).alias(name) for name in counts],
+    )
 
 
-def digest_of_sums(count: Column, sums: list[Column]) -> Column:
-    return sha256_hex(F.concat_ws(":", *[v.cast("string") for v in (count, *sums)]))
+def field_text(*fields: Column) -> Column:
+    """Fields as lengths and values, ``-`` for null, so that different rows never share a text."""
+    texts = [c.cast("string") for c in fields]
+    return F.concat(*[F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("-")) for v in texts])
 
 
-def multiset_digest_sql(row_hash: str) -> str:
-    """The same digest as a DuckDB aggregate expression."""
-    parts = [f"count({row_hash})::VARCHAR"] + [
-        f"sum(('0x'||substr({row_hash},{start},6))::BIGINT)::VARCHAR" for start in _CHUNK_STARTS
-    ]
-    return f"sha256(concat_ws(':', {', '.join(parts)}))"
+def tree_digest_sql(source: str, keys: list[str], row_hash: str = "h", out: str = "digest", **counts: str) -> str:
+    """The same digest as a DuckDB query over a table or subquery."""
+    by = "".join(f"{k}, " for k in keys)
+    inner = "".join(f", count(*) FILTER ({c}) AS {name}" for name, c in counts.items())
+    outer = "".join(f", coalesce(sum({name}), 0)::BIGINT AS {name}" for name in counts)
+    group = f" GROUP BY {', '.join(keys)}" if keys else ""
+    return f"""SELECT {by}sha256(coalesce(sum(n), 0)::BIGINT::VARCHAR||':'||coalesce(string_agg(leaf, ',' ORDER BY bucket), '')) AS {out},
+      coalesce(sum(n), 0)::BIGINT AS n{outer} FROM (
+      SELECT {by}substr({row_hash},1,{_BUCKET}) AS bucket, sha256(string_agg({row_hash}, ',' ORDER BY {row_hash})) AS leaf, count(*) AS n{inner}
+      FROM {source} WHERE {row_hash} IS NOT NULL GROUP BY {by}bucket){group}"""
 
 
 @F.pandas_udf(StringType())

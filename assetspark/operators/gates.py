@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arithmetic import count_where, issue_codes
 from ..functions.boxes import valid_box
-from ..functions.ids import multiset_digest, sha256_hex
+from ..functions.ids import sha256_hex, tree_digest
 
 PLAN_KEY = ["texture_bundle_key", "path_id", "role"]
 # Fixed value: generation attempts allowed per panel.
@@ -70,10 +70,11 @@ def plan_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
         once = df.groupBy(*PLAN_KEY, "target_id").agg(
             F.count("*").alias("n"), F.min("policy").alias("policy"), F.min("mask_sha256").alias("mask_sha256"), F.min("signature").alias("signature")
         )
-        return once.groupBy(*PLAN_KEY).agg(
+        facts = once.groupBy(*PLAN_KEY).agg(
             F.min("policy").alias(f"{p}_policy"), F.min("mask_sha256").alias(f"{p}_mask"), F.min("signature").alias(f"{p}_signature"),
-            multiset_digest(sha256_hex(F.col("target_id"))).alias(f"{p}_targets"), F.max("n").alias(f"{p}_repeats"),
+            F.max("n").alias(f"{p}_repeats"),
         )
+        return facts.join(tree_digest(once, PLAN_KEY, sha256_hex(F.col("target_id")), f"{p}_targets").drop("n"), PLAN_KEY)
 
     joined = folded(expected, "e").join(folded(actual, "a"), PLAN_KEY, "full")
     e, a = F.col("e_targets").isNotNull(), F.col("a_targets").isNotNull()
@@ -321,9 +322,8 @@ def preparation_request(ready: DataFrame, pins: DataFrame) -> DataFrame:
     ``pins``: target_id, path, state (ok/changed/missing); any state but ok is
     drift. The request digest covers status and pins of each target.
     """
-    per = pins.withColumn("h", sha256_hex(F.concat_ws("|", "path", "sha256"))).groupBy("target_id").agg(
-        multiset_digest(F.col("h")).alias("pins_digest"), count_where(F.col("state") != "ok").alias("drifted_pins")
-    )
+    pin = sha256_hex(F.concat_ws("|", "path", "sha256"))
+    per = tree_digest(pins, ["target_id"], pin, "pins_digest", drifted_pins=F.col("state") != "ok")
     work = F.lit(None).cast("string")
     for status, name in REQUESTED_WORK.items():
         work = F.when(F.col("status") == status, F.lit(name)).otherwise(work)
@@ -341,9 +341,7 @@ def release_id(tables: dict[str, DataFrame], constants: dict[str, str]) -> DataF
     """16 hex digits over the digests of several (name, sha256) tables."""
     parts = None
     for name in sorted(tables):
-        row = tables[name].select(sha256_hex(F.concat_ws("|", "name", "sha256")).alias("h")).agg(
-            multiset_digest(F.col("h")).alias("digest")
-        ).select(F.lit(name).alias("part"), "digest")
+        row = tree_digest(tables[name], [], sha256_hex(F.concat_ws("|", "name", "sha256"))).select(F.lit(name).alias("part"), "digest")
         parts = row if parts is None else parts.unionByName(row)
     # one row per table: a few rows
     joined = F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda p: F.concat(p["part"], F.lit("="), p["digest"])))

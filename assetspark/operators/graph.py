@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arithmetic import count_where
-from ..functions.ids import digest_of_sums, hash_chunks, multiset_digest, sha256_hex
+from ..functions.ids import field_text, sha256_hex, tree_digest
 
 # Shader property names by role.
 DIFFUSE = ["_MainTex", "_BaseMap", "_BaseColorMap"]
@@ -239,50 +239,44 @@ def conflicting_identities(target_sets: DataFrame, identity: list[str], source:
 
     Each source's set is reduced to a digest, so sets are compared by value.
     """
-    digests = target_sets.distinct().groupBy(*identity, source).agg(
-        multiset_digest(sha256_hex(F.col("target_id"))).alias("digest")
-    )
+    digests = tree_digest(target_sets.distinct(), [*identity, source], sha256_hex(F.col("target_id")))
     return digests.groupBy(*identity).agg(F.count_distinct("digest").alias("variants")).filter("variants > 1")
 
 
 # ---- digests and conflicts ------------------------------------------------
 
 
-def slot_hash() -> Column:
-    """Hash of one slot: names are left out, transforms enter exactly.
+#: What names a material and what a slot points at, before names are resolved.
+OWNER = ["assets_file", "material_path_id"]
+POINTER = ["property", "file_id", "path_id", "external_assets_file"]
+
+
+def slot_hash(*more: Column) -> Column:
+    """Hash of one slot: its material's file and id, the raw pointer and the exact transforms; names are left out."""
+    fields = [F.col(c) for c in [*OWNER, *POINTER]] + [canonical_zero(F.col(c)) for c in TRANSFORM]
+    return sha256_hex(F.concat(F.lit("slot"), field_text(*more, *fields)))
+
 
-    Every field is written as its length and value, or ``-`` for null, so no two slots
-    share a body.
+def graph_digests(slots: DataFrame, materials: DataFrame) -> DataFrame:
+    """Order-independent digest, material count and slot count per bundle.
+
+    ``materials``: bundle_key, assets_file, material_path_id, also of materials without slots; repeated ones count once.
+    ``slots``: the same with property, file_id, path_id, external_assets_file and the transforms; repeated slots count.
     """
-    fields = [F.col(c) for c in ("material_path_id", "property", "texture_bundle_key", "path_id")]
-    fields += [canonical_zero(F.col(c)) for c in TRANSFORM]
-    texts = [c.cast("string") for c in fields]
-    return sha256_hex(F.concat(*[F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("-")) for v in texts]))
-
-
-def graph_digests(slots: DataFrame) -> DataFrame:
-    """Order-independent digest, material count and slot count per bundle."""
-    chunks = hash_chunks(F.col("h"))
-    # chunk sums per material are summed again per bundle: one pass over the hashes
-    per_material = slots.withColumn("h", slot_hash()).groupBy(*MATERIAL).agg(
-        *[F.sum(c).alias(f"s{i}") for i, c in enumerate(chunks)], F.count("*").alias("n")
-    )
-    sums = [F.sum(f"s{i}") for i in range(len(chunks))]
-    return per_material.groupBy("bundle_key").agg(
-        digest_of_sums(F.sum("n"), sums).alias("graph_sha256"),
-        F.count("*").alias("material_count"),
-        F.sum("n").alias("texture_slot_count"),
+    named = materials.select("bundle_key", *OWNER).distinct()
+    rows = slots.select("bundle_key", slot_hash().alias("h"), F.lit(False).alias("whole")).unionByName(
+        named.select("bundle_key", sha256_hex(F.concat(F.lit("material"), field_text(*map(F.col, OWNER)))).alias("h"), F.lit(True).alias("whole"))
     )
+    whole = F.col("whole")
+    return tree_digest(rows, ["bundle_key"], F.col("h"), "graph_sha256", material_count=whole, texture_slot_count=~whole).drop("n")
 
 
 def binding_signatures(slots: DataFrame, targets: DataFrame) -> DataFrame:
     """Digest per target over all relevant slots of its bound materials."""
     links = material_targets(slots, targets)
     relevant = slots.filter(F.col("property").isin(DIFFUSE + NORMAL + GLOSS) & (F.col("path_id") != 0))
-    hashed = relevant.withColumn("h", sha256_hex(F.concat_ws("|", "bundle_key", slot_hash())))
-    return hashed.join(links, MATERIAL).groupBy("target_id").agg(
-        multiset_digest(F.col("h")).alias("signature"), F.count("*").alias("slots")
-    )
+    hashed = relevant.withColumn("h", slot_hash(F.col("bundle_key")))
+    return tree_digest(hashed.join(links, MATERIAL), ["target_id"], F.col("h"), "signature").withColumnRenamed("n", "slots")
 
 
 def contract_conflicts(slots: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arithmetic import clip, count_where, div, half_even
 from ..functions.color import luminance, rgb_distance
-from ..functions.ids import multiset_digest, sha256_hex
+from ..functions.ids import sha256_hex, tree_digest
 
 KEY = ["texture_id", "x", "y"]
 RGBA = ["r", "g", "b", "a"]
@@ -646,6 +646,6 @@ def alignment(source: DataFrame, projected: DataFrame, factor: int) -> DataFrame
 def texel_digest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Order-independent digest of the texels of each key."""
     body = F.concat_ws(",", *[c for c in rows.columns if c not in keys])
-    return rows.withColumn("_h", sha256_hex(body)).groupBy(*keys).agg(multiset_digest(F.col("_h")).alias("digest"))
+    return tree_digest(rows, keys, sha256_hex(body)).select(*keys, "digest")
 
 

@@ -185,6 +185,31 @@ class Tables:
             F.lit(0.0).alias("offset_v"),
         )
 
+    @cached_property
+    def raw_slots(self) -> DataFrame:
+        """Slots with the file of their material and the pointer as it is stored."""
+        file_id = F.col("path_id") % 3
+        return self.slots.withColumns(
+            {
+                "assets_file": F.concat(F.lit("cab-"), F.col("material_path_id") % 4),
+                "file_id": file_id,
+                "external_assets_file": F.when(file_id > 0, F.concat(F.lit("archive:/"), F.col("texture_bundle_key"))),
+            }
+        )
+
+    @cached_property
+    def raw_materials(self) -> DataFrame:
+        """Materials with their files: one per order, and one without slots per customer."""
+        order, customer = F.col("o_orderkey"), -F.col("c_custkey")
+
+        def rows(table: DataFrame, key: Column) -> DataFrame:
+            return table.select(
+                F.concat(F.lit("mat/"), F.abs(key) % 50).alias("bundle_key"), F.concat(F.lit("cab-"), F.abs(key) % 4).alias("assets_file"),
+                key.alias("material_path_id"),
+            )
+
+        return rows(self.read("orders"), order).unionByName(rows(self.read("customer"), customer))
+
     @cached_property
     def targets(self) -> DataFrame:
         path_id = F.col("p_partkey") % 500 + 1

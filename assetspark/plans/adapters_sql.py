@@ -112,6 +112,16 @@ CTES: dict[str, tuple[list[str], str]] = {
         'tex/'||(l_suppkey%20) AS texture_bundle_key, l_partkey%500+1 AS path_id,
         1.0::DOUBLE+l_discount AS scale_u, 1.0::DOUBLE AS scale_v, l_tax AS offset_u, 0.0::DOUBLE AS offset_v FROM lineitem""",
     ),
+    "raw_slots": (
+        ["slots"],
+        """SELECT *, 'cab-'||(material_path_id%4) AS assets_file, path_id%3 AS file_id,
+        CASE WHEN path_id%3>0 THEN 'archive:/'||texture_bundle_key END AS external_assets_file FROM slots""",
+    ),
+    "raw_materials": (
+        [],
+        """SELECT 'mat/'||(abs(k)%50) AS bundle_key, 'cab-'||(abs(k)%4) AS assets_file, k AS material_path_id
+        FROM (SELECT o_orderkey AS k FROM orders UNION ALL SELECT -c_custkey FROM customer)""",
+    ),
     "targets": (
         [],
         """SELECT DISTINCT 'tex/'||(p_partkey%20) AS texture_bundle_key, p_partkey%500+1 AS path_id,

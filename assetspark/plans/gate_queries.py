@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.ids import multiset_digest_sql
+from ..functions.ids import tree_digest_sql
 from ..operators import gates, graph, texels
 from .graph_queries import _AUX, _CLOSE, _MT, _PLANS, _ROLE, _aux_plans, _aux_textures
 from .registry import Registry
@@ -118,13 +118,13 @@ def stale_outputs(t):
     "slots targets",
 )
 def binding_equality(t):
-    from ..functions.ids import multiset_digest, sha256_hex
+    from ..functions.ids import sha256_hex, tree_digest
 
     links = graph.material_targets(t.slots, t.targets)
 
     def digests(rows):
         h = sha256_hex(F.concat_ws(":", "bundle_key", "material_path_id"))
-        return rows.withColumn("h", h).groupBy("target_id").agg(multiset_digest(F.col("h")).alias("digest"))
+        return tree_digest(rows, ["target_id"], h).drop("n")
 
     recorded = digests(links.filter("material_path_id % 50 <> 0"))
     current = digests(links.filter("material_path_id % 70 <> 0"))
@@ -286,7 +286,7 @@ def readiness(t):
     "j37_preparation_request",
     f"""WITH {_READY}, st AS (SELECT r.path, substr(r.target_id,2)::BIGINT AS target_id, r.sha256, CASE WHEN c.sha256 IS NULL THEN 'missing' WHEN c.sha256=r.sha256 THEN 'ok' ELSE 'changed' END AS state
       FROM recorded_artifacts r LEFT JOIN current_artifacts c USING (path)),
-    pd AS (SELECT target_id, {multiset_digest_sql('h')} AS dg, count(*) FILTER (state<>'ok') AS drifted FROM (SELECT *, sha256(path||'|'||sha256) AS h FROM st) GROUP BY 1)
+    pd AS ({tree_digest_sql("(SELECT *, sha256(path||'|'||sha256) AS h FROM st)", ['target_id'], out='dg', drifted="state<>'ok'")})
     SELECT target_id, status, CASE status WHEN 'record-or-source-error' THEN 'source-and-review-audit' WHEN 'analysis-required' THEN 'analysis' WHEN 'masks-required' THEN 'masks'
       WHEN 'analysis-and-masks-required' THEN 'analysis|masks' ELSE 'attempt-budget-approval' END AS requested_work, coalesce(drifted,0) AS drifted_pins,
     sha256(concat_ws('|', target_id, status, coalesce(dg,''))) AS request_digest FROM rd LEFT JOIN pd USING (target_id) WHERE status NOT IN ('preserve','ready')""",
@@ -341,8 +341,8 @@ def panel_transforms(t):
 
 @GATES.query(
     "a49_release_id",
-    f"""WITH b AS (SELECT {multiset_digest_sql('h')} AS d FROM (SELECT sha256(path||'|'||sha256) AS h FROM current_artifacts)),
-    r AS (SELECT {multiset_digest_sql('h')} AS d FROM (SELECT sha256(target_id||'|'||sha256) AS h FROM recorded_artifacts))
+    f"""WITH b AS ({tree_digest_sql("(SELECT sha256(path||'|'||sha256) AS h FROM current_artifacts)", [], out='d')}),
+    r AS ({tree_digest_sql("(SELECT sha256(target_id||'|'||sha256) AS h FROM recorded_artifacts)", [], out='d')})
     SELECT substr(sha256('bundles='||b.d||';reviews='||r.d||'#profile=p1;report=r1'),1,16) AS release_id FROM b, r""",
     "current_artifacts recorded_artifacts",
 )

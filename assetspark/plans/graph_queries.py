@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.ids import multiset_digest_sql
+from ..functions.arithmetic import div
+from ..functions.ids import tree_digest_sql
 from ..operators import graph
 from .registry import Registry
 
@@ -261,29 +262,32 @@ def conflicting(t):
     return graph.conflicting_identities(both, graph.MATERIAL, "source")
 
 
-_SLOT_HASH = "sha256(" + "||".join(
-    f"coalesce(length({v})||':'||{v},'-')"
-    for v in [f"({c})::VARCHAR" for c in ("material_path_id", "property", "texture_bundle_key", "path_id")]
-    + [f"({c}+0.0::DOUBLE)::VARCHAR" for c in ("scale_u", "scale_v", "offset_u", "offset_v")]
-) + ")"
+def _fields(columns):
+    return "||".join(f"coalesce(length(({c})::VARCHAR)||':'||({c})::VARCHAR,'-')" for c in columns)
 
-_DIGEST = f"""gd AS (SELECT bundle_key, {multiset_digest_sql('h')} AS graph_sha256, count(DISTINCT material_path_id) AS material_count, count(*) AS texture_slot_count FROM
-      (SELECT *, {_SLOT_HASH} AS h FROM slots) GROUP BY 1)"""
 
+_OWNER = ["assets_file", "material_path_id"]
+_SLOT = [*_OWNER, "property", "file_id", "path_id", "external_assets_file"] + [f"{c}+0.0::DOUBLE" for c in ("scale_u", "scale_v", "offset_u", "offset_v")]
+_LEAVES = f"""lv AS (SELECT bundle_key, sha256('slot'||{_fields(_SLOT)}) AS h, false AS whole FROM raw_slots UNION ALL
+      SELECT DISTINCT bundle_key, sha256('material'||{_fields(_OWNER)}), true FROM raw_materials)"""
+_COUNTS = {"material_count": "whole", "texture_slot_count": "NOT whole"}
+_DIGEST = f"{_LEAVES}, gd AS (SELECT * EXCLUDE (n) FROM ({tree_digest_sql('lv', ['bundle_key'], out='graph_sha256', **_COUNTS)}))"
 
-@GRAPH.query("a45_graph_digest", f"WITH {_DIGEST} SELECT * FROM gd", "slots")
+
+@GRAPH.query("a45_graph_digest", f"WITH {_DIGEST} SELECT * FROM gd", "raw_slots raw_materials")
 def graph_digest(t):
-    return graph.graph_digests(t.slots)
+    return graph.graph_digests(t.raw_slots, t.raw_materials)
 
 
 @GRAPH.query(
     "a46_binding_signature",
-    f"""WITH {_MT}, r AS (SELECT *, sha256(bundle_key||'|'||{_SLOT_HASH}) AS h FROM slots WHERE path_id<>0 AND (property IN {_DIFF} OR property IN {_AUX}))
-    SELECT target_id, {multiset_digest_sql('h')} AS signature, count(*) AS slots FROM r JOIN mt USING (bundle_key, material_path_id) GROUP BY 1""",
-    "slots targets",
+    f"""WITH {_MT}, r AS (SELECT *, sha256('slot'||{_fields(['bundle_key', *_SLOT])}) AS h FROM raw_slots WHERE path_id<>0 AND (property IN {_DIFF} OR property IN {_AUX})),
+    j AS (SELECT target_id, h FROM r JOIN mt USING (bundle_key, material_path_id))
+    SELECT target_id, signature, n AS slots FROM ({tree_digest_sql('j', ['target_id'], out='signature')})""",
+    "slots raw_slots targets",
 )
 def binding_signature(t):
-    return graph.binding_signatures(t.slots, t.targets)
+    return graph.binding_signatures(t.raw_slots, t.targets)
 
 
 @GRAPH.query(
@@ -469,12 +473,12 @@ def projection_contracts(t):
 
 @GRAPH.query(
     "a51_path_id_collisions",
-    """SELECT bundle_key, path_id FROM (SELECT bundle_key, path_id%50 AS path_id, 'cab'||(path_id%4) AS f FROM texture_names) GROUP BY 1,2 HAVING count(DISTINCT f)>1""",
+    """SELECT bundle_key, path_id FROM (SELECT bundle_key, path_id%50 AS path_id, 'cab'||((path_id//50)%4) AS f FROM texture_names) GROUP BY 1,2 HAVING count(DISTINCT f)>1""",
     "texture_names",
 )
 def collisions(t):
     rows = t.texture_names.select(
-        "bundle_key", (F.col("path_id") % 50).alias("path_id"), F.concat(F.lit("cab"), F.col("path_id") % 4).alias("assets_file")
+        "bundle_key", (F.col("path_id") % 50).alias("path_id"), F.concat(F.lit("cab"), div(F.col("path_id"), 50) % 4).alias("assets_file")
     )
     return graph.path_id_collisions(rows)
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..functions.arithmetic import div
-from ..functions.ids import multiset_digest_sql
+from ..functions.ids import tree_digest_sql
 from ..operators import mips, texels
 from .adapters import pick
 from .registry import Registry
@@ -742,8 +742,8 @@ def shrink(t):
 
 @TEXELS.query(
     "a60_shared_mask_equality",
-    f"""WITH d AS (SELECT plan, texture_id, {multiset_digest_sql('h')} AS digest FROM (SELECT texture_id//4 AS plan, texture_id, sha256(x||','||y) AS h FROM mask_texels
-      WHERE protected AND NOT (texture_id%8=5 AND x=7)) GROUP BY 1,2)
+    f"""WITH t AS (SELECT texture_id//4 AS plan, texture_id, sha256(x||','||y) AS h FROM mask_texels WHERE protected AND NOT (texture_id%8=5 AND x=7)),
+    d AS ({tree_digest_sql('t', ['plan', 'texture_id'])})
     SELECT plan, count(DISTINCT digest)=1 AS equal, count(*) AS targets FROM d GROUP BY 1""",
     "mask_texels",
 )
