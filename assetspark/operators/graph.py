@@ -369,31 +369,39 @@ def source_bundles(recorded: DataFrame, current: DataFrame) -> DataFrame:
     return joined.select("bundle_key", state.alias("state"))
 
 
-def apply_overrides(records: DataFrame, overrides: DataFrame) -> DataFrame:
+def apply_overrides(records: DataFrame, overrides: DataFrame, bundles: DataFrame, images: DataFrame) -> DataFrame:
     """Overlay verified source overrides.
 
-    ``records``: bundle_key, target_id, source, source_sha256, graph_sha256;
-    ``overrides``: bundle_key, target_id, source, sha256, graph_sha256. An
-    override applies only if it is the only one of its target and matches exactly one record
-    and one graph; otherwise the record stays as it is and ``origin`` says why.
+    ``records``: bundle_key, target_id, source, source_sha256, graph_sha256; ``overrides``: bundle_key, target_id, source,
+    path and sha256 of its bundle, image_sha256 (null: not pinned), graph_sha256; ``bundles``: path, sha256 and
+    ``images``: source, sha256 of the files as they are now, one row each. An override applies only if it is the only one of its
+    target, matches exactly one record, and bundle, graph and image are what was verified; otherwise the record stays as it is.
+    ``origin`` names the first thing that failed. The image's present hash becomes the record's.
     """
-    counted = records.groupBy("bundle_key", "target_id").agg(F.count("*").alias("matches"))
-    over = overrides.groupBy("bundle_key", "target_id").agg(
-        F.count("*").alias("overrides"), F.min("source").alias("o_source"), F.min("sha256").alias("o_sha"),
-        F.min("graph_sha256").alias("o_graph"),
+    key = ["bundle_key", "target_id"]
+    fields = ["source", "path", "sha256", "image_sha256", "graph_sha256"]
+    counted = records.groupBy(*key).agg(F.count("*").alias("matches"))
+    over = overrides.groupBy(*key).agg(F.count("*").alias("overrides"), *[F.min(c).alias(f"o_{c}") for c in fields])
+    over = over.join(bundles.select(F.col("path").alias("o_path"), F.col("sha256").alias("bundle_now")), "o_path", "left")
+    over = over.join(images.select(F.col("source").alias("o_source"), F.col("sha256").alias("image_now")), "o_source", "left")
+    joined = records.join(over.join(counted, key), key, "left")
+    pinned = F.coalesce("o_image_sha256", "image_now")
+    origin = (
+        F.when(F.col("overrides").isNull(), "original")
+        .when((F.col("matches") != 1) | (F.col("overrides") != 1), "ambiguous_override")
+        .when(F.col("bundle_now").isNull(), "bundle_missing")
+        .when(~F.col("bundle_now").eqNullSafe(F.col("o_sha256")), "bundle_changed")
+        .when(~F.col("o_graph_sha256").eqNullSafe(F.col("graph_sha256")), "graph_changed")
+        .when(F.col("image_now").isNull(), "image_missing")
+        .when(pinned != F.col("image_now"), "image_changed")
+        .otherwise("verified_override")
     )
-    joined = records.join(over.join(counted, ["bundle_key", "target_id"]), ["bundle_key", "target_id"], "left")
-    single = (F.col("matches") == 1) & (F.col("overrides") == 1)
-    valid = single & F.col("o_graph").eqNullSafe(F.col("graph_sha256"))
-    return joined.select(
-        "bundle_key", "target_id",
+    valid = F.col("origin") == "verified_override"
+    return joined.withColumn("origin", origin).select(
+        *key,
         F.when(valid, F.col("o_source")).otherwise(F.col("source")).alias("source"),
-        F.when(valid, F.col("o_sha")).otherwise(F.col("source_sha256")).alias("source_sha256"),
-        F.when(F.col("overrides").isNull(), "original")
-        .when(valid, "verified_override")
-        .when(~single, "ambiguous_override")
-        .otherwise("graph_changed")
-        .alias("origin"),
+        F.when(valid, F.col("image_now")).otherwise(F.col("source_sha256")).alias("source_sha256"),
+        "origin",
     )
 
 

@@ -18,6 +18,9 @@ from ..functions.color import (
 )
 from .texels import KEY, RGBA, any_differs, pad_outside, paired
 
+#: Fixed value: least z of a blended normal.
+MINIMUM_Z = 0.05
+
 
 def picture_sizes(texels: DataFrame) -> DataFrame:
     """Width and height of every picture, from its outermost texels."""
@@ -261,6 +264,21 @@ def derive_normal(base: DataFrame, alpha: DataFrame, height: float, polarity: in
     )
 
 
+def normal_gates(base: DataFrame, alpha: DataFrame, derived: DataFrame, minimum_z: float = MINIMUM_Z) -> DataFrame:
+    """Size of a derived normal's effect and its two gates, one row per picture.
+
+    ``below_minimum_z``: a blended normal leans below ``minimum_z``; ``no_op``: there is alpha, but no texel changed.
+    A picture without effect has the least z 1.
+    """
+    pairs = paired(base, derived).join(derived.select(*KEY, "effect", "z"), KEY).join(alpha.select(*KEY, F.col("a").alias("_alpha")), KEY)
+    changed = count_where(any_differs(RGBA))
+    least = F.coalesce(F.min("z"), F.lit(1.0))
+    return pairs.groupBy("texture_id").agg(
+        count_where(F.col("effect")).alias("effect_pixels"), changed.alias("changed_pixels"), least.alias("min_combined_z"),
+        (least < minimum_z).alias("below_minimum_z"), (F.bool_or(F.col("_alpha") > 0) & (changed == 0)).alias("no_op"),
+    )
+
+
 def _named(prefix: str, vector: dict[str, Column]) -> dict[str, Column]:
     return {f"{prefix}{k}": v for k, v in vector.items()}
 

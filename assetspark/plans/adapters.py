@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arithmetic import div
+from ..operators import mips
 
 # Vocabularies of the synthetic readings.
 DETECTION_WORDS = ["WARNING", "STOP", "A", "12", "", "BEER", "AB"]
@@ -121,9 +122,9 @@ class Tables:
 
     @cached_property
     def regions(self) -> DataFrame:
-        """Approved regions: one per four events, grouped into targets by user."""
+        """Approved regions: one per event, grouped into targets by user."""
         e = F.col("event_id")
-        return self.events_k.filter(e % 4 == 0).select(
+        return self.events_k.select(
             F.col("user_id").alias("target_id"),
             e.alias("region_id"),
             pick(READING_WORDS, F.col("k") % 7).alias("text"),
@@ -305,14 +306,15 @@ class Tables:
     def effect_levels(self) -> DataFrame:
         """Intended and compressed versions of a neutralized and relettered map.
 
-        Level 0 is the texture, level 1 its even texels. Channels G and A are
+        Level 0 is the texture, level 1 its next mip with the flags of any texel of a block. Channels G and A are
         the selected ones; ``is``/``in``/``ie`` are the intended source, neutral
         and edited values, ``as``/``an``/``ae`` the decoded ones.
         """
         flagged = self.mask_flags(self.texels)
-        level1 = flagged.filter("x % 2 = 0 and y % 2 = 0").withColumns(
-            {"x": div(F.col("x"), 2), "y": div(F.col("y"), 2), "level": F.lit(1)}
-        )
+        block = [F.col("texture_id"), div(F.col("x"), 2).alias("x"), div(F.col("y"), 2).alias("y")]
+        flags = [c for c in flagged.columns if c not in self.texels.columns]
+        marks = flagged.groupBy(*block).agg(*[F.bool_or(c).alias(c) for c in flags])
+        level1 = mips.next_level(self.texels, "gloss").join(marks, ["texture_id", "x", "y"]).withColumn("level", F.lit(1))
         both = flagged.withColumn("level", F.lit(0)).unionByName(level1)
         noise = (F.col("x") * 7 + F.col("y") * 3) % 5 - 2
 
@@ -368,7 +370,7 @@ class Tables:
         return self.read("part").select(
             (p % 8).alias("mesh"),
             p.alias("vid"),
-            ((p * 13 % 40) / 8 + (p % 3 - 1) * 1e-7).alias("px"),
+            ((p * 13 % 400) / 8 + (p % 3 - 1) * 1e-7 + F.when(p % 7 < 3, div(p, 400) * 60.0).otherwise(0.0)).alias("px"),
             ((p * 7 % 20) / 4).alias("py"),
             (p % 2).cast("double").alias("pz"),
             ((p * 5 % 16) / 16).alias("u"),

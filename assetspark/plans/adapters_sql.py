@@ -89,7 +89,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         k%2=0 AS needs_ocr_fallback, {pick(['front', 'back', 'side'], 'k%3')} AS face,
         90*(k%4) AS rotation_deg, event_id%300 AS x0, event_id*7%300 AS y0,
         event_id%300+20+k%120 AS x1, event_id*7%300+20+k%90 AS y1
-        FROM events_k WHERE event_id%4=0""",
+        FROM events_k""",
     ),
     "texture_names": (
         [],
@@ -153,7 +153,9 @@ CTES: dict[str, tuple[list[str], str]] = {
         ["flagged_texels"],
         f"""SELECT *, {_effect('g')}, {_effect('a')} FROM (
         SELECT *, 0 AS level FROM flagged_texels UNION ALL BY NAME
-        SELECT * REPLACE (x//2 AS x, y//2 AS y), 1 AS level FROM flagged_texels WHERE x%2=0 AND y%2=0)""",
+        SELECT texture_id, x//2 AS x, y//2 AS y, round_even(avg(r),0)::BIGINT AS r, round_even(avg(g),0)::BIGINT AS g, round_even(avg(b),0)::BIGINT AS b,
+          round_even(avg(a),0)::BIGINT AS a, bool_or(editable) AS editable, bool_or(protected) AS protected, bool_or(seam_guard) AS seam_guard,
+          bool_or(old_text) AS old_text, bool_or(new_text) AS new_text, bool_or(covered) AS covered, 1 AS level FROM flagged_texels GROUP BY 1,2,3)""",
     ),
     "mesh_triangles": (
         [],
@@ -172,7 +174,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "vertices": (
         [],
         """SELECT p_partkey%8 AS mesh, p_partkey AS vid,
-        (p_partkey*13%40)::DOUBLE/8+(p_partkey%3-1)*1e-7::DOUBLE AS px, (p_partkey*7%20)::DOUBLE/4 AS py,
+        (p_partkey*13%400)::DOUBLE/8+(p_partkey%3-1)*1e-7::DOUBLE+CASE WHEN p_partkey%7<3 THEN (p_partkey//400)*60.0::DOUBLE ELSE 0.0::DOUBLE END AS px, (p_partkey*7%20)::DOUBLE/4 AS py,
         (p_partkey%2)::DOUBLE AS pz, (p_partkey*5%16)::DOUBLE/16 AS u, (p_partkey*3%8)::DOUBLE/8 AS v FROM part""",
     ),
     "vertex_triangles": (

@@ -46,7 +46,7 @@ _NORMAL = f"""{_HEIGHT}, {_GRAD}, g2 AS (SELECT texture_id, x, y, round(gx*2.0,1
     b4 AS (SELECT *, nx*pull-ex AS cx, ny*pull-ey AS cy, tz*pull-ez AS cz FROM b3),
     b5 AS (SELECT *, greatest(sqrt(cx*cx+cy*cy+cz*cz),1e-8) AS cl FROM b4),
     dn AS (SELECT texture_id, x, y, r, CASE WHEN abs(gx)>1e-8 OR abs(gy)>1e-8 THEN {_DY} ELSE g END AS g, b, CASE WHEN abs(gx)>1e-8 OR abs(gy)>1e-8 THEN {_DX} ELSE a END AS a,
-      abs(gx)>1e-8 OR abs(gy)>1e-8 AS effect FROM b5)"""
+      abs(gx)>1e-8 OR abs(gy)>1e-8 AS effect, CASE WHEN abs(gx)>1e-8 OR abs(gy)>1e-8 THEN round(cz/cl,6) END AS z FROM b5)"""
 
 
 def _derived_normal(t):
@@ -55,7 +55,18 @@ def _derived_normal(t):
 
 @DERIVE.query("f18_derive_normal", f"WITH {_NORMAL} SELECT * FROM dn", "texels")
 def derive_normal(t):
-    return _derived_normal(t).drop("z")
+    return _derived_normal(t)
+
+
+@DERIVE.query(
+    "f18_normal_gates",
+    f"""WITH {_NORMAL}, g AS (SELECT dn.texture_id, count(*) FILTER (effect) AS effect_pixels, count(*) FILTER (dn.r<>f.r OR dn.g<>f.g OR dn.b<>f.b OR dn.a<>f.a) AS changed_pixels,
+      coalesce(min(z), 1.0) AS min_combined_z, bool_or(f.a>0) AS any_alpha FROM dn JOIN ft f USING (texture_id,x,y) GROUP BY 1)
+    SELECT texture_id, effect_pixels, changed_pixels, min_combined_z, min_combined_z<0.5 AS below_minimum_z, any_alpha AND changed_pixels=0 AS no_op FROM g""",
+    "texels",
+)
+def normal_gates(t):
+    return mips.normal_gates(t.texels, t.texels, _derived_normal(t), 0.5)
 
 
 @DERIVE.query(

@@ -220,7 +220,7 @@ def panel_attempts(t):
     return _panels(t)
 
 
-_JOBS = f"""{_PANEL}, jb AS (SELECT event_id AS job_id, user_id AS target_id, (['front','back','side'])[event_id%3+1] AS face, 90*(k%4) AS rotation_deg, k%5 AS attempt, k%2=0 AS generated FROM events_k WHERE event_id%5=0),
+_JOBS = f"""{_PANEL}, jb AS (SELECT event_id AS job_id, user_id AS target_id, (['front','back','side'])[event_id%3+1] AS face, 90*(k%4) AS rotation_deg, k%5 AS attempt, k%2=0 AS generated FROM events_k),
     jp AS (SELECT jb.*, pi.panel_id AS job_panel FROM jb LEFT JOIN pi ON pi.target_id=jb.target_id AND pi.face='front' AND pi.rotation_deg=jb.rotation_deg),
     lc AS (SELECT pi.target_id, pi.panel_id, pi.attempts, greatest(count(DISTINCT jp.job_id), coalesce(max(jp.attempt),0)) AS loc FROM pi LEFT JOIN jp ON jp.target_id=pi.target_id AND jp.generated
       AND (jp.job_panel=pi.panel_id OR (jp.face=pi.face AND jp.rotation_deg=pi.rotation_deg)) GROUP BY 1,2,3),
@@ -232,7 +232,7 @@ def _current_attempts(t):
 
     panels = _panels(t)
     e = F.col("event_id")
-    jobs = t.events_k.filter(e % 5 == 0).select(
+    jobs = t.events_k.select(
         e.alias("job_id"), F.col("user_id").alias("target_id"), pick(["front", "back", "side"], e % 3).alias("face"),
         (F.lit(90) * (F.col("k") % 4)).alias("rotation_deg"), (F.col("k") % 5).alias("attempt"), (F.col("k") % 2 == 0).alias("generated"),
     )
@@ -245,13 +245,13 @@ def local_attempts(t):
     return _current_attempts(t)
 
 
-_BUDGET = f"""{_JOBS}, lg AS (SELECT target_id, max(occurrences)-1 AS l FROM regions WHERE region_id%8=0 GROUP BY 1),
+_BUDGET = f"""{_JOBS}, lg AS (SELECT target_id, max(occurrences)-1 AS l FROM regions WHERE region_id%2=0 GROUP BY 1),
     bu AS (SELECT coalesce(p.target_id, lg.target_id) AS target_id, greatest(coalesce(l,0), coalesce(top,0)) AS recorded_attempts, coalesce(l,0)>=2 OR coalesce(allp,false) AS exhausted
       FROM (SELECT target_id, max(current_attempts) AS top, bool_and(current_attempts>=2) AS allp FROM cu GROUP BY 1) p FULL JOIN lg ON p.target_id=lg.target_id)"""
 
 
 def _budget(t):
-    legacy = t.regions.filter("region_id % 8 = 0").groupBy("target_id").agg((F.max("occurrences") - 1).alias("legacy_attempts"))
+    legacy = t.regions.filter("region_id % 2 = 0").groupBy("target_id").agg((F.max("occurrences") - 1).alias("legacy_attempts"))
     return gates.attempt_budget(_current_attempts(t), legacy)
 
 

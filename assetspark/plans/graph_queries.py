@@ -417,12 +417,13 @@ def source_bundles(t):
     "j33_source_overrides",
     """WITH r AS (SELECT 'b'||(p_partkey%300) AS bundle_key, 't'||(p_partkey%700) AS target_id, 'raw/'||p_partkey AS source, sha256(p_name) AS source_sha256,
       'g'||(p_partkey%300%4) AS graph_sha256 FROM part),
-    o AS (SELECT DISTINCT bundle_key, target_id FROM r WHERE substr(target_id,2)::INT%6=0),
-    c AS (SELECT bundle_key, target_id, count(*) AS n FROM r GROUP BY 1,2)
-    SELECT r.bundle_key, r.target_id, CASE WHEN n=1 AND graph_sha256='g0' THEN 'over/'||r.target_id ELSE source END AS source,
-    CASE WHEN n=1 AND graph_sha256='g0' THEN 'sha' ELSE source_sha256 END AS source_sha256,
-    CASE WHEN n IS NULL THEN 'original' WHEN n=1 AND graph_sha256='g0' THEN 'verified_override' WHEN n<>1 THEN 'ambiguous_override' ELSE 'graph_changed' END AS origin
-    FROM r LEFT JOIN (o JOIN c USING (bundle_key, target_id)) q USING (bundle_key, target_id)""",
+    o AS (SELECT DISTINCT bundle_key, target_id, substr(bundle_key,2)::INT AS b, substr(target_id,2)::INT AS t FROM r WHERE substr(target_id,2)::INT%3=0),
+    c AS (SELECT bundle_key, target_id, count(*) AS n FROM r GROUP BY 1,2),
+    q AS (SELECT *, CASE WHEN n<>1 THEN 'ambiguous_override' WHEN b%23=0 THEN 'bundle_missing' WHEN b%19=0 THEN 'bundle_changed' WHEN b%4=3 THEN 'graph_changed'
+      WHEN t%17=0 THEN 'image_missing' WHEN t%13=0 AND t%2=0 THEN 'image_changed' ELSE 'verified_override' END AS state FROM o JOIN c USING (bundle_key, target_id))
+    SELECT r.bundle_key, r.target_id, CASE WHEN state='verified_override' THEN 'over/'||r.target_id ELSE source END AS source,
+    CASE WHEN state='verified_override' THEN sha256(r.target_id||CASE WHEN t%13=0 THEN 'x' ELSE '' END) ELSE source_sha256 END AS source_sha256, coalesce(state, 'original') AS origin
+    FROM r LEFT JOIN q USING (bundle_key, target_id)""",
 )
 def overrides(t):
     p = F.col("p_partkey")
@@ -431,11 +432,23 @@ def overrides(t):
         F.concat(F.lit("raw/"), p).alias("source"), F.sha2("p_name", 256).alias("source_sha256"),
         F.concat(F.lit("g"), p % 300 % 4).alias("graph_sha256"),
     )
-    chosen = records.filter(F.substring("target_id", 2, 10).cast("int") % 6 == 0).select("bundle_key", "target_id").distinct()
+    bundle, target = F.substring("bundle_key", 2, 10).cast("int"), F.substring("target_id", 2, 10).cast("int")
+    chosen = records.filter(target % 3 == 0).select("bundle_key", "target_id").distinct()
     over = chosen.select(
-        "bundle_key", "target_id", F.concat(F.lit("over/"), "target_id").alias("source"), F.lit("sha").alias("sha256"), F.lit("g0").alias("graph_sha256")
+        "bundle_key", "target_id", F.concat(F.lit("over/"), "target_id").alias("source"), F.concat(F.lit("file/"), "bundle_key").alias("path"),
+        F.sha2("bundle_key", 256).alias("sha256"), F.when(target % 2 == 0, F.sha2("target_id", 256)).alias("image_sha256"),
+        F.when(bundle % 4 == 3, "g").otherwise(F.concat(F.lit("g"), bundle % 4)).alias("graph_sha256"),
     )
-    return graph.apply_overrides(records, over)
+    files = records.select("bundle_key").distinct().filter(bundle % 23 != 0)
+    bundles = files.select(
+        F.concat(F.lit("file/"), "bundle_key").alias("path"),
+        F.sha2(F.concat("bundle_key", F.when(bundle % 19 == 0, "x").otherwise("")), 256).alias("sha256"),
+    )
+    images = records.select("target_id").distinct().filter(target % 17 != 0).select(
+        F.concat(F.lit("over/"), "target_id").alias("source"),
+        F.sha2(F.concat("target_id", F.when(target % 13 == 0, "x").otherwise("")), 256).alias("sha256"),
+    )
+    return graph.apply_overrides(records, over, bundles, images)
 
 
 @GRAPH.query(

@@ -110,17 +110,36 @@ def inventory_sections(t):
     return out.select("o_orderkey", "schema_version", *[F.size(c).alias(c) for c in ("records", "materials", "renderers")], "error")
 
 
+def _meshes(t):
+    """Five vectors are one flat array of 64 vertices; a strip of triangles runs over them."""
+    parts = t.embeddings.groupBy(div(F.col("vec_id"), 5).alias("mesh")).agg(
+        F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")))).alias("parts")
+    )
+    flat = F.flatten(F.transform("parts", lambda part: part["e"]))
+    corners = F.sequence(F.lit(0).cast("long"), F.lit(3 * 62 - 1).cast("long"))
+    return parts.select(
+        "mesh", (F.col("mesh") % 3).alias("submesh"), flat.alias("vertices"),
+        F.transform(corners, lambda i: div(i, 3) + i % 3).alias("triangles"),
+    )
+
+
 @SOURCES.query(
     "s18_mesh_tables",
-    "SELECT vec_id AS mesh, v AS vid, round(embedding[5*v+1]::DOUBLE,6) AS x, round(embedding[5*v+5]::DOUBLE,6) AS v FROM embeddings, range(12) t(v)",
+    """WITH f AS (SELECT vec_id//5 AS mesh, (vec_id%5)*64+i AS i, embedding[i+1]::DOUBLE AS e FROM embeddings, range(64) t(i))
+    SELECT mesh, i//5 AS vid, max(e) FILTER (i%5=0) AS x, max(e) FILTER (i%5=1) AS y, max(e) FILTER (i%5=2) AS z, max(e) FILTER (i%5=3) AS u, max(e) FILTER (i%5=4) AS v FROM f GROUP BY 1,2""",
 )
 def mesh_tables(t):
-    meshes = t.embeddings.select(
-        F.col("vec_id").alias("mesh"), F.lit(0).alias("submesh"), F.col("embedding").cast("array<double>").alias("vertices"),
-        F.array().cast("array<bigint>").alias("triangles"),
-    )
-    vertices, _ = manifests.mesh_tables(meshes)
-    return vertices.select("mesh", "vid", F.round("x", 6).alias("x"), F.round("v", 6).alias("v"))
+    vertices, _ = manifests.mesh_tables(_meshes(t))
+    return vertices
+
+
+@SOURCES.query(
+    "s18_mesh_triangles",
+    "SELECT mesh, mesh%3 AS submesh, i AS tri, i AS a, i+1 AS b, i+2 AS c FROM (SELECT DISTINCT vec_id//5 AS mesh FROM embeddings), range(62) t(i)",
+)
+def mesh_triangles(t):
+    _, triangles = manifests.mesh_tables(_meshes(t))
+    return triangles
 
 
 @SOURCES.query(

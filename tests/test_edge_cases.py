@@ -24,10 +24,10 @@ def test_component_is_composed_first(spark):
 
 
 def test_slot_hash_keeps_nulls_and_small_differences(spark):
-    schema = "material_path_id long, property string, texture_bundle_key string, path_id long, scale_u double, scale_v double, offset_u double, offset_v double"
+    schema = "assets_file string, material_path_id long, property string, file_id int, path_id long, external_assets_file string, scale_u double, scale_v double, offset_u double, offset_v double"
     rows = [
-        (1, None, "q", 2, 1.0, 1.0, 0.0, 0.0), (1, "q", None, 2, 1.0, 1.0, 0.0, 0.0), (1, "q", None, 2, 1.0, 1.0, 0.0, -0.0),
-        (1, "q", None, 2, 1.0 + 1e-12, 1.0, 0.0, 0.0),
+        ("f", 1, None, 0, 2, "q", 1.0, 1.0, 0.0, 0.0), ("f", 1, "q", 0, 2, None, 1.0, 1.0, 0.0, 0.0), ("f", 1, "q", 0, 2, None, 1.0, 1.0, 0.0, -0.0),
+        ("f", 1, "q", 0, 2, None, 1.0 + 1e-12, 1.0, 0.0, 0.0),
     ]
     a, b, c, d = [r.h for r in spark.createDataFrame(rows, schema).select(graph.slot_hash().alias("h")).collect()]
     assert b == c and len({a, b, d}) == 3 and None not in (a, b, d)
@@ -35,9 +35,20 @@ def test_slot_hash_keeps_nulls_and_small_differences(spark):
 
 def test_two_overrides_of_one_target_leave_the_record(spark):
     records = spark.createDataFrame([("b", t, "raw", "s", "g") for t in "xyz"], "bundle_key string, target_id string, source string, source_sha256 string, graph_sha256 string")
-    over = spark.createDataFrame([("b", "x", "o1", "h1", "g"), ("b", "x", "o2", "h2", "g"), ("b", "y", "o3", "h3", "g")], "bundle_key string, target_id string, source string, sha256 string, graph_sha256 string")
-    got = sorted((r.target_id, r.source, r.origin) for r in graph.apply_overrides(records, over).collect())
-    assert got == [("x", "raw", "ambiguous_override"), ("y", "o3", "verified_override"), ("z", "raw", "original")]
+    columns = "bundle_key string, target_id string, source string, path string, sha256 string, image_sha256 string, graph_sha256 string"
+    rows = [("b", t, o, "f", "h", None, "g") for t, o in (("x", "o1"), ("x", "o2"), ("y", "o3"))]
+    bundles = spark.createDataFrame([("f", "h")], "path string, sha256 string")
+    images = spark.createDataFrame([("o3", "i3")], "source string, sha256 string")
+    got = sorted(tuple(r)[1:] for r in graph.apply_overrides(records, spark.createDataFrame(rows, columns), bundles, images).collect())
+    assert got == [("x", "raw", "s", "ambiguous_override"), ("y", "o3", "i3", "verified_override"), ("z", "raw", "s", "original")]
+
+    def origin(path="f", sha="h", image=None, graph_hash="g", source="o3"):
+        over = spark.createDataFrame([("b", "y", source, path, sha, image, graph_hash)], columns)
+        return [r.origin for r in graph.apply_overrides(records, over, bundles, images).filter("target_id = 'y'").collect()]
+
+    assert origin(image="i3") == ["verified_override"]
+    assert origin(path="gone") == ["bundle_missing"] and origin(sha="x") == ["bundle_changed"] and origin(graph_hash="x") == ["graph_changed"]
+    assert origin(source="gone") == ["image_missing"] and origin(image="x") == ["image_changed"]
 
 
 def test_fill_reaches_far_texels_and_reports_uncovered_textures(spark):
