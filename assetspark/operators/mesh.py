@@ -90,7 +90,8 @@ def triangle_coverage(triangles: DataFrame, width: int, height: int) -> DataFram
     """(mesh, x, y) of texels whose centre lies in some repeat of a triangle.
 
     A texel is covered if the three half-plane products do not disagree in
-    sign; rows are limited to the triangle's pixel box.
+    sign. Every pixel row is scanned between the triangle's edges, one texel wider on both sides to
+    leave the decision to the products.
     """
     placed = _repeated(triangles, ["a", "b", "c"], width, height)
     xs, ys = ["xa", "xb", "xc"], ["ya", "yb", "yc"]
@@ -100,9 +101,22 @@ def triangle_coverage(triangles: DataFrame, width: int, height: int) -> DataFram
         placed.withColumns({"x0": x0, "x1": x1, "y0": y0, "y1": y1})
         .filter("x0 <= x1 and y0 <= y1")
         .withColumn("y", F.explode(F.sequence("y0", "y1")))
-        .withColumn("x", F.explode(F.sequence("x0", "x1")))
     )
 
+    def crossings(p: str, q: str) -> list[Column]:
+        """Where an edge meets the pixel row: one place, both ends of a level edge, or null."""
+        xp, yp, xq, yq = (F.col(f"{axis}{v}") for v in (p, q) for axis in "xy")
+        met = (F.least(yp, yq) <= F.col("y")) & (F.col("y") <= F.greatest(yp, yq))
+        level = yp == yq
+        place = xp + (F.col("y") - yp) * (xq - xp) / F.when(~level, yq - yp)
+        return [F.when(met, F.when(level, xp).otherwise(place)), F.when(met, F.when(level, xq).otherwise(place))]
+
+    places = [c for p, q in (("a", "b"), ("b", "c"), ("c", "a")) for c in crossings(p, q)]
+    # on rows that the corners only touch within rounding no edge is met: the whole width of the box is scanned then
+    low, high = F.coalesce(F.floor(F.least(*places)) - 1, F.col("x0")), F.coalesce(F.ceil(F.greatest(*places)) + 1, F.col("x1"))
+    runs = cells.withColumns({"_low": F.greatest(low, F.col("x0")), "_high": F.least(high, F.col("x1"))}).filter("_low <= _high")
+    cells = runs.withColumn("x", F.explode(F.sequence("_low", "_high")))
+
     def side(p: str, q: str) -> Column:
         value = (F.col(f"x{q}") - F.col(f"x{p}")) * (F.col("y") - F.col(f"y{p}")) - (
             F.col(f"y{q}") - F.col(f"y{p}")

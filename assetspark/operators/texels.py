@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 from ..functions.arithmetic import clip, count_where, div, half_even
 from ..functions.color import luminance, rgb_distance
 from ..functions.ids import sha256_hex, tree_digest
+from .words import (
+    dilate_words,
+    intersect_words,
+    polygon_runs,
+    rectangle_runs,
+    run_words,
+    subtract_words,
+    texel_words,
+    word_texels,
+)
 
 KEY = ["texture_id", "x", "y"]
 RGBA = ["r", "g", "b", "a"]
@@ -124,13 +134,9 @@ def subset_violations(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
 
 def dilate(mask: DataFrame, radius: int, width: int, height: int) -> DataFrame:
-    """Square dilation: one pass along x, one along y, clipped to the picture."""
-    out = mask.select(*KEY)
-    for axis, limit in (("x", width), ("y", height)):
-        low = F.greatest(F.col(axis) - radius, F.lit(0).cast("long"))
-        high = F.least(F.col(axis) + radius, F.lit(limit - 1).cast("long"))
-        out = out.withColumn(axis, F.explode(F.sequence(low, high))).distinct()
-    return out
+    """Square dilation, clipped to the picture."""
+    grown = dilate_words(texel_words(mask, ["texture_id"]), ["texture_id"], radius, width, height)
+    return word_texels(grown, ["texture_id"]).select(*KEY)
 
 
 def expand_blocks(texels: DataFrame, mask: DataFrame, block: int = 4) -> DataFrame:
@@ -254,57 +260,14 @@ def in_annulus(cx, cy, inner, outer, start, end) -> Column:
 
 
 def polygon_texels(texels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Texels inside polygons by the even-odd rule on texel centres.
+    """Texels inside closed polygons by the even-odd rule on texel centres.
 
-    ``edges``: texture_id, polygon, x0, y0, x1, y1. Each edge is spread over
-    the pixel rows it crosses; a texel is inside if an odd number of crossings
-    lie to its left, so only crossings and row-mates are joined.
+    ``edges``: texture_id, polygon, x0, y0, x1, y1. Polygons become runs of pixel rows, so only the texels of a run are
+    looked up.
     """
-    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
-    crossed = (
-        edges.filter("y0 <> y1")
-        .withColumn("y", F.explode(F.sequence(low, high - 1)))
-        .withColumn("cross_x", F.col("x0") + (F.col("y") + 0.5 - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0")))
-        .select("texture_id", "polygon", "y", "cross_x")
-    )
-    spans = crossed.groupBy("texture_id", "polygon", "y").agg(F.array_sort(F.collect_list("cross_x")).alias("xs"))
-    inside = F.size(F.filter("xs", lambda c: c <= F.col("x") + 0.5)) % 2 == 1
-    return texels.select(*KEY).join(spans, ["texture_id", "y"]).filter(inside).select("polygon", *KEY)
-
-
-def box_mask_ratios(boxes: DataFrame, mask: DataFrame, width: int, height: int, cell: int = 16) -> DataFrame:
-    """Share of each clipped box that is set in the mask.
-
-    ``boxes``: texture_id, box_id, x0, y0, x1, y1. The mask is counted per grid
-    cell first: cells wholly inside a box add their count as one row, and only
-    the cells on a box's border are compared texel by texel.
-    """
-    clipped = boxes.select(
-        "texture_id", "box_id",
-        clip(F.col("x0"), 0, width).alias("x0"), clip(F.col("y0"), 0, height).alias("y0"),
-        clip(F.col("x1"), 0, width).alias("x1"), clip(F.col("y1"), 0, height).alias("y1"),
-    )
-    real = clipped.filter("x1 > x0 and y1 > y0")
-    spread = real.withColumn("cx", F.explode(F.sequence(div(F.col("x0"), cell), div(F.col("x1") - 1, cell)))).withColumn(
-        "cy", F.explode(F.sequence(div(F.col("y0"), cell), div(F.col("y1") - 1, cell)))
-    )
-    inside = (
-        (F.col("cx") * cell >= F.col("x0")) & ((F.col("cx") + 1) * cell <= F.col("x1"))
-        & (F.col("cy") * cell >= F.col("y0")) & ((F.col("cy") + 1) * cell <= F.col("y1"))
-    )
-    keys = ["texture_id", "cx", "cy"]
-    celled = mask.select(*KEY, div(F.col("x"), cell).alias("cx"), div(F.col("y"), cell).alias("cy"))
-    counts = celled.groupBy(*keys).agg(F.count("*").alias("n"))
-    whole = spread.filter(inside).join(counts, keys).select("texture_id", "box_id", "n")
-    border = (
-        spread.filter(~inside).join(celled, keys)
-        .filter("x >= x0 and x < x1 and y >= y0 and y < y1")
-        .groupBy("texture_id", "box_id").agg(F.count("*").alias("n"))
-    )
-    hits = whole.unionByName(border).groupBy("texture_id", "box_id").agg(F.sum("n").alias("hits"))
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    ratio = F.when(area > 0, F.coalesce("hits", F.lit(0)) / area).otherwise(0.0)
-    return clipped.join(hits, ["texture_id", "box_id"], "left").select("texture_id", "box_id", ratio.alias("ratio"))
+    keys = ["polygon", "texture_id"]
+    inside = run_words(polygon_runs(edges, keys), keys)
+    return word_texels(intersect_words(inside, texel_words(texels, ["texture_id"]), keys), keys).select("polygon", *KEY)
 
 
 def recipe_selection(texels: DataFrame, regions: DataFrame, condition: Column, radius: int, seam: DataFrame, size: tuple[int, int]) -> DataFrame:
@@ -312,12 +275,12 @@ def recipe_selection(texels: DataFrame, regions: DataFrame, condition: Column, r
 
     ``regions``: texture_id, region_id, x0, y0, x1, y1 (rectangles).
     """
-    inside = in_rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    shaped = texels.join(regions, "texture_id").filter(inside)
-    picked = shaped.filter(condition).select(F.struct("texture_id", "region_id").alias("texture_id"), "x", "y")
-    grown = dilate(picked, radius, *size).select("texture_id.texture_id", "texture_id.region_id", "x", "y")
-    back = grown.join(regions, ["texture_id", "region_id"]).filter(inside)
-    return back.select("region_id", *KEY).join(seam.select(*KEY), KEY, "left_anti")
+    keys = ["texture_id", "region_id"]
+    shapes = run_words(rectangle_runs(regions, keys), keys)
+    fitting = texel_words(texels.filter(condition), ["texture_id"])
+    grown = dilate_words(intersect_words(shapes, fitting, keys), keys, radius, *size)
+    clipped = intersect_words(shapes, grown, keys)
+    return word_texels(subtract_words(clipped, texel_words(seam, ["texture_id"]), keys), keys).select("region_id", *KEY)
 
 
 def recipe_report(selected: DataFrame, regions: DataFrame, seam: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..functions.arithmetic import div
 from ..functions.ids import tree_digest_sql
-from ..operators import mips, texels
+from ..operators import mips, texels, words
 from .adapters import pick
 from .registry import Registry
 
@@ -551,7 +551,7 @@ def _boxes(t):
 
 @TEXELS.query("j26_box_mask_overlap", f"WITH {_BOXES} SELECT box_id, ratio FROM {_ratio('editable')}", "events_k mask_texels")
 def box_mask_overlap(t):
-    return texels.box_mask_ratios(_boxes(t), t.mask("editable"), *SIZE).select("box_id", "ratio")
+    return words.box_mask_shares(_boxes(t), t.mask_texels, ["editable"], *SIZE).select("box_id", F.col("editable").alias("ratio"))
 
 
 _WORDS = ["beer", "stop", "warning", "facts", "zz", "ab", ""]
@@ -567,10 +567,7 @@ _WORDS = ["beer", "stop", "warning", "facts", "zz", "ab", ""]
 )
 def foreign_triage(t):
     boxes = _boxes(t)
-    ratios = None
-    for flag in ("editable", "old_text", "new_text"):
-        part = texels.box_mask_ratios(boxes, t.mask(flag), *SIZE).select("box_id", F.col("ratio").alias(flag))
-        ratios = part if ratios is None else ratios.join(part, "box_id")
+    ratios = words.box_mask_shares(boxes, t.mask_texels, ["editable", "old_text", "new_text"], *SIZE).drop("texture_id")
     detections = boxes.select(
         "texture_id", "box_id", pick(_WORDS, F.col("k") % 7).alias("key"), (F.col("k") % 3 != 0).alias("foreign")
     )
