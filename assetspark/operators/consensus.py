@@ -498,6 +498,54 @@ def spans_equal_to(tokens: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
+def composite_spans(tokens: DataFrame) -> DataFrame:
+    """Every contiguous span of two or more tokens of a call, composed into one text.
+
+    ``tokens``: call_id, ordinal, line, text, confidence and any columns that a span takes from its first token. Tokens are
+    trimmed and joined by a space inside a line and a newline across lines; blank tokens are left out before. Returns the
+    span's ``first`` and ``last`` ordinal, text, least confidence (six digits) and ``components``, the tokens' own texts. A call of n
+    tokens has n * (n - 1) / 2 spans; each start holds the rest of its call once and its spans are cut from that.
+    """
+    carried = [c for c in tokens.columns if c not in ("call_id", "ordinal", "line", "text", "confidence")]
+    valid = tokens.withColumn("_t", F.btrim(literal_text(F.col("text")))).filter(~is_blank(F.col("_t")))
+    onward = Window.partitionBy("call_id").orderBy("ordinal").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    token = F.struct("ordinal", "line", "_t", F.col("text").alias("own"), "confidence")
+    starts = valid.select("call_id", *carried, F.collect_list(token).over(onward).alias("rest")).filter(F.size("rest") > 1)
+
+    def piece(item: Column, i: Column) -> Column:
+        before = F.get("rest", i - 1)
+        return F.when(i == 0, item["_t"]).when(before["line"] == item["line"], F.concat(F.lit(" "), item["_t"])).otherwise(F.concat(F.lit("\n"), item["_t"]))
+
+    cut = starts.withColumn("pieces", F.transform("rest", piece)).withColumn("n", F.explode(F.sequence(F.lit(2), F.size("rest"))))
+    span = F.slice("rest", F.lit(1), F.col("n"))
+    return cut.select(
+        "call_id", *carried, F.get("rest", F.lit(0))["ordinal"].alias("first"), F.get("rest", F.col("n") - 1)["ordinal"].alias("last"),
+        F.array_join(F.slice("pieces", F.lit(1), F.col("n")), "").alias("text"),
+        F.round(F.array_min(F.transform(span, lambda item: item["confidence"])), 6).alias("confidence"),
+        F.transform(span, lambda item: item["own"]).alias("components"),
+    )
+
+
+def region_readings(tokens: DataFrame) -> DataFrame:
+    """Best reading per (region, model, variant, literal text) among single tokens and composed spans.
+
+    Ties go to the single token, then to the earlier start and the shorter span; calls are taken in the order of their ids.
+    ``tokens`` as in ``composite_spans`` with region_id, model_signature, variant and engine. ``components`` is null for a single token.
+    """
+    keep = ["call_id", "region_id", "engine", "model_signature", "variant"]
+    spans = composite_spans(tokens.select(*keep, "ordinal", "line", "text", "confidence"))
+    single = tokens.filter(~is_blank(F.btrim(literal_text(F.col("text"))))).select(
+        *keep, F.col("ordinal").alias("first"), F.col("ordinal").alias("last"), "text", "confidence", F.lit(None).cast("array<string>").alias("components")
+    )
+    rows = single.unionByName(spans).withColumn("text", literal_text(F.col("text")))
+    key = ["region_id", "model_signature", "variant", "text"]
+    fields = ["call_id", "engine", "first", "last", "confidence", "components"]
+    rank = F.struct(
+        -F.col("confidence"), F.col("call_id"), F.col("components").isNotNull().alias("span"), F.col("first"), F.col("last")
+    )
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*fields), rank).alias("b")).select(*key, "b.*")
+
+
 def call_composites(tokens: DataFrame) -> DataFrame:
     """All tokens of one recognizer call joined by spaces, in input order.
 

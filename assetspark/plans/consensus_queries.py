@@ -221,6 +221,31 @@ def expected_spans(t):
     return consensus.spans_equal_to(tokens, _expected(t))
 
 
+_SPANS = f"""{_LINES}, sp AS (SELECT a.call_id, a.region_id, a.ordinal AS first, b.ordinal AS last,
+      string_agg(CASE WHEN m.ordinal=a.ordinal THEN '' WHEN m.line=p.line THEN ' ' ELSE chr(10) END || m.text, '' ORDER BY m.ordinal) AS text,
+      round(min(m.confidence),6) AS confidence, list(m.text ORDER BY m.ordinal) AS components
+      FROM tk a JOIN tk b ON a.call_id=b.call_id AND b.ordinal>a.ordinal JOIN tk m ON m.call_id=a.call_id AND m.ordinal BETWEEN a.ordinal AND b.ordinal
+      LEFT JOIN tk p ON p.call_id=m.call_id AND p.ordinal=m.ordinal-1 GROUP BY 1,2,3,4)"""
+
+
+@CONSENSUS.query("w05_all_spans", f"WITH {_SPANS} SELECT * FROM sp", "region_calls")
+def all_spans(t):
+    return consensus.composite_spans(_tokens(t).select("call_id", "region_id", "ordinal", "line", "text", "confidence"))
+
+
+@CONSENSUS.query(
+    "w05_region_readings",
+    f"""WITH {_SPANS}, un AS (SELECT call_id, ordinal AS first, ordinal AS last, text, confidence, NULL::VARCHAR[] AS components FROM tk
+      UNION ALL SELECT call_id, first, last, text, confidence, components FROM sp),
+    nm AS (SELECT un.*, c.region_id, c.engine, c.model_signature, c.variant FROM un JOIN tk ON tk.call_id=un.call_id AND tk.ordinal=un.first JOIN region_calls c ON c.call_id=tk.call_id AND c.seq=tk.seq)
+    SELECT region_id, model_signature, variant, text, call_id, engine, first, last, confidence, components FROM nm
+    QUALIFY row_number() OVER (PARTITION BY region_id, model_signature, variant, text ORDER BY confidence DESC, call_id, components IS NOT NULL, first, last)=1""",
+    "region_calls",
+)
+def region_readings(t):
+    return consensus.region_readings(_tokens(t))
+
+
 @CONSENSUS.query(
     "w06_call_composites",
     """SELECT call_id, string_agg(trim(text), ' ' ORDER BY seq) AS text, round(min(confidence),6) AS confidence, count(*) AS components

@@ -1,11 +1,15 @@
 """Readers, sinks, the recognizer and incremental tables over the given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.arithmetic import div
 from ..functions.ids import rgba_pixel_hash
 from ..operators import recognizer, selection
+from ..session import shared_folder
 from ..sources import images, manifests, sinks
+from ..streaming.incremental import BundleIndex
 from .adapters_sql import agreement_sql, letters_sql
 from .registry import Registry
 from .selection_queries import _CLASSIFY, _references
@@ -248,15 +252,23 @@ def batch_recognizer(t):
 
 @SOURCES.query(
     "r03_index_refresh_batches",
-    """WITH o AS (SELECT DISTINCT texture AS name, bundle_key FROM texture_names), s AS (SELECT DISTINCT texture||'3' AS name, bundle_key FROM texture_names WHERE path_id%9=0),
-    k AS (SELECT DISTINCT bundle_key FROM s) SELECT name, bundle_key FROM o WHERE bundle_key NOT IN (SELECT bundle_key FROM k) UNION SELECT * FROM s""",
+    """WITH o AS (SELECT DISTINCT texture AS name, bundle_key, 0 AS v FROM texture_names),
+    s AS (SELECT DISTINCT texture||'3' AS name, bundle_key, 1 AS v FROM texture_names WHERE path_id%9=0),
+    e AS (SELECT DISTINCT CASE WHEN path_id%2=0 THEN texture||'5' END AS name, bundle_key, 2 AS v FROM texture_names WHERE path_id%31=0),
+    u AS (SELECT * FROM o UNION ALL SELECT * FROM s UNION ALL SELECT * FROM e), n AS (SELECT bundle_key, max(v) AS v FROM u GROUP BY 1)
+    SELECT name, bundle_key FROM u JOIN n USING (bundle_key, v) WHERE name IS NOT NULL""",
     "texture_names",
 )
 def index_batches(t):
+    """A starting index and two batches of scans, the second of them delivered twice and with emptied bundles."""
     names = t.texture_names
-    old = names.select(F.col("texture").alias("name"), "bundle_key").distinct()
-    scanned = names.filter("path_id % 9 = 0").select(F.concat("texture", F.lit("3")).alias("name"), "bundle_key")
-    return selection.refresh_index(old, scanned, scanned)
+    index = BundleIndex(t.spark, f"{shared_folder(t.spark)}/assetspark-{uuid.uuid4().hex}")
+    index.start(names.select(F.col("texture").alias("name"), "bundle_key"))
+    index.apply(names.filter("path_id % 9 = 0").select(F.concat("texture", F.lit("3")).alias("name"), "bundle_key"), 0)
+    second = names.filter("path_id % 31 = 0").select(F.when(F.col("path_id") % 2 == 0, F.concat("texture", F.lit("5"))).alias("name"), "bundle_key")
+    for _ in range(2):
+        index.apply(second, 1)
+    return index.current()
 
 
 @SOURCES.query(

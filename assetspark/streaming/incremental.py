@@ -1,7 +1,7 @@
 """Incremental tables fed by Structured Streaming.
 
-Each table is a folder of immutable versions plus a log of finished batches, so
-a repeated batch after a failure writes the same version again.
+Each table is a folder of deltas, one per micro-batch, so a repeated batch after a
+failure writes the same delta again and no batch rewrites earlier rows.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.selection import REVIEWABLE, latest_by, refresh_index
+from ..operators.selection import REVIEWABLE, latest_by
 
 
 def _fresh(batch: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
@@ -70,24 +70,68 @@ def storable_results(results: DataFrame) -> DataFrame:
     return results.filter("status = 'ok'")
 
 
-def refresh_index_stream(scans: DataFrame, index_path: str, checkpoint: str):
-    """Texture index refresh: each micro-batch replaces its bundles' names.
+class BundleIndex:
+    """Texture names of bundles, (name, bundle_key), kept up to date by scans.
 
-    ``scans``: name, bundle_key. The new index is written beside the old one and
-    named by the batch, so a repeated batch starts from the same old version.
+    ``path`` holds deltas, one folder per batch with the scanned bundles only, and bases, whole indexes as of a batch. The
+    newest scan of a bundle decides its names, so a batch rewrites nothing and a repeated batch replaces its own delta.
     """
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            fresh = batch.select("name", "bundle_key").distinct()
-        else:
-            old = spark.read.parquet(f"{index_path}/v{batch_id - 1}")
-            fresh = refresh_index(old, batch, batch)
-        fresh.write.mode("overwrite").parquet(f"{index_path}/v{batch_id}")
+    START = -1
 
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _versions(self, kind: str) -> list[int]:
+        """Versions that were written to their end."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        store = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not store.exists(folder):
+            return []
+        inside = [f.getPath() for f in store.listStatus(folder) if f.isDirectory() and f.getPath().getName().startswith("version=")]
+        return sorted(int(p.getName()[len("version="):]) for p in inside if store.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _read(self, kind: str, versions: list[int]) -> DataFrame:
+        rows = self.spark.createDataFrame([], "name string, bundle_key string, version long")
+        for version in versions:
+            part = self.spark.read.schema("name string, bundle_key string").parquet(f"{self.path}/{kind}/version={version}")
+            rows = rows.unionByName(part.withColumn("version", F.lit(version).cast("long")))
+        return rows
+
+    def _write(self, rows: DataFrame, kind: str, version: int) -> None:
+        rows.select("name", "bundle_key").distinct().write.mode("overwrite").parquet(f"{self.path}/{kind}/version={version}")
+
+    def start(self, names: DataFrame) -> None:
+        """The index to start from; without it the index starts empty."""
+        self._write(names, "base", self.START)
+
+    def apply(self, scans: DataFrame, batch_id: int) -> None:
+        """Take in the scans of a batch: name, bundle_key; a bundle without names is one row with a null name.
+
+        A batch that a base already contains changes nothing.
+        """
+        if batch_id > max(self._versions("base"), default=self.START):
+            self._write(scans, "delta", batch_id)
+
+    def current(self) -> DataFrame:
+        """The index after all batches."""
+        base = self._versions("base")[-1:]
+        rows = self._read("base", base).unionByName(self._read("delta", [v for v in self._versions("delta") if not base or v > base[0]]))
+        newest = rows.groupBy("bundle_key").agg(F.max("version").alias("version"))
+        return rows.join(newest, ["bundle_key", "version"], "left_semi").filter("name is not null").select("name", "bundle_key")
+
+    def compact(self) -> None:
+        """Write the index as of the newest batch as a base; older folders are no longer read."""
+        versions = self._versions("delta")
+        if versions and versions[-1] > max(self._versions("base"), default=self.START):
+            self._write(self.current(), "base", versions[-1])
+
+
+def refresh_index_stream(scans: DataFrame, index: BundleIndex, checkpoint: str):
+    """Start a query that brings an index up to date with every micro-batch of scans (name, bundle_key)."""
     return (
-        scans.writeStream.foreachBatch(apply)
+        scans.writeStream.foreachBatch(index.apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

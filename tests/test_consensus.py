@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 
@@ -216,3 +217,34 @@ def test_composite(spark):
 
 def test_boxes_are_named():
     assert SIDES == ["x0", "y0", "x1", "y1"]
+
+
+def test_all_spans_equal_plain_enumeration(spark):
+    rng = random.Random(12)
+    rows = []
+    for call in range(30):
+        line = 0
+        for i in range(rng.randrange(0, 9)):
+            line += rng.random() < 0.3
+            rows.append((call, call % 4, i, line, rng.choice([" ab", "c", "", "  ", "é", "ab"]), rng.choice([0.5, 0.7, 0.1234567]), "one", f"m{call % 2}", "v"))
+    schema = "call_id long, region_id long, ordinal long, line long, text string, confidence double, engine string, model_signature string, variant string"
+    df = spark.createDataFrame(rows, schema)
+    want, candidates = {}, []
+    for call in range(30):
+        tokens = [r for r in rows if r[0] == call and r[4].strip()]
+        candidates += [(-t[5], call, False, t[2], t[2], t, unicodedata.normalize("NFC", t[4])) for t in tokens]
+        for a in range(len(tokens)):
+            for b in range(a + 2, len(tokens) + 1):
+                span = tokens[a:b]
+                text = "".join(("" if i == 0 else " " if t[3] == span[i - 1][3] else "\n") + unicodedata.normalize("NFC", t[4]).strip() for i, t in enumerate(span))
+                low = round(min(t[5] for t in span), 6)
+                want[(call, span[0][2], span[-1][2])] = (text, low, [t[4] for t in span])
+                candidates.append((-low, call, True, span[0][2], span[-1][2], span[0], text))
+    got = consensus.composite_spans(df).collect()
+    assert len(got) == len(want) and {(r.call_id, r["first"], r["last"]): (r.text, r.confidence, r.components) for r in got} == want
+    best = {}
+    for c in sorted(candidates, key=lambda c: c[:5]):
+        best.setdefault((c[5][1], c[5][7], c[6]), c)
+    found = {(r.region_id, r.model_signature, r.text): (-r.confidence, r.call_id, r.components is not None, r["first"], r["last"]) for r in consensus.region_readings(df).collect()}
+    assert found == {k: c[:5] for k, c in best.items()}
+    assert consensus.composite_spans(df.limit(0)).count() == 0

@@ -32,11 +32,33 @@ def test_only_ok_results_are_stored(spark, tmp_path):
 
 
 def test_index_stream_replaces_rescanned_bundles(spark, tmp_path):
-    source, index = str(tmp_path / "scan"), str(tmp_path / "index")
+    source = str(tmp_path / "scan")
     schema = "name string, bundle_key string"
-    for rows in ([("a", "b1"), ("b", "b1"), ("a", "b2")], [("c", "b1")]):
+    index = incremental.BundleIndex(spark, str(tmp_path / "index"))
+    assert index.current().count() == 0
+    index.start(spark.createDataFrame([("old", "b0"), ("old", "b1"), ("x", "b3")], schema))
+
+    def names():
+        return {(r.name, r.bundle_key) for r in index.current().collect()}
+
+    def run(rows):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         incremental.refresh_index_stream(stream, index, str(tmp_path / "cp")).awaitTermination()
-    got = {(r.name, r.bundle_key) for r in spark.read.parquet(f"{index}/v1").collect()}
-    assert got == {("c", "b1"), ("a", "b2")}
+
+    run([("a", "b1"), ("b", "b1"), ("a", "b1"), ("a", "b2")])
+    assert names() == {("old", "b0"), ("x", "b3"), ("a", "b1"), ("b", "b1"), ("a", "b2")}  # batch 0 keeps the start
+    last = [("c", "b1"), (None, "b3")]
+    run(last)
+    want = {("old", "b0"), ("c", "b1"), ("a", "b2")}
+    assert names() == want  # b3 was scanned and has no names
+    index.apply(spark.createDataFrame(last, schema), 1)
+    assert names() == want
+    written = {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "index" / "delta").glob("version=0/_SUCCESS")}
+    index.compact()
+    assert names() == want
+    index.apply(spark.createDataFrame([("late", "b1")], schema), 1)  # a replay of what the base holds
+    assert names() == want
+    run([("d", "b3"), (None, "b2")])
+    assert names() == {("old", "b0"), ("c", "b1"), ("d", "b3")}
+    assert written == {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "index" / "delta").glob("version=0/_SUCCESS")}
