@@ -66,6 +66,29 @@ def asset_type(explicit: Column, key: Column, scene: Column) -> Column:
     )
 
 
+def normalized_metadata(record: Column) -> Column:
+    """struct<bundle_key, texture_name, asset_type, groups> of a manifest record (a map of texts).
+
+    The bundle key falls back to ``key``, the texture name to ``texture``; a present field wins even if it is blank. The
+    type rule also reads ``assetType``, ``source`` in place of a key, and a scene from ``scene``, ``scene_path`` or ``map``.
+    """
+    def first_present(*names: str) -> Column:
+        out = F.lit(None).cast("string")
+        for name in reversed(names):
+            out = F.when(F.map_contains_key(record, name), record[name]).otherwise(out)
+        return out
+
+    scene = F.coalesce(*[F.when(_filled(record[name]), record[name]) for name in ("scene", "scene_path", "map")])
+    listed = F.from_json(record["groups"], "array<string>")
+    given = F.when(record["groups"].rlike(r"^\s*\["), listed).when(record["groups"].isNotNull(), F.array(record["groups"]))
+    return F.struct(
+        first_present("bundle_key", "key").alias("bundle_key"),
+        first_present("texture_name", "texture").alias("texture_name"),
+        asset_type(first_present("asset_type", "assetType"), first_present("bundle_key", "key", "source"), scene).alias("asset_type"),
+        groups(given, record["map"], record["category"]).alias("groups"),
+    )
+
+
 def bundle_asset_type(explicit: Column, key: Column) -> Column:
     """Rule for bundles: anything that is not an item belongs to a map."""
     return (

@@ -176,15 +176,29 @@ def asset_groups(t):
 
 @TEXT.query(
     "p03_metadata_names",
-    "SELECT path_id, coalesce(asset_type, bundle_key) AS bundle_key, coalesce(category, texture) AS texture_name FROM texture_names",
+    """WITH m AS (SELECT *, path_id%3 AS k, CASE WHEN path_id%3=2 AND path_id%2=0 THEN NULL ELSE bundle_key END AS key,
+      CASE WHEN path_id%4=1 THEN map END AS scene FROM texture_names),
+    n AS (SELECT path_id, CASE WHEN k=0 THEN bundle_key WHEN k=1 THEN bundle_key END AS bundle_key, CASE WHEN path_id%5=0 THEN category ELSE texture END AS texture_name,
+      CASE WHEN asset_type IN ('item','map') THEN asset_type WHEN lower(bundle_key) LIKE '%/items/%' OR lower(bundle_key) LIKE '%/usable_items/%' THEN 'item'
+        WHEN map IS NOT NULL AND map<>'' THEN 'map' ELSE 'unknown' END AS asset_type,
+      concat_ws('|', CASE WHEN path_id%6=0 THEN 'g' END, CASE WHEN path_id%4=0 THEN map END, category) AS groups FROM m)
+    SELECT * FROM n""",
     "texture_names",
 )
 def metadata_names(t):
-    return t.texture_names.select(
-        "path_id",
-        F.coalesce("asset_type", "bundle_key").alias("bundle_key"),
-        F.coalesce("category", "texture").alias("texture_name"),
-    )
+    """Records that name their bundle, texture, type and scene in different fields."""
+    p = F.col("path_id")
+    fields = {
+        "bundle_key": F.when(p % 3 == 0, F.col("bundle_key")), "key": F.when(p % 3 == 1, F.col("bundle_key")), "source": F.when(p % 3 == 2, F.col("bundle_key")),
+        "texture_name": F.when(p % 5 == 0, F.coalesce("category", F.lit("\0"))), "texture": F.col("texture"),
+        "asset_type": F.when(p % 2 == 0, F.col("asset_type")), "assetType": F.when(p % 2 == 1, F.col("asset_type")),
+        "scene": F.when(p % 4 == 1, F.col("map")), "scene_path": F.when(p % 4 > 1, F.col("map")), "map": F.when(p % 4 == 0, F.col("map")),
+        "groups": F.when(p % 6 == 0, F.lit('["g", " "]')), "category": F.col("category"),
+    }
+    entries = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in fields.items()]))
+    named = t.texture_names.select("path_id", selection.normalized_metadata(F.map_from_entries(entries)).alias("m"))
+    name = F.nullif(F.col("m.texture_name"), F.lit("\0"))
+    return named.select("path_id", "m.bundle_key", name.alias("texture_name"), "m.asset_type", F.concat_ws("|", "m.groups").alias("groups"))
 
 
 def _sql_list(values):

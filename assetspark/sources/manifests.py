@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+from .json_files import json_entries, numbered_lines
+
 RECORD = T.MapType(T.StringType(), T.StringType())
 
 # explicit schema of the result rows written by sinks.write_results
@@ -49,10 +52,32 @@ def manifest_records(documents: DataFrame, column: str, lines: bool = False) ->
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest file: JSONL is split by line, other JSON is read whole."""
-    lines = path.lower().endswith(".jsonl")
-    texts = spark.read.text(path, wholetext=not lines)
-    return manifest_records(texts.filter(F.trim("value") != "").withColumn("source", F.lit(path)), "value", lines)
+    """Records of a manifest file: source, line (of a JSONL row, else null), record and error.
+
+    JSONL is split by line. A JSON file is a list, or an object whose list lives in assets, entries or records, tried in this
+    order; it is cut into entries, so the file is never one row.
+    """
+    if path.lower().endswith(".jsonl"):
+        lines = numbered_lines(spark, path).filter(F.trim("value") != "")
+        rows = lines.withColumn("record", F.when(F.col("value").rlike(r"^\s*\{"), F.from_json("value", RECORD)))
+        error = F.when(F.col("record").isNull(), "unsupported_manifest")
+        return rows.select(F.lit(path).alias("source"), F.col("line").cast("long").alias("line"), "record", error.alias("error"))
+    entries = json_entries(spark, path, object_depth=2)
+    order = F.when(F.col("name").isNull(), 0)
+    for i, name in enumerate(("assets", "entries", "records"), 1):
+        order = order.when((F.col("name") == name) & (F.col("container") == "list"), i)
+    ranked = entries.withColumn("_order", order).filter("_order is not null and not damaged")
+    first = ranked.groupBy("path").agg(F.min("_order").alias("_first"))
+    chosen = ranked.join(first, "path").filter("_order = _first").withColumn("record", F.from_json("value", RECORD))
+    records = chosen.select("record", F.when(F.col("record").isNull(), "not_an_object").alias("error"))
+    # a file without entries of its own is told apart from an empty list by its text
+    named = spark.read.option("lineSep", ",").text(path).agg(
+        F.coalesce(F.bool_or(F.col("value").rlike(r'^\s*\[\s*\]\s*$|"(assets|entries|records)"\s*:\s*\[\s*\]')), F.lit(False)).alias("bare"), F.lit(1).alias("_one")
+    )
+    found = first.agg(F.count("*").alias("found"), F.lit(1).alias("_one"))
+    missing = named.filter("not bare").join(found, "_one").filter("found = 0")  # one row each
+    wrong = missing.select(F.lit(None).cast(RECORD).alias("record"), F.lit("unsupported_manifest").alias("error"))
+    return records.unionByName(wrong).select(F.lit(path).alias("source"), F.lit(None).cast("long").alias("line"), "record", "error")
 
 
 CATALOG = T.MapType(T.StringType(), T.StructType([T.StructField("Dependencies", T.ArrayType(T.StringType()))]))
@@ -64,6 +89,12 @@ def catalog_dependencies(texts: DataFrame, column: str) -> DataFrame:
     return entries.select("bundle_key", F.explode("entry.Dependencies").alias("depends_on")).distinct()
 
 
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """(bundle_key, depends_on) rows of a catalog file, read entry by entry."""
+    members = json_entries(spark, path, object_depth=1).filter("name is not null")
+    return catalog_dependencies(members.select(F.concat(F.lit('{"'), "name", F.lit('":'), "value", F.lit("}")).alias("value")), "value")
+
+
 def profile_violations(bundles: DataFrame, targets: DataFrame) -> DataFrame:
     """Violations of a collection profile as (kind, name) rows.
 
@@ -110,6 +141,29 @@ def inventory_sections(texts: DataFrame, column: str) -> DataFrame:
     )
 
 
+def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of an inventory file: section (records, materials or renderers), number, record, schema_version and error.
+
+    Sections may be absent. A file of another schema than 1 to 3, or a damaged one, is a single row with an error.
+    """
+    entries = cut_lineage(json_entries(spark, path, object_depth=2))
+    state = entries.agg(
+        F.max(F.when((F.col("name") == "schema_version") & (F.col("container") == "member"), F.col("value").try_cast("int"))).alias("schema_version"),
+        F.coalesce(F.bool_or("damaged"), F.lit(False)).alias("damaged"),
+    )
+    error = F.when(F.col("damaged"), "damaged_json").when(~F.coalesce(F.col("schema_version").isin(1, 2, 3), F.lit(False)), "unsupported_schema")
+    state = state.select("schema_version", error.alias("error"), F.lit(1).alias("_one"))  # one row
+    rows = entries.filter("container = 'list'").filter(F.col("name").isin("records", "materials", "renderers"))
+    good = rows.withColumn("_one", F.lit(1)).join(state.filter("error is null"), "_one").select(
+        F.col("name").alias("section"), "number", F.from_json("value", RECORD).alias("record"), "schema_version",
+        F.when(F.from_json("value", RECORD).isNull(), "not_an_object").alias("error"),
+    )
+    bad = state.filter("error is not null").select(
+        F.lit(None).cast("string").alias("section"), F.lit(None).cast("long").alias("number"), F.lit(None).cast(RECORD).alias("record"), "schema_version", "error"
+    )
+    return good.unionByName(bad)
+
+
 def load_results(spark: SparkSession, path: str) -> DataFrame:
     """Result JSONL; a damaged line stops the read."""
     return spark.read.schema(RESULT).json(path, mode="FAILFAST")
