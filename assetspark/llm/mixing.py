@@ -11,8 +11,9 @@ from .common import word_count
 #: Slots that a source has at least (if it has as many words), and the largest block in words.
 MIN_SLOTS = 256
 MAX_BLOCK = 2048
-#: The golden ratio as a fraction of 2^32.
-GOLDEN = 2654435769
+#: The golden ratio's fraction in units of 2^-53.
+GOLDEN = 5566755282872655
+BITS = 53
 #: Slots of one generated part of the sequence, and units of the cumulative weights in one cell.
 PART = 65536
 CELL = 256
@@ -70,6 +71,22 @@ def block_layout(targets: DataFrame) -> DataFrame:
     )
 
 
+def golden_point(n: Column) -> Column:
+    """n times the golden ratio modulo 1, in units of 2^-53, for any n below 2^43 without leaving 64 bits.
+
+    Both factors are split, and parts of a product that only fill whole turns are cut off.
+    """
+    high, low = GOLDEN >> 26, GOLDEN & ((1 << 26) - 1)
+    n1, n0 = F.floor(n / (1 << 20)), n.bitwiseAND((1 << 20) - 1)
+    total = (
+        n0 * F.lit(low)
+        + (n0 * F.lit(high)).bitwiseAND((1 << (BITS - 26)) - 1) * F.lit(1 << 26)
+        + (n1 * F.lit(low)).bitwiseAND((1 << (BITS - 20)) - 1) * F.lit(1 << 20)
+        + (n1 * F.lit(high)).bitwiseAND((1 << (BITS - 46)) - 1) * F.lit(1 << 46)
+    )
+    return total.bitwiseAND((1 << BITS) - 1)
+
+
 def schedule(layout: DataFrame) -> DataFrame:
     """The slots of the mix: (slot, nr, rank), to be read in the order of ``slot``.
 
@@ -89,8 +106,8 @@ def schedule(layout: DataFrame) -> DataFrame:
         drawn.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_drawn") - 1) / PART))))
         .repartition("_part")
         .withColumn("slot", F.explode(F.sequence(F.col("_part") * PART, last)))
-        .withColumn("_unit", ((F.col("slot") + 1) * GOLDEN).bitwiseAND(0xFFFFFFFF))
-        .withColumn("_at", F.floor(F.col("_unit") / F.lit(4294967296.0) * F.col("_total")))
+        .withColumn("_unit", golden_point(F.col("slot") + 1))
+        .withColumn("_at", F.floor(F.col("_unit") / F.lit(float(1 << BITS)) * F.col("_total")))
         .select("slot", "_part", "_at", F.floor(F.col("_at") / CELL).alias("_cell"))
     )
     cells = layout.filter("slots > 0").select(
@@ -125,13 +142,14 @@ def mix_plan(
     docs: DataFrame, weights: list[int], share: float = 1.5, limit: float = 2.0,
     size: Column | None = None, id_col: str = "doc_id",
 ) -> DataFrame:
-    """One row per document: id, size, source, source_size, target, taken, full_takes.
+    """One row per document: id, source, size, source_size, target, taken, full_takes, first_slot and slots.
 
     Every source's documents are shuffled by a hash of their id and cut into blocks of equal
     words. Each slot of the schedule takes the next block of its source; after the last block
     the source starts again. The last slot of a source is cut to its target. ``taken`` counts a
     document's words inside the blocks taken, repeats included; it never exceeds ``limit``
-    times the size. ``full_takes`` says how often the document's first word was taken.
+    times the size. ``full_takes`` says how often the document's first word was taken, ``slots`` how many slots take
+    words of it, and ``first_slot`` is the first of them (null if there is none): the place of the document in the mix.
 
     Running word sums are made per slice of the shuffled order and joined by the totals of the
     slices, so a source with a third of all rows is spread over thousands of windows.
@@ -141,7 +159,14 @@ def mix_plan(
     """
     size = word_count(F.col("text")) if size is None else size
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = cut_lineage(docs.select(F.col(id_col).alias("_id"), "source", size.alias("size"), key.alias("_key")))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), "source", size.alias("size"), key.alias("_key"))
+    return _planned(cut_lineage(rows), weights, share, limit).select(
+        F.col("_id").alias(id_col), "source", "size", "source_size", "target", "taken", "full_takes", "first_slot", "slots"
+    )
+
+
+def _planned(rows: DataFrame, weights: list[int], share: float, limit: float) -> DataFrame:
+    """The plan of stored rows (_row, _id, source, size, _key), with ``_firsts``, the slots that take the first word."""
     rows = rows.withColumn("_slice", F.substring("_key", 1, 3))
     slices = rows.groupBy("source", "_slice").agg(F.sum("size").alias("_words"))
     sizes = slices.groupBy("source").agg(F.sum("_words").alias("source_size"))
@@ -151,14 +176,14 @@ def mix_plan(
     offsets = slices.select(
         F.col("source").alias("_source"), F.col("_slice").alias("_of"), F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy("source", "_slice").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_slice").orderBy("_key", "_id", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_of")))
         .withColumn("_start", F.col("_offset") + F.col("_before"))
         .drop("_source")
         .join(layout.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-        .select("_id", "source", "nr", "size", "source_size", "target", "block_words", "_start")
+        .select("_row", "_id", "source", "nr", "size", "source_size", "target", "block_words", "_start")
     )
 
     # words of its block that a slot takes: all, or what the source's target leaves
@@ -172,37 +197,43 @@ def mix_plan(
         .filter("_words > 0")
         # a block is taken once a turn, at most twice at the default limit
         .groupBy("nr", "_block")
-        .agg(F.collect_list("_words").alias("_takes"))
+        .agg(F.collect_list(F.struct("slot", "_words")).alias("_takes"))
     )
     start, end, at = F.col("_start"), F.col("_start") + F.col("size"), F.col("_block") * F.col("block_words")
     blocks_of = F.sequence(F.floor(start / F.col("block_words")), F.floor(F.greatest(start, end - 1) / F.col("block_words")))
-    none = F.array().cast("array<bigint>")
-    held = lambda w: F.greatest(F.lit(0).cast("long"), F.least(end, at + w) - F.greatest(start, at))
+    none = F.array().cast("array<struct<slot:bigint,_words:bigint>>")
+    held = lambda t: F.greatest(F.lit(0).cast("long"), F.least(end, at + t["_words"]) - F.greatest(start, at))
     pieces = (
         placed.withColumn("_block", F.explode(blocks_of))
         .join(takes, ["nr", "_block"], "left")
         .withColumn("_takes", F.coalesce("_takes", none))
-        .withColumn("_taken", F.aggregate("_takes", F.lit(0).cast("long"), lambda s, w: s + held(w)))
-        .withColumn("_full", F.when((at <= start) & (start < at + F.col("block_words")), F.size(F.filter("_takes", lambda w: start < at + w))).otherwise(0))
+        .withColumn("_taken", F.aggregate("_takes", F.lit(0).cast("long"), lambda s, t: s + held(t)))
+        .withColumn("_slots", F.transform(F.filter("_takes", lambda t: held(t) > 0), lambda t: t["slot"]))
+        .withColumn("_here", (at <= start) & (start < at + F.col("block_words")))
+        .withColumn("_starts", F.when(F.col("_here"), F.transform(F.filter("_takes", lambda t: start < at + t["_words"]), lambda t: t["slot"])).otherwise(F.array().cast("array<bigint>")))
     )
+    # only the block of the first word has starts, so one list is as long as the limit
     return (
-        pieces.groupBy("_id", "nr", "source", "size", "source_size", "target", "_start", F.when(F.col("size") == 0, F.md5(F.col("_id").cast("string"))).alias("_empty"))
-        .agg(F.sum("_taken").alias("taken"), F.sum("_full").cast("int").alias("full_takes"), F.count("*").alias("_rows"))
-        # rows without words share a place: give back as many as there were
-        .withColumn("_rows", F.when(F.col("size") == 0, F.col("_rows")).otherwise(1))
-        .withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))))
-        .select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "taken", "full_takes")
+        pieces.groupBy("_row")
+        .agg(
+            *[F.first(c).alias(c) for c in ("_id", "source", "size", "source_size", "target")], F.sum("_taken").alias("taken"),
+            F.sum(F.size("_starts")).cast("int").alias("full_takes"), F.min(F.array_min("_slots")).alias("first_slot"),
+            F.sum(F.size("_slots")).alias("slots"), F.max_by("_starts", F.size("_starts")).alias("_firsts"),
+        )
     )
 
 
 def mixed_documents(docs: DataFrame, weights: list[int], share: float = 1.5, limit: float = 2.0) -> DataFrame:
-    """The mix as whole documents: each is repeated as often as its first word was taken."""
-    plan = mix_plan(docs, weights, share, limit).select(F.col("doc_id").alias("_id"), "full_takes").filter("full_takes > 0")
-    # repeated rows of one id are one document here: their takes are spread over equal rows
-    times = plan.groupBy("_id").agg(F.sum("full_takes").alias("_times"), F.count("*").alias("_rows"))
-    each = F.greatest(F.lit(1), F.round(F.col("_times") / F.col("_rows"))).cast("int")
-    return (
-        docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), each)))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    """The mix as whole documents in the order of its slots: each stands at every slot that takes its first word.
+
+    Columns are those of ``docs``, whatever their names. Every row counts by itself, repeated rows and null ids too; rows
+    without words are left out, as no slot takes them. The rows are stored once to give each an identity.
+    """
+    names = docs.columns
+    private = [f"c{i}" for i in range(len(names))]
+    held = cut_lineage(docs.select(F.monotonically_increasing_id().alias("_row"), *[docs[n].alias(p) for n, p in zip(names, private, strict=True)]))
+    named = {n: F.col(p) for n, p in zip(names, private, strict=True)}
+    key = F.md5(F.coalesce(named["doc_id"].cast("string"), F.lit("")))
+    rows = cut_lineage(held.select("_row", named["doc_id"].alias("_id"), named["source"].alias("source"), word_count(named["text"]).alias("size"), key.alias("_key")))
+    plan = _planned(rows, weights, share, limit).filter("full_takes > 0 and size > 0").select("_row", F.explode("_firsts").alias("_slot"))
+    return held.join(plan, "_row").orderBy("_slot", "_row").select(*[F.col(p).alias(n) for n, p in zip(names, private, strict=True)])

@@ -211,15 +211,42 @@ t AS (
   SELECT source, source_size,
          coalesce(least(cap, weight * (SELECT arg_min(level, full_at) FROM l WHERE full_at > level)), cap) AS target
   FROM l),
+g AS (
+  SELECT s.nr, s.source, s.source_size, t.target, round(t.target)::BIGINT AS take_words, greatest(1, least(2048, floor(t.target / 256)))::BIGINT AS bw
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+h AS (
+  SELECT *, ceil(source_size / bw)::BIGINT AS blocks,
+         CASE WHEN source_size > 0 THEN floor(take_words / source_size) ELSE 0 END::BIGINT AS turns FROM g),
+lay AS (
+  SELECT *, sum(slots) OVER (ORDER BY nr) - slots AS lo, sum(slots) OVER (ORDER BY nr) AS hi FROM (
+    SELECT *, (turns * blocks + ceil((take_words - turns * source_size) / bw))::BIGINT AS slots FROM h)),
+n AS (SELECT sum(slots)::BIGINT AS total, (sum(slots) + floor(sum(slots) / 16) + 64 * count(*))::BIGINT AS drawn FROM lay HAVING sum(slots) > 0),
+pt AS (
+  SELECT slot, floor(((slot + 1)::HUGEINT * 5566755282872655 % 9007199254740992)::DOUBLE / 9007199254740992.0::DOUBLE * total)::BIGINT AS pos
+  FROM n, unnest(range(drawn)) AS u(slot)),
+dr AS (
+  SELECT slot, nr, slots, row_number() OVER (PARTITION BY nr ORDER BY slot) - 1 AS rank
+  FROM pt JOIN lay ON pt.pos >= lay.lo AND pt.pos < lay.hi),
+gt AS (SELECT nr, slots, (SELECT count(*) FROM dr WHERE dr.nr = lay.nr) AS got FROM lay),
+ms AS (
+  SELECT drawn + skip + r - got AS slot, nr, r AS rank FROM (
+    SELECT *, coalesce(sum(slots - got) OVER (ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS skip FROM gt WHERE slots > got),
+  n, unnest(range(got, slots)) AS u(r)),
+sc AS (SELECT slot, nr, rank FROM dr WHERE rank < slots UNION ALL SELECT slot, nr, rank FROM ms),
+tk AS (
+  SELECT nr, slot, (rank % blocks) * bw AS pos,
+         least(least(bw, source_size - (rank % blocks) * bw), take_words - ((rank // blocks) * source_size + (rank % blocks) * bw)) AS words
+  FROM sc JOIN lay USING (nr)),
 p AS (
-  SELECT d.*, source_size, target,
+  SELECT d.doc_id, d.size, lay.nr, lay.source_size, lay.target, row_number() OVER () AS r,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (least(size, greatest(0, round(target)::BIGINT - start))
-        + greatest(0, least(size, round(target)::BIGINT - source_size - start)))::BIGINT AS taken
-FROM p""",
+  FROM d JOIN lay ON d.source IS NOT DISTINCT FROM lay.source),
+x AS (
+  SELECT r, slot, least(start + size, pos + words) - greatest(start, pos) AS held
+  FROM p JOIN tk ON tk.nr = p.nr AND words > 0 AND pos < start + size AND pos + words > start)
+SELECT doc_id, size, source_size, target, coalesce(sum(held), 0)::BIGINT AS taken, min(slot)::BIGINT AS first_slot, count(slot)::BIGINT AS slots
+FROM p LEFT JOIN x USING (r) GROUP BY r, doc_id, size, source_size, target""",
     "op11_exact_topk": """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q

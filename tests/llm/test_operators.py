@@ -11,7 +11,7 @@ import pytest
 from oracle_compare import compare, connect
 from pyspark.sql import functions as F
 
-from assetspark.llm import license_scan, near_dedup, packing, quality_model, quality_rules, queries, repeated_spans, token_counts, url_filter
+from assetspark.llm import license_scan, mixing, near_dedup, packing, quality_model, quality_rules, queries, repeated_spans, token_counts, url_filter
 from assetspark.llm.common import lower_ascii
 from assetspark.llm.exact_dedup import drop_copies, exact_groups
 from assetspark.llm.mixing import mix_plan, mixed_documents, schedule
@@ -368,8 +368,52 @@ def test_mix(docs, empty):
     for group in by_source.values():
         assert sum(r.size for r in group) == group[0].source_size
         assert sum(r.taken for r in group) == round(group[0].target)
-    assert mix_plan(empty, [5, 2, 1]).count() == 0
-    assert mixed_documents(docs, [5, 2, 1]).columns == docs.columns
+    assert all((r.first_slot is None) == (r.taken == 0) and (r.slots > 0) == (r.taken > 0) for r in rows)
+    assert mix_plan(empty, [5, 2, 1]).count() == 0 and mixed_documents(empty, [5, 2, 1]).count() == 0
+
+
+def test_mixed_documents_keep_rows_apart(spark):
+    rows = [(None, f"null {i} " + "w " * (i % 7), "a") for i in range(40)] + [(i % 30, f"text {i} " + "w " * (i % 9), "ab"[i % 2]) for i in range(90)]
+    clash = ["_times", "_rows", "_copy", "_row", "_slot", "_id", "slot", "rank", "size", "c0"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit("x").alias(c) for c in clash])
+    got = mixed_documents(df, [5, 2, 1])
+    assert got.columns == df.columns
+    plan = mix_plan(df, [5, 2, 1]).collect()
+    # equal counts per id and size, also where ids repeat or are null
+    want = Counter()
+    for r in plan:
+        want[r.doc_id, r.size] += r.full_takes
+    assert Counter((r.doc_id, len(words(r.text))) for r in got.collect()) == +want
+    again = [(r.doc_id, r.text) for r in mixed_documents(df, [5, 2, 1]).collect()]
+    assert again == [(r.doc_id, r.text) for r in got.collect()]
+
+
+def test_golden_points_are_exact_beyond_four_billion_slots(spark):
+    ns = [1, 2, 4_000_000_000, 3_474_000_001, (1 << 32) + 5, (1 << 40) + 12345, (1 << 43) - 1]
+    got = [r.u for r in spark.createDataFrame([(n,) for n in ns], "n long").select(mixing.golden_point(F.col("n")).alias("u")).collect()]
+    assert got == [n * mixing.GOLDEN % (1 << 53) for n in ns]
+
+
+def test_schedule_keeps_every_prefix_near_the_shares(spark, monkeypatch):
+    sizes = {1: 900, 2: 300, 3: 60, 4: 7}
+    ends = np.cumsum(list(sizes.values())).tolist()
+    layout = spark.createDataFrame([(nr, n, e - n, e) for (nr, n), e in zip(sizes.items(), ends)], "nr long, slots long, _from long, _to long")
+
+    def worst():
+        order = [r.nr for r in schedule(layout).orderBy("slot").collect()]
+        assert Counter(order) == sizes
+        seen, far = Counter(), 0.0
+        for i, nr in enumerate(order, 1):
+            seen[nr] += 1
+            far = max(far, *(abs(seen[k] - i * n / ends[-1]) for k, n in sizes.items()))
+        return far
+
+    assert worst() < 6
+    df = spark.createDataFrame([(i, "w " * 40, "ab"[i % 3 == 0]) for i in range(60)], "doc_id long, text string, source string")
+    plan = lambda: sorted((r.doc_id, r.first_slot) for r in mix_plan(df, [5, 2, 1]).collect())
+    before = plan()
+    monkeypatch.setattr(mixing, "GOLDEN", 1)
+    assert worst() > 100 and plan() != before
 
 
 def test_schedule_gives_every_source_its_slots(spark):
