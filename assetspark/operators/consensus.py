@@ -308,6 +308,13 @@ def number_regions(chosen: DataFrame, label: str) -> DataFrame:
     return numbered.withColumn("region_label", F.format_string(f"{label}-%03d", F.col("_no").cast("int"))).drop("_no")
 
 
+def selected_regions(regions: DataFrame, stages: DataFrame, stage: str, only_fallback: bool = True) -> DataFrame:
+    """Regions of the targets whose newest record of ``stage`` passed; of those only the ones that ask for a fallback reading."""
+    newest = stages.filter(F.col("stage") == stage).groupBy("target_id").agg(F.max_by("status", F.struct("ts", "status")).alias("status"))
+    wanted = regions.filter(F.coalesce("needs_ocr_fallback", F.lit(False))) if only_fallback else regions
+    return wanted.join(newest.filter("status = 'pass'"), "target_id", "left_semi")
+
+
 # ---- greedy suppression ---------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arithmetic import count_where
-from ..functions.ids import asset_id, sha256_hex
+from ..functions.ids import asset_id, field_text, sha256_hex
 from ..functions.text import agreement_text, casefold, is_blank, nfc, script_letters, similarity
 from ..session import cut_lineage
 
@@ -593,6 +593,45 @@ def search_names(index: DataFrame, query: str) -> DataFrame:
     return index.filter(F.contains(F.lower("name"), F.lit(query.lower()))).orderBy("name", "bundle_key")
 
 
+def cache_status(results: DataFrame, reviews: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: stored results, assets with a visible review, review rows, the newest run and its summary.
+
+    ``reviews`` is the log of decisions, ``runs`` has run_id, finished_at and summary; a run that never finished is passed over.
+    """
+    shown = current_reviews(reviews).agg(F.count("*").alias("reviewed_assets"))
+    logged = reviews.agg(F.count("*").alias("review_rows"), F.max("reviewed_at").alias("latest_review"))
+    stored = results.agg(F.count("*").alias("cached_results"))
+    done = runs.filter("finished_at is not null").agg(
+        F.max_by(F.struct("run_id", "summary"), F.struct("finished_at", "run_id")).alias("_run"), F.max("finished_at").alias("latest_run_at")
+    )
+    rows = [part.withColumn("_one", F.lit(1)) for part in (stored, shown, logged, done)]  # one row each
+    joined = rows[0].join(rows[1], "_one").join(rows[2], "_one").join(rows[3], "_one")
+    return joined.select(
+        "cached_results", "reviewed_assets", "review_rows", "latest_review", F.col("_run.run_id").alias("latest_run"), F.col("_run.summary").alias("latest_summary"), "latest_run_at"
+    )
+
+
+def prefer_edited(wanted: DataFrame, edited: DataFrame, raw: DataFrame) -> DataFrame:
+    """Source of each wanted name: the edited file if there is one, else the raw one; names with neither are left out.
+
+    ``wanted``: name and any other columns; ``edited`` and ``raw``: name, file (one row a name).
+    """
+    both = wanted.join(edited.select("name", F.col("file").alias("_edited")), "name", "left").join(
+        raw.select("name", F.col("file").alias("_raw")), "name", "left"
+    )
+    return both.withColumn("source", F.coalesce("_edited", "_raw")).drop("_edited", "_raw").filter("source is not null")
+
+
+def reusable_by_fingerprint(work: DataFrame, cache: DataFrame, fields: list[str]) -> DataFrame:
+    """Work rows with the fingerprint of ``fields`` and whether the cache (fingerprint) holds it.
+
+    Fields are hashed with their lengths, nulls told apart, so no two settings share a fingerprint.
+    """
+    marked = work.withColumn("fingerprint", sha256_hex(field_text(*[F.col(c) for c in fields])))
+    held = cache.select("fingerprint").distinct().withColumn("_held", F.lit(True))
+    return marked.join(held, "fingerprint", "left").withColumn("reused", F.coalesce("_held", F.lit(False))).drop("_held")
+
+
 def cache_state(work: DataFrame, cache: DataFrame, force: bool = False) -> DataFrame:
     """``hit`` rows reuse the stored result; corrupt JSON counts as a miss."""
     parsed = F.try_parse_json("result_json")

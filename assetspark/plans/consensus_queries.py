@@ -350,22 +350,12 @@ def completeness(t):
 
 @CONSENSUS.query(
     "p12_region_selection",
-    """WITH st AS (SELECT target_id, arg_max(status, ts) AS status FROM stage_log WHERE stage='view' GROUP BY 1)
+    """WITH st AS (SELECT target_id, arg_max(status, {'t': ts, 's': status}) AS status FROM stage_log WHERE stage='view' GROUP BY 1)
     SELECT r.target_id, region_id FROM regions r JOIN st USING (target_id) WHERE status='pass' AND needs_ocr_fallback""",
     "regions stage_log",
 )
 def region_selection(t):
-    passed = (
-        t.stage_log.filter("stage = 'view'")
-        .groupBy("target_id")
-        .agg(F.max_by("status", "ts").alias("status"))
-        .filter("status = 'pass'")
-    )
-    return (
-        t.regions.filter("needs_ocr_fallback")
-        .join(passed, "target_id", "left_semi")
-        .select("target_id", "region_id")
-    )
+    return consensus.selected_regions(t.regions, t.stage_log, "view").select("target_id", "region_id")
 
 
 @CONSENSUS.query(

@@ -277,16 +277,20 @@ def summary(t):
 
 @SELECTION.query(
     "a58_cache_status",
-    """SELECT count(*) AS rows, count(DISTINCT asset_id) AS assets, max(reviewed_at) AS latest FROM review_log""",
+    """WITH c AS (SELECT asset_id, arg_max(decision, {'t': reviewed_at, 'd': decision, 'r': reviewer}) AS decision FROM review_log GROUP BY 1),
+    u AS (SELECT o_custkey AS run_id, max(CASE WHEN o_orderkey%3<>0 THEN o_orderdate END) AS finished_at, count(*) AS n FROM orders GROUP BY 1),
+    l AS (SELECT * FROM u WHERE finished_at IS NOT NULL ORDER BY finished_at DESC, run_id DESC LIMIT 1)
+    SELECT (SELECT count(DISTINCT sha256(text)) FROM documents) AS cached_results, (SELECT count(*) FROM c WHERE decision<>'clear') AS reviewed_assets,
+    (SELECT count(*) FROM review_log) AS review_rows, (SELECT max(reviewed_at) FROM review_log) AS latest_review,
+    run_id AS latest_run, 'orders='||n AS latest_summary, finished_at AS latest_run_at FROM l""",
     "review_log",
 )
 def cache_status(t):
-    per_asset = t.review_log.groupBy("asset_id").agg(
-        F.count("*").alias("n"), F.max("reviewed_at").alias("at")
-    )
-    return per_asset.agg(
-        F.sum("n").alias("rows"), F.count("*").alias("assets"), F.max("at").alias("latest")
+    results = t.documents.select(F.sha2("text", 256).alias("cache_key")).distinct()
+    runs = t.orders.groupBy(F.col("o_custkey").alias("run_id")).agg(
+        F.max(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate"))).alias("finished_at"), F.concat(F.lit("orders="), F.count("*")).alias("summary")
     )
+    return selection.cache_status(results, t.review_log, runs)
 
 
 @SELECTION.query(
@@ -420,15 +424,10 @@ def materialize_actions(t):
 )
 def preferred_source(t):
     p = F.col("p_partkey")
-    listing = t.part.filter("p_partkey % 3 = 0").select(F.concat(F.lit("edited/"), p).alias("file")).unionByName(
-        t.part.filter("p_partkey % 2 = 0").select(F.concat(F.lit("raw/"), p).alias("file"))
-    )
-    edited = listing.select(F.col("file").alias("edited"))
-    raw = listing.select(F.col("file").alias("raw"))
-    return (
-        t.part.select(p)
-        .join(edited, F.concat(F.lit("edited/"), p) == F.col("edited"), "left")
-        .join(raw, F.concat(F.lit("raw/"), p) == F.col("raw"), "left")
-        .select("p_partkey", F.coalesce("edited", "raw").alias("source"))
-        .filter("source is not null")
-    )
+
+    def files(folder, chosen):
+        return t.part.filter(chosen).select(p.alias("name"), F.concat(F.lit(folder), p).alias("file"))
+
+    wanted = t.part.select(p.alias("name"))
+    chosen = selection.prefer_edited(wanted, files("edited/", "p_partkey % 3 = 0"), files("raw/", "p_partkey % 2 = 0"))
+    return chosen.select(F.col("name").alias("p_partkey"), "source")

@@ -155,28 +155,55 @@ def latest_run(t):
     return sinks.latest_run(runs)
 
 
+def _stored_results(t):
+    """Results written by the sink; the folder they lie in."""
+    rows = selection.classify(t.detections).select(
+        F.col("asset_id").cast("string").alias("asset_id"), F.concat(F.lit("img/"), "asset_id").alias("representative_source"),
+        F.lit("ok").alias("status"), "tier", "score", F.nullif(F.col("scripts"), F.lit("")).alias("text"),
+    )
+    folder = f"{shared_folder(t.spark)}/assetspark-{uuid.uuid4().hex}"
+    sinks.write_results(rows, folder)
+    return folder
+
+
+_STORED = "st AS (SELECT asset_id::VARCHAR AS asset_id, 'img/'||asset_id AS representative_source, 'ok' AS status, tier, score, nullif(scripts,'') AS text FROM c)"
+
+
 @SOURCES.query(
     "s12_result_rows",
-    f"""WITH {_CLASSIFY} SELECT asset_id, tier, score, '{{"asset_id":'||asset_id||',"scripts":"'||scripts||'","tier":"'||tier||'"}}' AS line FROM c""",
+    f"WITH {_CLASSIFY}, {_STORED} SELECT row_number() OVER (ORDER BY asset_id) AS position, asset_id, tier, text IS NULL AS no_text FROM st",
     "detections",
 )
 def result_rows(t):
-    rows = selection.classify(t.detections)
-    line = F.to_json(F.struct("asset_id", "scripts", "tier"))
-    return rows.select("asset_id", "tier", "score", line.alias("line"))
+    """The sorted lines of the written files, in the order of files and lines; null fields are written."""
+    lines = sinks.lines_in_order(t.spark, _stored_results(t))
+    fields = F.from_json("value", "asset_id string, tier string", {"mode": "FAILFAST"})
+    return lines.select("position", fields.alias("r"), F.contains("value", F.lit('"text":null')).alias("no_text")).select("position", "r.*", "no_text")
+
+
+@SOURCES.query("s11_result_load", f"WITH {_CLASSIFY}, {_STORED} SELECT * FROM st", "detections")
+def result_load(t):
+    """Written results read back with the fail-fast reader."""
+    return manifests.load_results(t.spark, _stored_results(t))
 
 
 @SOURCES.query(
-    "s11_result_load",
-    f"WITH {_CLASSIFY} SELECT asset_id, tier FROM c",
-    "detections",
+    "s14_run_record",
+    """WITH p AS (SELECT CASE WHEN asset_type IN ('item','map') THEN asset_type ELSE 'unknown' END AS name, count(*) AS n FROM texture_names GROUP BY 1),
+    u AS (SELECT 'asset_type/'||name AS name, n FROM p UNION ALL SELECT 'total/total_sources', sum(n)::BIGINT FROM p UNION ALL SELECT 'total/color_candidates', sum(n)::BIGINT FROM p
+      UNION ALL SELECT 'total/skipped_non_color', 0)
+    SELECT 'run-1' AS run_id, 1 AS schema_version, true AS finished, ['part'] AS inputs, '{"limit":null}' AS config, name, n FROM u""",
+    "texture_names",
 )
-def result_load(t):
-    """Result lines parsed back with the fail-fast schema reader."""
-    rows = selection.classify(t.detections)
-    line = F.to_json(F.struct("asset_id", "tier"))
-    parsed = F.from_json(line, "asset_id bigint, tier string", {"mode": "FAILFAST"})
-    return rows.select(parsed.alias("r")).select("r.asset_id", "r.tier")
+def run_record(t):
+    kind = F.when(F.col("asset_type").isin("item", "map"), F.col("asset_type")).otherwise("unknown")
+    plan = selection.plan_counts(t.texture_names.select(kind.alias("asset_type"), F.lit(None).cast("string").alias("skip_reason")))
+    started = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    record = sinks.run_record("run-1", started, started, ["part"], {"limit": None}, plan, plan.limit(0))
+    folder = f"{shared_folder(t.spark)}/assetspark-{uuid.uuid4().hex}"
+    sinks.append_run(record, folder)
+    back = t.spark.read.parquet(folder)
+    return back.select("run_id", "schema_version", F.col("finished_at").isNotNull().alias("finished"), "inputs", "config", F.explode("plan").alias("name", "n"))
 
 
 @SOURCES.query(
@@ -271,16 +298,19 @@ def index_batches(t):
     return index.current()
 
 
+_FINGERPRINT = "sha256(coalesce(length(source)||':'||source,'-')||coalesce(length(lang)||':'||lang,'-')||'64:'||sha256(text))"
+
+
 @SOURCES.query(
     "r05_background_reuse",
-    """WITH w AS (SELECT doc_id, sha256(source||'|'||lang||'|'||sha256(text)) AS fp FROM documents), c AS (SELECT DISTINCT sha256(source||'|'||lang||'|'||sha256(text)) AS fp FROM documents WHERE doc_id%3=0)
-    SELECT doc_id, w.fp AS fingerprint, c.fp IS NOT NULL AS reused FROM w LEFT JOIN c ON c.fp=w.fp""",
+    f"""WITH w AS (SELECT doc_id, {_FINGERPRINT} AS fingerprint FROM documents)
+    SELECT doc_id, fingerprint, fingerprint IN (SELECT fingerprint FROM w WHERE doc_id%3=0) AS reused FROM w""",
 )
 def background_reuse(t):
-    fingerprint = F.sha2(F.concat_ws("|", "source", "lang", F.sha2("text", 256)), 256)
-    work = t.documents.select("doc_id", fingerprint.alias("fingerprint"))
-    cached = work.filter("doc_id % 3 = 0").select("fingerprint").distinct().withColumn("_c", F.lit(True))
-    return work.join(cached, "fingerprint", "left").select("doc_id", "fingerprint", F.col("_c").isNotNull().alias("reused"))
+    work = t.documents.select("doc_id", "source", "lang", F.sha2("text", 256).alias("content"))
+    fields = ["source", "lang", "content"]
+    cache = selection.reusable_by_fingerprint(work.filter("doc_id % 3 = 0"), t.spark.createDataFrame([], "fingerprint string"), fields)
+    return selection.reusable_by_fingerprint(work, cache, fields).select("doc_id", "fingerprint", "reused")
 
 
 @SOURCES.query(

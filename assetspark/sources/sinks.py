@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .json_files import numbered_lines
+
 
 def write_results(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Deterministic JSONL: columns by name, rows by (asset_id, source)."""
@@ -37,6 +41,36 @@ def write_summary(rows: DataFrame, path: str, mode: str = "errorifexists") -> No
     rows.orderBy("asset_id").write.mode(mode).option("header", "true").csv(path)
 
 
+def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """(position, value) of the lines of a folder of text files, files by name, positions from 1."""
+    lines = numbered_lines(spark, path)
+    counts = lines.groupBy("path").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    starts = counts.select("path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(starts, "path").select((F.col("_before") + F.col("line")).alias("position"), "value")
+
+
+def run_record(
+    run_id: str, started_at: Column, finished_at: Column, inputs: list[str], config: dict, plan: DataFrame, summary: DataFrame
+) -> DataFrame:
+    """The record of a run as one row; ``finished_at`` is null while it is in progress.
+
+    ``plan`` and ``summary`` are counters (counter, name, n), a few rows by type or reason, kept as maps
+    ``counter/name -> n``; ``config`` is written as JSON with sorted keys.
+    """
+
+    def counters(rows: DataFrame, out: str) -> DataFrame:
+        entry = F.struct(F.concat_ws("/", "counter", "name").alias("key"), F.col("n").cast("long").alias("value"))
+        return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(out)).withColumn("_one", F.lit(1))
+
+    both = counters(plan, "plan").join(counters(summary, "summary"), "_one")  # one row each
+    packed = json.dumps(config, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return both.select(
+        F.lit(run_id).alias("run_id"), F.lit(1).alias("schema_version"), started_at.alias("started_at"), finished_at.alias("finished_at"),
+        F.array(*[F.lit(i) for i in inputs]).cast("array<string>").alias("inputs"), F.lit(packed).alias("config"), "plan", "summary",
+    )
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """Pointer to the last finished run per collection."""
     return runs.groupBy("collection").agg(
