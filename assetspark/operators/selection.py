@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -293,11 +294,25 @@ def _prefix_tokens(text: Column, threshold: float) -> Column:
     return F.slice(F.array_sort(entries), F.lit(1), need.cast("int"))
 
 
+def _length_bands(length: Column, threshold: float) -> tuple[Column, Column]:
+    """Band of a text's length, and the bands that texts similar enough may have.
+
+    A ratio of at least t needs the shorter length to be t/(2-t) of the longer one. With bands of that step similar texts
+    lie in one band or in neighbours; for equal texts a band is one length.
+    """
+    step = (2 - threshold) / threshold
+    if step < 1.001:
+        return length.cast("int"), F.array(length.cast("int"))
+    band = F.floor(F.log(length) / math.log(step) + 1e-9).cast("int")
+    return band, F.array(band - 1, band, band + 1)
+
+
 def agreeing_assets(detections: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Assets where two engines read (nearly) the same target text.
 
     Equal texts are found by grouping. Unequal texts are compared only when
-    they share a prefix token, and each distinct text pair is scored once.
+    they share a prefix token, their lengths lie in neighbouring bands and the places of the
+    token leave enough characters to share; each distinct text pair is scored once.
     Needs asset_id, seq, engine, text, confidence, letters.
     """
     key = agreement_text(F.col("text"))
@@ -315,17 +330,20 @@ def agreeing_assets(detections: DataFrame, t: Thresholds = Thresholds()) -> Data
         .select("asset_id").distinct()
     )
     open_rows = eligible.join(equal, "asset_id", "left_anti")
-    tokens = open_rows.withColumn(
-        "token", F.explode(_prefix_tokens(F.col("key"), t.agreement_similarity))
+    band, near_bands = _length_bands(F.length("key"), t.agreement_similarity)
+    tokens = open_rows.select(
+        "*", band.alias("band"), near_bands.alias("bands"), F.posexplode(_prefix_tokens(F.col("key"), t.agreement_similarity)).alias("place", "token")
     )
-    left = tokens.select("asset_id", "token", *[F.col(c).alias(f"l_{c}") for c in ("engine", "key", "first_seq")])
-    right = tokens.select("asset_id", "token", *[F.col(c).alias(f"r_{c}") for c in ("engine", "key", "last_seq")])
+    left = tokens.select("asset_id", "token", "band", *[F.col(c).alias(f"l_{c}") for c in ("engine", "key", "first_seq", "place")])
+    right = tokens.select("asset_id", "token", F.explode("bands").alias("band"), *[F.col(c).alias(f"r_{c}") for c in ("engine", "key", "last_seq", "place")])
     llen, rlen = F.length("l_key"), F.length("r_key")
+    # all characters two texts share stand at or behind the first token they share
+    reach = F.least(llen - F.col("l_place"), rlen - F.col("r_place"))
     pairs = cut_lineage(
-        left.join(right, ["asset_id", "token"])
+        left.join(right, ["asset_id", "token", "band"])
         .filter((F.col("l_engine") != F.col("r_engine")) & (F.col("l_key") != F.col("r_key")))
         .filter(F.col("l_first_seq") < F.col("r_last_seq"))
-        .filter(2 * F.least(llen, rlen) >= t.agreement_similarity * (llen + rlen) - 1e-9)
+        .filter(2 * reach >= t.agreement_similarity * (llen + rlen) - 1e-9)
         .select("asset_id", "l_key", "r_key")
         .distinct()
     )

@@ -84,6 +84,21 @@ def test_agreement_equals_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("least", [0.55, 1.0])
+def test_agreement_at_other_similarities(spark, least):
+    rng = random.Random(8)
+    rows = [
+        (str(rng.randrange(60)), i, "".join(rng.choice("abz") for _ in range(rng.randrange(1, 14))), 0.9, rng.choice("pq"), "v") for i in range(240)
+    ]
+    want = set()
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a[0] == b[0] and a[4] != b[4] and SequenceMatcher(None, a[2], b[2]).ratio() >= least:
+                want.add(a[0])
+    found = selection.agreeing_assets(selection.with_letters(spark.createDataFrame(rows, DETECTION)), selection.Thresholds(agreement_similarity=least))
+    assert {r.asset_id for r in found.collect()} == want
+
+
 def test_color_filter(spark):
     names = {"poster_D": None, "poster_normal": "non_color_suffix:normal", "poster_n_LOD0": "non_color_token", "original_sign": None, "---": None}
     df = spark.createDataFrame([(n,) for n in names], "n string")
