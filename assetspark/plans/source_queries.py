@@ -17,15 +17,27 @@ from .selection_queries import _CLASSIFY, _references
 SOURCES = Registry()
 
 
-@SOURCES.query("s01_content_hashes")
+@SOURCES.query(
+    "s01_content_hashes",
+    """WITH h AS (SELECT doc_id, sha256(coalesce(text,'')) AS sha256, strlen(coalesce(text,''))::BIGINT AS size FROM documents)
+    SELECT doc_id, sha256, size, doc_id = min(doc_id) OVER (PARTITION BY sha256) AS first FROM h""",
+)
 def content_hashes(t):
-    """Hashes of the data files themselves; one row per file."""
-    return images.content_hashes(t.spark, t.sf_dir).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "sha256")
+    return images.hashed_contents(t.documents.withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text")
+
+
+_SUFFIXES = [".png", ".PNG", ".jpeg", ".dds", "", ".TIF", ".json", "/.png"]
 
 
-@SOURCES.query("s04_file_listing")
+@SOURCES.query(
+    "s04_file_listing",
+    f"""SELECT path_id, bundle_key||'/'||texture||({_SUFFIXES!r})[(path_id%8)::BIGINT+1] AS path FROM texture_names WHERE path_id%8 IN (0,1,2,5)""",
+    "texture_names",
+)
 def file_listing(t):
-    return images.listing(t.spark, t.sf_dir, [".PARQUET"]).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "length")
+    ending = F.get(F.array(*[F.lit(s) for s in _SUFFIXES]), F.col("path_id") % 8)
+    paths = t.texture_names.select("path_id", F.concat("bundle_key", F.lit("/"), "texture", ending).alias("path"))
+    return images.by_extension(paths, "path")
 
 
 @SOURCES.query(

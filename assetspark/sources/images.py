@@ -17,10 +17,25 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
+def by_extension(rows: DataFrame, path: str, extensions: list[str] = EXTENSIONS) -> DataFrame:
+    """Rows whose path ends in one of the extensions, whatever their case; a name of a dot and letters only has none."""
+    suffix = F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
+    return rows.filter(suffix.isin([e.lower() for e in extensions]))
+
+
+def hashed_contents(rows: DataFrame, name: str, content: str) -> DataFrame:
+    """SHA-256 and size of contents held in a table, and whether the row is the first of its content by name.
+
+    The hash is the only key that is shuffled; a content with very many copies costs one partial minimum a task.
+    """
+    hashed = rows.select(name, F.sha2(F.col(content).cast("binary"), 256).alias("sha256"), F.octet_length(content).cast("long").alias("size"))
+    firsts = hashed.groupBy("sha256").agg(F.min(name).alias("_first"))
+    return hashed.join(firsts, "sha256").select(name, "sha256", "size", (F.col(name) == F.col("_first")).alias("first"))
+
+
 def listing(spark: SparkSession, folder: str, extensions: list[str] = EXTENSIONS) -> DataFrame:
     """Paths of a folder tree by case-blind extension; contents are not read."""
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return _files(spark, folder).select("path", "length").filter(suffix.isin([e.lower() for e in extensions]))
+    return by_extension(_files(spark, folder).select("path", "length"), "path", extensions)
 
 
 def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
