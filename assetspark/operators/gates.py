@@ -282,6 +282,7 @@ def attempt_budget(current: DataFrame, legacy: DataFrame) -> DataFrame:
     )
 
 
+# The status names below.
 def readiness(targets: DataFrame) -> DataFrame:
     """Status and issue codes of each target.
 

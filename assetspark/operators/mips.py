@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arithmetic import clip, count_where, div, half_even, half_up
@@ -192,46 +196,88 @@ def padding_mismatches(level: DataFrame, padded: DataFrame, covered: DataFrame)
 
 # ---- derived maps ---------------------------------------------------------
 
+#: Weights of one blur.
+BINOMIAL = [1, 4, 6, 4, 1]
+
+
+TILE = 64
 
-def blur_axis(values: DataFrame, axis: str, weights: list[int] = [1, 4, 6, 4, 1]) -> DataFrame:
-    """Wrapped convolution of ``v`` along one axis.
 
-    A pixel row or column is gathered as an array; its length is bounded by the
-    texture size.
+def _halo_places(place: Column, size: Column, halo: int) -> Column:
+    """Tiles of an axis that need a texel, and where it stands in them, counted from the start of the tile.
+
+    The axis wraps around; a texel of a picture narrower than the halo stands several times in one tile.
     """
-    other = "y" if axis == "x" else "x"
-    line = F.array_sort(F.collect_list(F.struct(F.col(axis).alias("p"), F.col("v").alias("v"))))
-    lines = values.groupBy("texture_id", other).agg(line.alias("line"))
-    total, reach = sum(weights), len(weights) // 2
-    n = F.size("line")
+    turns = F.ceil(F.lit(halo) / size)
+    copies = F.filter(F.transform(F.sequence(-turns, turns), lambda m: place + m * size), lambda p: (p >= -halo) & (p < size + halo))
+    last = div(size - 1, TILE)
+
+    def tiles(p: Column) -> Column:
+        low = F.least(last, F.greatest(F.lit(0).cast("long"), F.floor((p - halo) / TILE)))
+        high = F.least(last, F.floor((p + halo) / TILE))
+        return F.transform(F.sequence(low, high), lambda t: F.struct(t.alias("tile"), (p - t * TILE).alias("at")))
 
-    def value(item: Column, i: Column) -> Column:
-        parts = [
-            F.get("line", F.pmod(i + (k - reach), n).cast("int"))["v"] * (w / total) for k, w in enumerate(weights)
-        ]
-        return F.struct(item["p"].alias(axis), sum(parts[1:], parts[0]).alias("v"))
+    return F.flatten(F.transform(copies, tiles))
 
-    return lines.select("texture_id", other, F.inline(F.transform("line", value))).select(*KEY, "v")
+
+def _on_tiles(values: DataFrame, halo: int, work: Callable[[np.ndarray], dict[str, np.ndarray]], columns: list[str]) -> DataFrame:
+    """``work`` on every 64 x 64 tile of ``v`` with a border of ``halo`` texels, over wrapped pictures.
+
+    Only border texels are sent to more than one tile, so any number of filter passes that the halo covers costs one
+    shuffle. A tile's group has (64 + 2 * halo)^2 rows at most.
+    """
+    kind = values.schema["texture_id"].dataType.simpleString()
+    sized = with_sizes(values.select(*KEY, "v"), picture_sizes(values))
+    across = sized.withColumn("_x", F.explode(_halo_places(F.col("x"), F.col("width"), halo)))
+    spread = across.withColumn("_y", F.explode(_halo_places(F.col("y"), F.col("height"), halo)))
+    rows = spread.select("texture_id", F.col("_x.tile").alias("tx"), F.col("_y.tile").alias("ty"), F.col("_x.at").alias("ax"), F.col("_y.at").alias("ay"), "v")
+
+    def one(table: pa.Table) -> pa.Table:
+        x, y = (table.column(c).to_numpy().astype(np.int64) + halo for c in ("ax", "ay"))
+        grid = np.full((y.max() + 1, x.max() + 1), np.nan)
+        grid[y, x] = table.column("v").to_numpy()
+        made = work(grid)
+        height, width = next(iter(made.values())).shape
+        tx, ty = table.column("tx")[0].as_py(), table.column("ty")[0].as_py()
+        ys, xs = np.divmod(np.arange(height * width), width)
+        first = table.column("texture_id").slice(0, 1).take(pa.array(np.zeros(height * width, np.int64)))
+        return pa.table([first, pa.array(xs + tx * TILE), pa.array(ys + ty * TILE), *[pa.array(made[c].reshape(-1)) for c in columns]], ["texture_id", "x", "y", *columns])
+
+    schema = f"texture_id {kind}, x long, y long, " + ", ".join(f"{c} double" for c in columns)
+    return rows.groupBy("texture_id", "tx", "ty").applyInArrow(one, schema)
+
+
+def _convolved(grid: np.ndarray, axis: int, weights: list[int]) -> np.ndarray:
+    """Weighted means of the texels along an axis that have all their neighbours."""
+    n = grid.shape[axis] - len(weights) + 1
+    parts = [np.take(grid, np.arange(k, k + n), axis) * (w / sum(weights)) for k, w in enumerate(weights)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out + part
+    return out
 
 
 def binomial_blur(values: DataFrame, passes: int) -> DataFrame:
-    for _ in range(passes):
-        values = blur_axis(blur_axis(values, "x"), "y")
-    return values
+    """``passes`` wrapped 1-4-6-4-1 blurs of ``v`` along x and y."""
+    if passes == 0:
+        return values.select(*KEY, "v")
+
+    def blur(grid: np.ndarray) -> dict[str, np.ndarray]:
+        for _ in range(passes):
+            grid = _convolved(_convolved(grid, 1, BINOMIAL), 0, BINOMIAL)
+        return {"v": grid}
+
+    return _on_tiles(values, 2 * passes, blur, ["v"])
 
 
 def wrapped_gradient(values: DataFrame) -> DataFrame:
     """Central differences of ``v`` with wrap-around in x and y."""
 
-    def difference(axis: str) -> Column:
-        other = "y" if axis == "x" else "x"
-        line = Window.partitionBy("texture_id", other).orderBy(axis)
-        whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        ahead = F.coalesce(F.lead("v").over(line), F.first("v").over(whole))
-        behind = F.coalesce(F.lag("v").over(line), F.last("v").over(whole))
-        return (ahead - behind) * 0.5
+    def differences(grid: np.ndarray) -> dict[str, np.ndarray]:
+        inner = grid[1:-1, 1:-1]
+        return {"v": inner, "gx": (grid[1:-1, 2:] - grid[1:-1, :-2]) * 0.5, "gy": (grid[2:, 1:-1] - grid[:-2, 1:-1]) * 0.5}
 
-    return values.withColumns({"gx": difference("x"), "gy": difference("y")})
+    return _on_tiles(values, 1, differences, ["v", "gx", "gy"])
 
 
 def derive_normal(base: DataFrame, alpha: DataFrame, height: float, polarity: int, passes: int) -> DataFrame:

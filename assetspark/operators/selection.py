@@ -134,8 +134,12 @@ def texture_role(name: Column) -> Column:
     )
 
 
+# Endings that a texture's family leaves out.
+FAMILY_ENDINGS = ["_lod0_diff", "_lod0_nrm", "_lod0_gloss", "_diff", "_nrm", "_gloss", "_d", "_n", "_g"]
+
+
 def texture_family(name: Column) -> Column:
-    return F.regexp_replace(F.lower(name), "(_lod0_(diff|nrm|gloss)|_(diff|nrm|gloss|d|n|g))$", "")
+    return F.regexp_replace(F.lower(name), f"({'|'.join(FAMILY_ENDINGS)})$", "")
 
 
 def ignored_diffuse(name: Column, tokens: list[str]) -> Column:

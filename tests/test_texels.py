@@ -123,3 +123,21 @@ def test_chain_with_coverage_spreads_covered_colors(spark):
         mips.mip_chain(picture(spark, array), "unknown", 2)
     with pytest.raises(ValueError):
         mips.mip_chain(picture(spark, array), "gloss", 0)
+
+
+@pytest.mark.parametrize("shape, passes", [((70, 150), 3), ((5, 64), 1), ((1, 3), 8), ((129, 65), 8)])
+def test_blur_and_gradient_on_tiles_equal_whole_pictures(spark, shape, passes):
+    values = np.random.default_rng(6).random(shape)
+    rows = [(t, x, y, float(values[y, x]) + t) for t in (1, 2) for y in range(shape[0]) for x in range(shape[1])]
+    df = spark.createDataFrame(rows, "texture_id long, x long, y long, v double")
+    want = values
+    for _ in range(passes):
+        for axis in (1, 0):
+            want = sum(np.roll(want, 2 - k, axis) * (w / 16) for k, w in enumerate([1, 4, 6, 4, 1]))
+    got = mips.wrapped_gradient(mips.binomial_blur(df, passes)).collect()
+    assert len(got) == len(rows)
+    gx = (np.roll(want, -1, 1) - np.roll(want, 1, 1)) * 0.5
+    gy = (np.roll(want, -1, 0) - np.roll(want, 1, 0)) * 0.5
+    for r in got:
+        assert abs(r.v - r.texture_id - want[r.y, r.x]) < 1e-12
+        assert abs(r.gx - gx[r.y, r.x]) < 1e-12 and abs(r.gy - gy[r.y, r.x]) < 1e-12
