@@ -276,7 +276,7 @@ _BEFORE = "coalesce(bool_or({on}) OVER (PARTITION BY asset_id ORDER BY k ROWS BE
     m AS (SELECT asset_id, k, 1 AS stage, w, c, n, bad, false AS same FROM p UNION ALL SELECT asset_id, k, 2, w, c, n, false, same FROM f),
     g AS (SELECT asset_id, count(*) FILTER (NOT bad) AS variant_calls, max(CASE WHEN bad THEN 'one/v'||k||': ValueError: unreadable' END) AS error,
       max(CASE WHEN NOT bad AND n>0 THEN {{'c': c, 'n': n, 'w': w}} END) AS best, bool_or(same) AS agreed,
-      bool_or(NOT bad AND NOT regexp_matches(w, '[^\s]') AND c>=0.15) AS blank, max(c) FILTER (NOT bad) AS top FROM m GROUP BY 1)
+      bool_or(NOT bad AND NOT regexp_matches(w, '[^\\s]') AND c>=0.15) AS blank, max(c) FILTER (NOT bad) AS top FROM m GROUP BY 1)
     SELECT asset_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error, variant_calls,
     CASE WHEN best IS NULL THEN CASE WHEN blank THEN 'needs_review' ELSE 'rejected' END WHEN best.c>=0.8 AND best.n>=3 OR agreed THEN 'confirmed'
       WHEN best.c>=0.45 AND best.n>=2 THEN 'probable' ELSE 'needs_review' END AS tier,
