@@ -298,14 +298,29 @@ def test_license_labels(docs, empty):
 
 
 def one_match(pattern, rng):
-    """A text that the name matches: options and alternatives drawn."""
-    pattern = pattern[3:-1].split("(?!")[0]
-    while m := re.search(r"\((?:\?:)?([^()]*)\)(\??)", pattern):
+    """A text that the pattern matches: options and alternatives drawn."""
+    pattern = pattern.replace("[0-9]{2}", "[0-9][0-9]")
+    while m := re.search(r"\(\?:([^()]*)\)(\??)", pattern):
         pattern = pattern[: m.start()] + ("" if m[2] and rng.rand() < 0.5 else rng.choice(m[1].split("|"))) + pattern[m.end() :]
-    pattern = re.sub(r"\[([^]]*)\]", lambda m: rng.choice(list(m[1].replace("0-9", "0123456789").replace("1-", "12").replace("0-", "01"))), pattern)
+    pattern = re.sub(r"\[([^]]*)\]", lambda m: rng.choice(list(m[1].replace("0-9", "0123456789").replace("1-", "123").replace("0-", "012"))), pattern)
     return re.sub(r"(.)\?", lambda m: m[1] * rng.randint(0, 2), pattern)
 
 
+def license_brute(text, rules):
+    """Labels and score without gate and keywords."""
+    joined, found = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))) + " ", []
+    for r in rules:
+        for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", joined):
+            start = joined[: m.start()].count(" ") - 1
+            found.append((start, start + m[0].count(" "), r.priority, r.label, r.confidence))
+    alive = [
+        a for a in found
+        if not any(b[0] <= a[0] and a[1] <= b[1] and (b[2] > a[2] or (b[2] == a[2] and b[:2] != a[:2])) for b in found)
+    ]
+    labels = {a[3] for a in alive} | {label for phrase, label in license_scan.BASE if f" {phrase} " in joined}
+    return ",".join(sorted(labels)), max((a[4] for a in alive), default=0.0)
+
+
 def test_license_gate_and_keywords_skip_no_match(spark):
     rng = np.random.RandomState(6)
     rules = license_scan.signatures()
@@ -313,25 +328,45 @@ def test_license_gate_and_keywords_skip_no_match(spark):
         "released under GPL v2", "Licensed under GPL v2.", "gplv2", "available under Creative Commons Attribution 4.0",
         "Creative Commons BY-SA 4.0", "Creative Commons Zero", "creative commons attribution sharealike 3.0", "gpl", "commons",
     ]
-    texts += [f"it is {one_match(r.pattern, rng)} today" for r in rules if r.kind == "mention" and r.pattern[:3] == "(?:" for _ in range(6)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    drawn = [r for r in rules if r.kind != "spdx-part"]
+    assert all(any(g in r.keyword for g in license_scan.GATE) for r in rules)
+    for r in drawn:
+        for _ in range(3):
+            text = one_match(r.pattern, rng)
+            assert re.fullmatch(r.pattern, text) and r.keyword in f" {text} ", (r, text)
+            texts.append(f"it is {text} today")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
     got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_labels(df).collect()}
     for i, text in enumerate(texts):
-        joined, found = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))) + " ", []
-        for r in rules:
-            for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", joined):
-                start = joined[: m.start()].count(" ") - 1
-                found.append((start, start + m[0].count(" "), r.priority, r.label, r.confidence))
-        assert found or text in ("gpl", "commons"), text
-        alive = [
-            a for a in found
-            if not any(b[0] <= a[0] and a[1] <= b[1] and (b[2] > a[2] or (b[2] == a[2] and b[:2] != a[:2])) for b in found)
-        ]
-        labels = {a[3] for a in alive} | {label for phrase, label in license_scan.BASE if f" {phrase} " in joined}
-        assert got[i] == (",".join(sorted(labels)), max((a[4] for a in alive), default=0.0)), text
+        want = license_brute(text, rules)
+        assert want[0] or text in ("gpl", "commons"), text
+        assert got[i] == want, text
     assert got[0][0] == got[1][0] == "gpl-2.0" and got[3][0] == "cc-by" and got[4][0] == "cc-by-sa"
 
 
+LICENSE_TEXTS = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")", "mit-license"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that", "bsd"),
+    ("Neither the name of X nor its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd-3-clause"),
+    ("GPLv3 or later", "gpl-3.0-or-later"), ("GPL-3.0-only", "gpl-3.0"), ("LGPL-2.1", "lgpl-2.1"), ("AGPL-3.0", "agpl-3.0"),
+    ("Apache-2.0", "apache-2.0"), ("BSD-3-Clause", "bsd-3-clause"), ("http://www.apache.org/licenses/LICENSE-2.0", "apache-2.0"),
+    ("SPDX-License-Identifier: MIT", "mit-license"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2.0"),
+    ("// SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache-2.0,mit-license"), ("SPDX-License-Identifier: Apache-2.0 OR MIT", "apache-2.0,mit-license"),
+    ("CC BY-NC-SA 4.0", "cc-by-nc-sa"), ("CC BY 4.0", "cc-by"), ("https://creativecommons.org/licenses/by-nc-nd/4.0/", "cc-by-nc-nd"),
+    ("SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note", "gpl-2.0,linux-syscall-note"), ("Apache-2.0 WITH LLVM-exception", "apache-2.0,llvm-exception"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice", "isc"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+    ("it is free to enter, as is the museum; no permission is needed", ""), ("a patent was filed and the bsd daemon smiled", ""),
+]
+
+
+def test_license_texts_get_their_labels(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LICENSE_TEXTS)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.license_labels(df).collect()}
+    assert [got[i] for i in range(len(LICENSE_TEXTS))] == [label for _, label in LICENSE_TEXTS]
+
+
 def test_quality_rules(docs, empty):
     rows = quality_rules.quality_verdicts(docs).collect()
     assert Counter((r.doc_id, r.n_words) for r in rows) == Counter((i, len(words(t))) for i, t, *_ in ROWS)
