@@ -18,8 +18,8 @@ Q = 36
 _C1, _C2, _C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 #: Starts that one node of the second refinement holds.
 NODE = 8
-#: Bits of a sort value that hold the place inside a chunk.
-_PLACE = 26
+#: Bits of a sort value that hold the place inside a chunk; more than any Spark string has.
+_PLACE = 32
 
 
 def bucket_ids(data: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +62,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple
     starts = spread(offsets[:-1][fits], sizes[fits] - length + 1)
     if not len(starts):
         return none, none, none, none, first, deep
-    if n >= 1 << _PLACE:
-        raise ValueError("a text is longer than a chunk can address")
     value = (mix(first ^ _C3) & ~np.uint64((1 << _PLACE) - 1)) | np.arange(n, dtype=np.uint64)
     span, width = length - q + 1, 1
     while 2 * width <= span:
@@ -81,6 +79,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple
     return np.searchsorted(offsets, low, "right") - 1, anchor, low, high, first, deep
 
 
+def string_checks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A second hash of the strings at the given offsets, chained over their words of eight bytes; it shares nothing with the bucket identifiers."""
+    padded = np.concatenate([data.view(np.uint8), np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+    out = np.full(len(at), length, np.uint64)
+    for j in range(0, length, 8):
+        word = words[at + j]
+        if length - j < 8:
+            word &= np.uint64((1 << 8 * (length - j)) - 1)
+        out = mix((out ^ word) * _C3 + np.uint64(j + 1))
+    return out
+
+
 def _first_of(keys: list[np.ndarray]) -> np.ndarray:
     """For rows sorted by the keys: true where any key changes."""
     new = np.ones(len(keys[0]), bool)
@@ -234,7 +245,10 @@ def _nodes(length: int, q: int):
 
 
 def _strings(length: int, q: int):
-    """The single strings of open nodes: (string, id, hash, low), settled inside a chunk."""
+    """The single strings of open nodes: (string, check, id, hash, low), settled inside a chunk.
+
+    Strings are equal when two hashes made in different ways are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_chunks(batches):
@@ -248,12 +262,13 @@ def _strings(length: int, q: int):
             at = offsets[row] + place
             string = mix(deep[at] * _C1 + first[offsets[row] + anchor] * _C2 + (anchor - place).astype(np.uint64))
             ids, hashes = _documents(batch, row)
-            order = np.lexsort((place, hashes, ids, string))
-            order = order[_first_of([string[order], ids[order], hashes[order], place[order]])]
-            string, ids, hashes, place = string[order], ids[order], hashes[order], place[order]
-            new = _first_of([string])
+            check = string_checks(data, at, length)
+            order = np.lexsort((place, hashes, ids, check, string))
+            order = order[_first_of([string[order], check[order], ids[order], hashes[order], place[order]])]
+            string, check, ids, hashes, place = string[order], check[order], ids[order], hashes[order], place[order]
+            new = _first_of([string, check])
             spot = mix(ids.view(np.uint64) * _C3 + hashes.view(np.uint64) + place.astype(np.uint64))
-            yield _emit(["string", "id", "hash", "low"], signed(np.where(new, string, spot)), ids, hashes, np.where(new, place, -1 - place))
+            yield _emit(["string", "check", "id", "hash", "low"], signed(np.where(new, string, spot)), signed(check), ids, hashes, np.where(new, place, -1 - place))
 
     return run
 
@@ -264,11 +279,11 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        string, ids, hashes, low = (longs(batch.column(i), 0) for i in range(4))
+        string, check, ids, hashes, low = (longs(batch.column(i), 0) for i in range(5))
         if held is not None:
-            string, ids, hashes, low = (np.concatenate([[h], x]) for h, x in zip(held, (string, ids, hashes, low), strict=True))
+            string, check, ids, hashes, low = (np.concatenate([[h], x]) for h, x in zip(held, (string, check, ids, hashes, low), strict=True))
         settled = low < 0
-        new = _first_of([string]) & ~settled
+        new = _first_of([string, check]) & ~settled
         if held is not None:
             new[0] = True
         lead = np.flatnonzero(new)
@@ -276,7 +291,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(lead):
             owner = lead[np.maximum(np.searchsorted(lead, np.arange(len(new)), "right") - 1, 0)]
             repeat &= settled | (ids != ids[owner]) | (hashes != hashes[owner]) | (low != low[owner])
-            held = (string[lead[-1]], ids[lead[-1]], hashes[lead[-1]], low[lead[-1]])
+            held = (string[lead[-1]], check[lead[-1]], ids[lead[-1]], hashes[lead[-1]], low[lead[-1]])
         out = np.flatnonzero(repeat)
         yield _emit(["id", "hash", "low"], ids[out], hashes[out], np.where(low[out] < 0, -1 - low[out], low[out]))
 
@@ -355,8 +370,8 @@ def cut_repeats(docs: DataFrame, length: int = 100, q: int = Q, id_col: str = "d
     contexts = cut_lineage(refined_of(source.filter(F.octet_length("text") >= length).mapInArrow(_sample(length, q), _SUFFIX)))
     nodes = refined_of(opened(contexts).mapInArrow(_nodes(length, q), _SUFFIX))
     strings = (
-        opened(nodes).mapInArrow(_strings(length, q), "string long, id long, hash long, low long")
-        .repartition(parts, "string").sortWithinPartitions("string", "id", "hash", "low").mapInArrow(_later, "id long, hash long, low long")
+        opened(nodes).mapInArrow(_strings(length, q), "string long, check long, id long, hash long, low long")
+        .repartition(parts, "string").sortWithinPartitions("string", "check", "id", "hash", "low").mapInArrow(_later, "id long, hash long, low long")
     )
     marks = (
         contexts.filter("anchor < 0").select("id", "hash", "low", "high")

@@ -271,6 +271,13 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_string_checks_read_whole_strings():
+    text = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123" + b"abcdefghijklmnopqrstuvwxyz0124" + b"abcdefghijklmnopqrstuvwxyz0123", np.uint8)
+    for length in (8, 29, 30):
+        one, two, three = repeated_spans.string_checks(text, np.array([0, 30, 60]), length)
+        assert one == three and (one == two) == (length < 30)
+
+
 def test_license_labels(docs, empty):
     rows = license_scan.license_labels(docs).collect()
     rules = license_scan.signatures()
@@ -375,6 +382,7 @@ def test_quality_rules(docs, empty):
     assert [r.name for r in quality_rules.order_rules([(dear, 2.0, 0.5), (cheap, 1.0, 0.5)])] == ["a", "b"]
 
 
+
 def test_quality_selection(spark, docs, empty):
     tables = {n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels")}
     train, held = tables["labels"].filter("doc_id % 2 = 0"), tables["labels"].filter("doc_id % 2 = 1")
