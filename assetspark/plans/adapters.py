@@ -262,6 +262,13 @@ class Tables:
             *[channel(k).alias(c) for k, c in enumerate("rgba")],
         )
 
+    @cached_property
+    def texture_sizes(self) -> DataFrame:
+        """Sizes of ``texels``: always 16x16, also where rows of a texture are missing."""
+        side = F.lit(16).cast("long")
+        textures = self.read("embeddings").select(div(F.col("vec_id"), 16).alias("texture_id")).distinct()
+        return textures.select("texture_id", side.alias("width"), side.alias("height"))
+
     @cached_property
     def odd_texels(self) -> DataFrame:
         """The same texels, 105 of them a picture of 15x7, 5x21, 1x105 or 35x3."""

@@ -135,7 +135,7 @@ def mask_projection(t):
     "mask_texels",
 )
 def mask_chain(t):
-    return mips.mask_chain(t.mask("new_text"), 5, mips.picture_sizes(t.mask_texels))
+    return mips.mask_chain(t.mask("new_text"), 5, t.texture_sizes)
 
 
 @TEXELS.query(
