@@ -321,7 +321,7 @@ class Tables:
         block = [F.col("texture_id"), div(F.col("x"), 2).alias("x"), div(F.col("y"), 2).alias("y")]
         flags = [c for c in flagged.columns if c not in self.texels.columns]
         marks = flagged.groupBy(*block).agg(*[F.bool_or(c).alias(c) for c in flags])
-        level1 = mips.next_level(self.texels, "gloss").join(marks, ["texture_id", "x", "y"]).withColumn("level", F.lit(1))
+        level1 = mips.next_level(self.texels, "gloss", self.texture_sizes).join(marks, ["texture_id", "x", "y"]).withColumn("level", F.lit(1))
         both = flagged.withColumn("level", F.lit(0)).unionByName(level1)
         noise = (F.col("x") * 7 + F.col("y") * 3) % 5 - 2
 

@@ -172,7 +172,7 @@ def _gloss_sql(src):
 
 @TEXELS.query("a26_gloss_mip", _gloss_sql("texels"), "texels")
 def gloss_mip(t):
-    return mips.next_level(t.texels, "gloss")
+    return mips.next_level(t.texels, "gloss", t.texture_sizes)
 
 
 def _lin(c):
@@ -191,7 +191,7 @@ def _diffuse_sql(src):
 
 @TEXELS.query("a27_diffuse_mip", _diffuse_sql("texels"), "texels")
 def diffuse_mip(t):
-    return mips.next_level(t.texels, "diffuse")
+    return mips.next_level(t.texels, "diffuse", t.texture_sizes)
 
 
 def _enc(v):
@@ -219,7 +219,7 @@ _NX, _NY = _packed("nx/nl", "ny/nl")
     "texels",
 )
 def normal_mip(t):
-    return mips.next_level(t.texels, "normal")
+    return mips.next_level(t.texels, "normal", t.texture_sizes)
 
 
 @TEXELS.query(
@@ -230,7 +230,7 @@ def normal_mip(t):
     "texels",
 )
 def mip_chain(t):
-    return mips.mip_chain(t.texels, "gloss", 5)
+    return mips.mip_chain(t.texels, "gloss", 5, t.texture_sizes)
 
 
 # ---- mips of odd sizes: every target texel joined with all texels that overlap it
