@@ -144,7 +144,7 @@ _CHAINS = f"""b0 AS (SELECT * FROM texels), a0 AS (SELECT * FROM edited_texels),
 
 
 def _chains(t):
-    return mips.mip_chain(t.texels, "gloss", 3), mips.mip_chain(t.edited_texels, "gloss", 3)
+    return mips.mip_chain(t.texels, "gloss", 3, t.texture_sizes), mips.mip_chain(t.edited_texels, "gloss", 3, t.texture_sizes)
 
 
 def _level_flags(t):
