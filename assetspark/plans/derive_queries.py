@@ -180,7 +180,7 @@ def level_invariants(t):
 )
 def seam_metrics(t):
     before, after = _chains(t)
-    return mips.seam_metrics(before, after, mips.mask_chain(t.mask("seam_guard"), 3, mips.picture_sizes(t.mask_texels)))
+    return mips.seam_metrics(before, after, mips.mask_chain(t.mask("seam_guard"), 3, t.texture_sizes))
 
 
 @DERIVE.query(
