@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.arithmetic import div
@@ -127,11 +128,21 @@ def inventory_sections(t):
 
 
 def _meshes(t):
-    """Five vectors are one flat array of 64 vertices; a strip of triangles runs over them."""
+    """Five vectors are one flat array of 64 vertices; a strip of triangles runs over them.
+
+    Every vector keeps its place in the array, also where an earlier one is missing; the last mesh may have fewer vectors.
+    """
     parts = t.embeddings.groupBy(div(F.col("vec_id"), 5).alias("mesh")).agg(
         F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")))).alias("parts")
     )
-    flat = F.flatten(F.transform("parts", lambda part: part["e"]))
+    numbers = F.sequence(F.lit(0), F.lit(63))
+
+    def vector(slot: Column) -> Column:
+        held = F.get(F.filter("parts", lambda part: part["vec_id"] % 5 == slot), F.lit(0))
+        return F.transform(numbers, lambda i: F.get(held["e"], i))
+
+    last = F.element_at("parts", -1)["vec_id"] % 5
+    flat = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), last), vector))
     corners = F.sequence(F.lit(0).cast("long"), F.lit(3 * 62 - 1).cast("long"))
     return parts.select(
         "mesh", (F.col("mesh") % 3).alias("submesh"), flat.alias("vertices"),

@@ -18,6 +18,6 @@ def cut_dir(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["a29_mask_chain", "a29_mip_chain", "a43_level_invariants", "a44_seam_metrics"])
+@pytest.mark.parametrize("name", ["a29_mask_chain", "a29_mip_chain", "a43_level_invariants", "a44_seam_metrics", "s18_mesh_tables"])
 def test_incomplete_last_group(spark, cut_dir, name):
     assert compare(queries()[name](spark, cut_dir), connect(cut_dir), oracle_sql()[name]) == ""
