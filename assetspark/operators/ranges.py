@@ -60,7 +60,11 @@ def outside_ranges(rows: DataFrame, merged: DataFrame, bucket: int = BUCKET) ->
 
 
 def differences_outside(before: DataFrame, after: DataFrame, merged: DataFrame) -> DataFrame:
-    """Rows outside the ranges that exist or differ on one side only."""
-    left = outside_ranges(before, merged).withColumnRenamed("value", "b_value")
-    right = outside_ranges(after, merged).withColumnRenamed("value", "a_value")
-    return left.join(right, ["grp", "pos"], "full").filter(~F.col("b_value").eqNullSafe(F.col("a_value")))
+    """Rows outside the ranges that exist or differ on one side only.
+
+    The two sides are compared first, so only the rows that differ are walked along the ranges, and once.
+    """
+    left = before.select("grp", "pos", F.col("value").alias("b_value"))
+    right = after.select("grp", "pos", F.col("value").alias("a_value"))
+    differing = left.join(right, ["grp", "pos"], "full").filter(~F.col("b_value").eqNullSafe(F.col("a_value")))
+    return outside_ranges(differing, merged)

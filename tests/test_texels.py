@@ -141,3 +141,14 @@ def test_blur_and_gradient_on_tiles_equal_whole_pictures(spark, shape, passes):
     for r in got:
         assert abs(r.v - r.texture_id - want[r.y, r.x]) < 1e-12
         assert abs(r.gx - gx[r.y, r.x]) < 1e-12 and abs(r.gy - gy[r.y, r.x]) < 1e-12
+
+
+def test_differences_are_walked_along_the_ranges_once(spark):
+    before = spark.createDataFrame([(1, p, p) for p in range(12)] + [(2, 3, 0)], "grp int, pos long, value long")
+    after = spark.createDataFrame([(1, p, -p) for p in range(1, 14)] + [(2, 3, 0)], "grp int, pos long, value long")
+    merged = spark.createDataFrame([(1, 2, 5), (1, 9, 11), (3, 0, 9)], "grp int, start long, end long")
+    out = ranges.differences_outside(before, after, merged)
+    got = {r.pos: (r.b_value, r.a_value) for r in out.collect()}
+    assert got == {0: (0, None), **{p: (p, -p) for p in (1, 5, 6, 7, 8, 11)}, 12: (None, -12), 13: (None, -13)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 2  # the walk and its carried ends
