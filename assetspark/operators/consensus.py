@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import boxes
 from ..functions.arithmetic import count_where, div
@@ -103,6 +104,21 @@ def overlap_components(rows: DataFrame) -> DataFrame:
     return _sweep(out, ["image_id", *COMPONENT[:2]], "x0", "x1", COMPONENT[2])
 
 
+#: Pictures of so many boxes at most are walked as one component.
+WHOLE = 4096
+
+
+def _walked_apart(rows: DataFrame) -> DataFrame:
+    """Rows with a ``COMPONENT``: sweeps cut the pictures with many boxes, any other picture is one component.
+
+    The images with more than ``WHOLE`` boxes are few against the rows, so their ids are broadcast.
+    """
+    given = rows.filter("image_id is not null")
+    large = F.broadcast(given.groupBy("image_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > WHOLE).select("image_id"))
+    small = given.join(large, "image_id", "left_anti").withColumns({c: F.lit(0) for c in COMPONENT})
+    return small.unionByName(overlap_components(given.join(large, "image_id", "left_semi")))
+
+
 class _Boxes:
     """Boxes of a component in growing arrays."""
 
@@ -136,14 +152,16 @@ class _Boxes:
 def _walk(
     rows: DataFrame, order: list[Column], fields: list[str], start: Callable[[], object], step: Callable[[object, tuple], object], out: str
 ) -> DataFrame:
-    """Walk every component in ``order``; ``step`` sees one row at a time and returns the row's result, or None for no row.
+    """Rows in their walk's result ``out``: every component is walked in ``order``, and ``step`` sees ``seq`` and ``fields`` of
+    one row at a time and returns its result, or None for no row.
 
-    Components lie sorted in their tasks and are read as a stream, so a task holds the state of one component only.
+    Components lie sorted in their tasks and are read as a stream, so a task holds the state of one component only. The
+    other columns pass through.
     """
-    staged = overlap_components(rows).withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    staged = _walked_apart(rows).withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
     keys = ["image_id", *COMPONENT]
-    sorted_rows = staged.select(*keys, "_order", "seq", *fields).repartition(*keys).sortWithinPartitions(*keys, "_order")
-    image, kind = rows.schema["image_id"].dataType.simpleString(), out
+    sorted_rows = staged.select(*rows.columns, *COMPONENT, "_order").repartition(*keys).sortWithinPartitions(*keys, "_order")
+    kept = rows.columns
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
@@ -157,10 +175,12 @@ def _walk(
                 if result is not None:
                     taken.append(i)
                     results.append(result)
-            picked = batch.take(pa.array(taken, pa.int64()))
-            yield pa.RecordBatch.from_arrays([picked.column("image_id"), picked.column("seq"), pa.array(results, pa.int64())], ["image_id", "seq", kind])
+            picked = batch.select(kept)
+            if len(taken) < batch.num_rows:
+                picked = picked.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(results, pa.int64())], [*kept, out])
 
-    return sorted_rows.drop("_order").mapInArrow(walk, f"image_id {image}, seq long, {kind} long")
+    return sorted_rows.drop("_order").mapInArrow(walk, StructType([*rows.schema.fields, StructField(out, LongType())]))
 
 
 # ---- greedy clustering ----------------------------------------------------
@@ -219,60 +239,69 @@ class _Clusters(_Boxes):
         return self.founders[home]
 
 
+def _clustered(readings: DataFrame) -> DataFrame:
+    """Readings with their ``key`` and cluster; the sides and ``seq`` become long."""
+    longs = {c: F.col(c).cast("long") for c in ("seq", *boxes.SIDES)}
+    rows = readings.withColumns({**longs, "key": agreement_text(F.col("text"))})
+    order = [-F.col("confidence"), F.col("seq")]
+    return _walk(rows, order, [*boxes.SIDES, "key"], _Clusters, _Clusters.place, "cluster_id")
+
+
 def greedy_clusters(readings: DataFrame) -> DataFrame:
     """(image_id, seq, cluster_id): clusters by confidence order, named by founder.
 
-    Readings that share no area never meet, so an image is cut into components, which are walked apart.
+    Readings that share no area never meet, so a large image is cut into components, which are walked apart.
     """
-    rows = readings.withColumn("key", agreement_text(F.col("text"))).select(
-        "image_id", F.col("seq").cast("long").alias("seq"), "confidence", *[F.col(c).cast("long").alias(c) for c in boxes.SIDES], "key"
-    )
-    order = [-F.col("confidence"), F.col("seq")]
-    return _walk(rows, order, [*boxes.SIDES, "key"], _Clusters, _Clusters.place, "cluster_id")
+    rows = readings.select("image_id", "seq", "confidence", *boxes.SIDES, "text")
+    return _clustered(rows).select("image_id", "seq", "cluster_id")
 
 
 def cluster_readings(readings: DataFrame) -> DataFrame:
-    """Readings with their cluster, stored once because the votes read it often."""
-    return cut_lineage(readings.join(greedy_clusters(readings), ["image_id", "seq"]))
+    """Readings with ``key`` and cluster, stored once because the votes read it often."""
+    return cut_lineage(_clustered(readings))
 
 
 # ---- votes ----------------------------------------------------------------
 
 
-def _vote(rows: DataFrame, keys: list[str], choice: str, last: Column) -> DataFrame:
-    """Pick the value of ``choice`` with most models, engines, confidence."""
-    # models and engines come from the fixed list of configured recognizers
-    score = F.struct(
-        F.size(F.collect_set("model_signature")).alias("models"),
-        F.size(F.collect_set("engine")).alias("engines"),
-        F.max("confidence").alias("conf"),
-    )
-    first = F.min_by("seq", F.struct(-F.col("confidence"), F.col("seq")))
-    ranked = rows.groupBy(*keys, choice).agg(score.alias("s"), first.alias("first"))
-    rank = F.struct("s", last.alias("last"), (-F.col("first")).alias("back"))
-    return ranked.groupBy(*keys).agg(F.max_by(choice, rank).alias(choice))
+def _keyed(clustered: DataFrame) -> DataFrame:
+    """With ``key``, the agreement text, which ``cluster_readings`` stores."""
+    return clustered if "key" in clustered.columns else clustered.withColumn("key", agreement_text(F.col("text")))
 
 
 def consensus(clustered: DataFrame) -> DataFrame:
-    """One reading per cluster: text vote, rotation vote, best confidence."""
+    """One reading per cluster: text vote, rotation vote, best confidence.
+
+    A vote goes to most models, most engines, highest confidence. Readings are reduced per text and rotation, then per text,
+    then per cluster; clusters without any letters or digits take the best of all their readings.
+    """
     keys = ["image_id", "cluster_id"]
-    rows = clustered.withColumn("key", agreement_text(F.col("text")))
-    text_vote = _vote(rows.filter("key <> ''"), keys, "key", F.length("key"))
-    agreed = rows.join(text_vote, [*keys, "key"])
-    # clusters without any letters or digits keep all their readings
-    silent = rows.join(text_vote.select(*keys), keys, "left_anti")
-    rotation_vote = _vote(agreed, keys, "rotation_deg", -F.col("rotation_deg"))
-    oriented = agreed.join(rotation_vote, [*keys, "rotation_deg"])
     payload = ["text", "key", "confidence", "engine", "model_signature", "rotation_deg", *boxes.SIDES]
-    pool = oriented.select(*keys, "seq", *payload).unionByName(silent.select(*keys, "seq", *payload))
-    best = F.max_by(F.struct("seq", *payload), F.struct(F.col("confidence"), -F.col("seq")))
-    return pool.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+
+    def strongest(reading: str) -> Column:
+        return F.max_by(reading, F.struct(F.col(f"{reading}.confidence"), -F.col(f"{reading}.seq")))
+
+    def distinct(sets: str) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.collect_list(sets))))
+
+    # models and engines come from the fixed list of configured recognizers
+    turned = _keyed(clustered).select(*keys, "key", "rotation_deg", "engine", "model_signature", F.struct("seq", *payload).alias("r"))
+    turned = turned.groupBy(*keys, "key", "rotation_deg").agg(
+        F.collect_set("model_signature").alias("models"), F.collect_set("engine").alias("engines"), strongest("r").alias("r")
+    )
+    side = F.struct(F.size("models"), F.size("engines"), F.col("r.confidence"), -F.col("rotation_deg"))
+    texts = turned.repartition(*keys).groupBy(*keys, "key").agg(
+        distinct("models").alias("models"), distinct("engines").alias("engines"), strongest("r").alias("r"), F.max_by("r", side).alias("oriented")
+    )
+    rank = F.struct("models", "engines", F.col("r.confidence"), F.length("key"), -F.col("r.seq"))
+    voted = F.max_by("oriented", F.when(F.col("key") != "", rank))
+    return texts.groupBy(*keys).agg(F.coalesce(voted, strongest("r")).alias("b")).select(*keys, "b.*")
 
 
 def alternatives(clustered: DataFrame, keep: int = 8) -> DataFrame:
     """Best reading per (model, text) of a cluster, the strongest ``keep``."""
     keys = ["image_id", "cluster_id"]
-    rows = clustered.withColumn("key", agreement_text(F.col("text")))
+    rows = _keyed(clustered)
     best = F.max_by(
         F.struct("seq", "text", "confidence", "engine", "rotation_deg"),
         F.struct(F.col("confidence"), -F.col("seq")),
@@ -304,7 +333,8 @@ def review_states(chosen: DataFrame, alts: DataFrame) -> DataFrame:
 
 def number_regions(chosen: DataFrame, label: str) -> DataFrame:
     """``ocr-001`` style ids by (top, left) inside each image."""
-    numbered = number_by_rows(chosen, "image_id", "y0", ["x0", "seq"], "_no")
+    # the numbering reads its rows twice
+    numbered = number_by_rows(cut_lineage(chosen), "image_id", "y0", ["x0", "seq"], "_no")
     return numbered.withColumn("region_label", F.format_string(f"{label}-%03d", F.col("_no").cast("int"))).drop("_no")
 
 

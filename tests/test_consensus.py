@@ -248,3 +248,26 @@ def test_all_spans_equal_plain_enumeration(spark):
     found = {(r.region_id, r.model_signature, r.text): (-r.confidence, r.call_id, r.components is not None, r["first"], r["last"]) for r in consensus.region_readings(df).collect()}
     assert found == {k: c[:5] for k, c in best.items()}
     assert consensus.composite_spans(df.limit(0)).count() == 0
+
+
+def test_small_pictures_are_walked_whole_and_large_ones_cut(spark, monkeypatch):
+    rng = random.Random(3)
+    corners = [(rng.randrange(900), rng.randrange(900)) for _ in range(240)]
+    rows = [reading(i, rng.choice("abc"), rng.random(), (x, y, x + 40, y + 30), image=i % 3) for i, (x, y) in enumerate(corners)]
+    df = spark.createDataFrame(rows, READING)
+
+    def walked(limit):
+        monkeypatch.setattr(consensus, "WHOLE", limit)
+        parts = consensus._walked_apart(df).select("image_id", *consensus.COMPONENT).distinct().count()
+        return parts, sorted(map(tuple, consensus.cluster_readings(df).collect()))
+
+    (whole, same), (cut, other) = walked(80), walked(79)
+    assert whole == 3 and cut > 3 and same == other
+    assert consensus.cluster_readings(df).columns == [*df.columns, "key", "cluster_id"]
+
+
+def test_one_shuffle_per_vote_level(spark):
+    clustered = spark.createDataFrame([(*reading(0, "a", 0.5, (0, 0, 9, 9)), "a", 0)], READING + ", key string, cluster_id long")
+    plan = consensus.consensus(clustered)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    assert "Join" not in plan
