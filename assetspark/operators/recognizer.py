@@ -32,6 +32,8 @@ _NAMES = ["asset_id", "call_no", "item", "engine", "variant", "text", "confidenc
 _ITEMS = 1 << 40
 #: Calls of the fallback are numbered from here.
 _FALLBACK_CALLS = 1 << 20
+#: Rows of calls that go to Spark together.
+_BATCH = 4096
 
 
 def combined_signature(primary: str, fallback: str | None) -> str:
@@ -128,6 +130,17 @@ def _call_table(rows: list[tuple], key: pa.DataType) -> pa.Table:
     return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], _NAMES)
 
 
+def _call_batches(walks: Iterable[list[tuple]], key: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The rows of many assets per batch."""
+    rows: list[tuple] = []
+    for calls in walks:
+        rows += calls
+        if len(rows) >= _BATCH:
+            yield from _call_table(rows, key).to_batches()
+            rows = []
+    yield from _call_table(rows, key).to_batches()
+
+
 def run_engine(
     assets: DataFrame, engine: str, recognize: Recognizer, variants: Variants, thresholds: Thresholds = Thresholds(), early_stop: bool = True
 ) -> DataFrame:
@@ -138,9 +151,12 @@ def run_engine(
 
     def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asset, payload in zip(*(batch.column(c).to_pylist() for c in ("asset_id", "payload")), strict=True):
-                rows = _calls(asset, payload, engine, recognize, variants, TierState(thresholds), early_stop, 0)
-                yield from _call_table(rows, batch.column("asset_id").type).to_batches()
+            assets, payloads = batch.column("asset_id"), batch.column("payload")
+            walks = (
+                _calls(asset.as_py(), payload.as_py(), engine, recognize, variants, TierState(thresholds), early_stop, 0)
+                for asset, payload in zip(assets, payloads, strict=True)
+            )
+            yield from _call_batches(walks, assets.type)
 
     key = assets.schema["asset_id"].dataType.simpleString()
     return assets.select("asset_id", "payload").mapInArrow(calls, _OUT.format(key=key))
@@ -152,23 +168,25 @@ def run_fallback(
 ) -> DataFrame:
     """Calls of a second engine on ``assets``, whose tier starts from the ``earlier`` readings (as of ``detections_of``).
 
-    Assets and their readings meet by asset id; a group is one payload and what one engine read in it.
+    Assets and their readings meet by asset id; a row is one payload and what one engine read in it.
     """
 
-    def calls(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        for asset, payload in zip(*(left.column(c).to_pylist() for c in ("asset_id", "payload")), strict=True):
+    def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def walk(asset: object, payload: bytes, seen: list[dict] | None) -> list[tuple]:
             state = TierState(thresholds)
-            for r in right.sort_by("seq").to_pylist():
+            for r in seen or []:
                 state.add(r["engine"], r["text"], r["confidence"])
-            rows += _calls(asset, payload, engine, recognize, variants, state, early_stop, _FALLBACK_CALLS)
-        return _call_table(rows, left.schema.field("asset_id").type)
+            return _calls(asset, payload, engine, recognize, variants, state, early_stop, _FALLBACK_CALLS)
+
+        for batch in batches:
+            columns = [batch.column(c) for c in ("asset_id", "payload", "seen")]
+            walks = (walk(*(value.as_py() for value in row)) for row in zip(*columns, strict=True))
+            yield from _call_batches(walks, columns[0].type)
 
     key = assets.schema["asset_id"].dataType.simpleString()
-    readings = earlier.select("asset_id", "seq", "engine", "text", "confidence")
-    return (
-        assets.select("asset_id", "payload").groupBy("asset_id").cogroup(readings.groupBy("asset_id")).applyInArrow(calls, _OUT.format(key=key))
-    )
+    reading = F.struct("seq", "engine", "text", "confidence")
+    seen = earlier.groupBy("asset_id").agg(F.array_sort(F.collect_list(reading)).alias("seen"))
+    return assets.select("asset_id", "payload").join(seen, "asset_id", "left").mapInArrow(calls, _OUT.format(key=key))
 
 
 def detections_of(calls: DataFrame) -> DataFrame:

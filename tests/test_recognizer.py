@@ -92,3 +92,23 @@ def test_variants_that_fail_are_an_error_of_the_engine(spark):
     both = recognizer.scan_assets(assets, read, ("two", lambda payload, variant: [{"confidence": "bad"}]), capped).first()
     assert both.error == "one: OverflowError: too many variants | two: OverflowError: too many variants"
     assert recognizer.scan_assets(assets.limit(0), read, read, ["v0"]).count() == 0
+
+
+def test_calls_of_many_assets_share_a_batch():
+    import pyarrow as pa
+
+    walks = ([(asset, n, 0, "e", "v", None, None, True, None) for n in range(3)] for asset in range(5000))
+    batches = list(recognizer._call_batches(walks, pa.int64()))
+    assert len(batches) == 4 and sum(b.num_rows for b in batches) == 15000
+
+
+def test_fallback_starts_from_the_readings_in_order(spark):
+    assets = spark.createDataFrame([(1, b"a"), (2, b"b"), (3, b"c")], "asset_id long, payload binary")
+    earlier = spark.createDataFrame(
+        [(1, 1, "one", "Beer", 0.6), (1, 0, "one", "Stop", 0.6), (2, 0, "one", "Facts", 0.6)],
+        "asset_id long, seq long, engine string, text string, confidence double",
+    )
+    out = recognizer.run_fallback(assets, earlier, "two", lambda payload, variant: [{"text": "Stop", "confidence": 0.6}], ["v0", "v1"])
+    calls = [(r.asset_id, r.variant) for r in out.filter("ok is not null").collect()]
+    assert sorted(calls) == [(1, "v0"), (2, "v0"), (2, "v1"), (3, "v0"), (3, "v1")]
+    assert "FlatMapCoGroups" not in out._jdf.queryExecution().executedPlan().toString()
