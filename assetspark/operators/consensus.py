@@ -580,7 +580,9 @@ def region_readings(tokens: DataFrame) -> DataFrame:
     rank = F.struct(
         -F.col("confidence"), F.col("call_id"), F.col("components").isNotNull().alias("span"), F.col("first"), F.col("last")
     )
-    return rows.groupBy(*key).agg(F.min_by(F.struct(*fields), rank).alias("b")).select(*key, "b.*")
+    # few spans share a key, so they are not sorted before they are sent: a task that composes them holds no table of them
+    sent = rows.select(*key, *fields).repartition(*key)
+    return sent.groupBy(*key).agg(F.min_by(F.struct(*fields), rank).alias("b")).select(*key, "b.*")
 
 
 def call_composites(tokens: DataFrame) -> DataFrame:

@@ -271,3 +271,14 @@ def test_one_shuffle_per_vote_level(spark):
     plan = consensus.consensus(clustered)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
     assert "Join" not in plan
+
+
+def test_spans_are_sent_before_they_are_sorted(spark):
+    schema = "call_id long, region_id long, engine string, model_signature string, variant string, ordinal long, line long, text string, confidence double"
+    rows = [(call, 1, "e", "m", "v", i, 0, word, 0.5 + call / 10) for call in range(2) for i, word in enumerate(["a", "b", "a"])]
+    out = consensus.region_readings(spark.createDataFrame(rows, schema))
+    got = {r.text: (r.call_id, r.first, r.last, r.components) for r in out.collect()}
+    assert got == {"a": (1, 0, 0, None), "b": (1, 1, 1, None), "a b": (1, 0, 1, ["a", "b"]), "b a": (1, 1, 2, ["b", "a"]), "a b a": (1, 0, 2, ["a", "b", "a"])}
+    plan = consensus.region_readings(spark.createDataFrame(rows, schema))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortAggregate") < plan.index("Exchange hashpartitioning(region_id")
+    assert "SortAggregate" not in plan[plan.index("Exchange hashpartitioning(region_id") :]
